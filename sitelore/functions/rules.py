@@ -153,16 +153,21 @@ def is_denied(url: Column) -> Column:
     return url.rlike(CI + deny_pattern())
 
 
-def is_relevant(url: Column, course_base: Column) -> Column:
-    """http(s) prefix (case-sensitive), no deny rule in the whole URL, same host (empty base accepts all)."""
+def is_relevant(url: Column, course_base: Column, url_base: Column | None = None) -> Column:
+    """http(s) prefix (case-sensitive), no deny rule in the whole URL, same host (empty base accepts all).
+
+    ``url_base`` is the URL's base domain if already derived from a parts column."""
     scheme_ok = url.startswith("http://") | url.startswith("https://")
-    same_host = (course_base == "") | (urls.base_domain(url) == course_base)
+    url_base = urls.base_domain(url) if url_base is None else url_base
+    same_host = (course_base == "") | (url_base == course_base)
     return F.coalesce(scheme_ok & ~is_denied(url) & same_host, F.lit(False))
 
 
-def classify_content_type(url: Column, title: Column) -> Column:
-    """File types, then path rules, then title rules (only for a non-empty title), else 'other'."""
-    path = F.lower(urls.url_path(url))
+def classify_content_type(url: Column, title: Column, path: Column | None = None) -> Column:
+    """File types, then path rules, then title rules (only for a non-empty title), else 'other'.
+
+    ``path`` is the urlparse path if already derived from a parts column."""
+    path = F.lower(urls.url_path(url) if path is None else path)
     expr = None
     for pattern, ctype in FILE_RULES + PATH_RULES:
         cond = path.rlike(CI + pattern)

@@ -36,75 +36,85 @@ def _prepared(col: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(col), r"^[\x{00}-\x{20}]+", ""), r"[\t\r\n]", "")
 
 
-def url_scheme(col: Column | str) -> Column:
-    return F.lower(F.regexp_extract(_prepared(col), URL_SPLIT_RE, 1))
+def url_parts(col: Column | str) -> Column:
+    """Struct of the six ``urlparse`` fields plus hostname, computed from one prepared string.
+
+    Operators add this once as a column and derive everything else from its fields, which keeps
+    generated code small (one regex split per row instead of one per derived expression).
+    """
+    prepared = _prepared(col)
+    scheme = F.lower(F.regexp_extract(prepared, URL_SPLIT_RE, 1))
+    raw_path = F.regexp_extract(prepared, URL_SPLIT_RE, 3)
+    netloc = F.regexp_extract(prepared, URL_SPLIT_RE, 2)
+    splits_params = scheme.isin(PARAM_SCHEMES)
+    return F.struct(
+        scheme.alias("scheme"),
+        netloc.alias("netloc"),
+        _hostname(netloc).alias("hostname"),
+        F.when(splits_params, F.regexp_replace(raw_path, r";[^/]*$", "")).otherwise(raw_path).alias("path"),
+        F.when(splits_params, F.regexp_extract(raw_path, r";([^/]*)$", 1)).otherwise(F.lit("")).alias("params"),
+        F.regexp_extract(prepared, URL_SPLIT_RE, 4).alias("query"),
+        F.regexp_extract(prepared, URL_SPLIT_RE, 5).alias("fragment"),
+    )
 
 
-def url_netloc(col: Column | str) -> Column:
-    return F.regexp_extract(_prepared(col), URL_SPLIT_RE, 2)
+def _hostname(netloc: Column) -> Column:
+    """``urlparse(url).hostname or ''``: no user-info, no port, lower case, IPv6 brackets removed."""
+    hostinfo = F.regexp_replace(netloc, r"^.*@", "")
+    host = F.when(F.instr(hostinfo, "[") > 0, F.regexp_extract(hostinfo, r"\[([^\]]*)", 1)).otherwise(
+        F.regexp_extract(hostinfo, r"^([^:]*)", 1))
+    return F.lower(host)
 
 
-def url_raw_path(col: Column | str) -> Column:
-    """Path as ``urlsplit`` returns it (``;params`` still attached)."""
-    return F.regexp_extract(_prepared(col), URL_SPLIT_RE, 3)
+def base_domain_of(parts: Column) -> Column:
+    """Host for same-site checks: lower case, one leading ``www.`` removed; invalid IPv6 → ''."""
+    netloc = parts["netloc"]
+    bad_ipv6 = (F.instr(netloc, "[") > 0) != (F.instr(netloc, "]") > 0)
+    return F.when(bad_ipv6, F.lit("")).otherwise(F.regexp_replace(parts["hostname"], r"^www\.", ""))
 
 
-def url_path(col: Column | str) -> Column:
-    """Path as ``urlparse`` returns it: ``;params`` of the last segment removed."""
-    raw = url_raw_path(col)
-    return F.when(url_scheme(col).isin(PARAM_SCHEMES), F.regexp_replace(raw, r";[^/]*$", "")).otherwise(raw)
+def canonical_of(parts: Column) -> Column:
+    """``scheme://netloc`` + path without trailing '/' + ``?query``; fragment/params dropped; lower."""
+    query = parts["query"]
+    return F.lower(F.concat(
+        parts["scheme"], F.lit("://"), parts["netloc"], F.regexp_replace(parts["path"], r"/+$", ""),
+        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+    ))
 
 
-def url_params(col: Column | str) -> Column:
-    raw = url_raw_path(col)
-    return F.when(url_scheme(col).isin(PARAM_SCHEMES), F.regexp_extract(raw, r";([^/]*)$", 1)).otherwise(F.lit(""))
+def title_from_path(path: Column) -> Column:
+    """Readable title from the last path segment; empty path → 'Home'."""
+    stripped = F.regexp_replace(path, r"^/+|/+$", "")
+    segment = F.element_at(F.split(stripped, "/"), -1)
+    segment = F.regexp_replace(segment, r"\.[^.]*$", "")
+    segment = F.regexp_replace(segment, r"[-_]+", " ")
+    return F.when(stripped == "", F.lit("Home")).otherwise(py_title(segment))
 
 
-def url_query(col: Column | str) -> Column:
-    return F.regexp_extract(_prepared(col), URL_SPLIT_RE, 4)
+def segments_of(path: Column) -> Column:
+    """Non-empty segments of a urlparse path."""
+    return F.filter(F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/"), lambda s: s != "")
 
 
-def url_fragment(col: Column | str) -> Column:
-    return F.regexp_extract(_prepared(col), URL_SPLIT_RE, 5)
+# Convenience forms on a raw URL column.
+def url_path(col: Column | str) -> Column:
+    return url_parts(col)["path"]
 
 
-def url_hostname(col: Column | str) -> Column:
-    """``urlparse(url).hostname or ''``: no user-info, no port, lower case, IPv6 brackets removed."""
-    hostinfo = F.regexp_replace(url_netloc(col), r"^.*@", "")
-    host = F.when(F.instr(hostinfo, "[") > 0, F.regexp_extract(hostinfo, r"\[([^\]]*)", 1)).otherwise(
-        F.regexp_extract(hostinfo, r"^([^:]*)", 1))
-    return F.lower(host)
+def base_domain(col: Column | str) -> Column:
+    return base_domain_of(url_parts(col))
 
 
-def url_parts(col: Column | str) -> Column:
-    """Struct of the six ``urlparse`` fields plus hostname."""
-    return F.struct(
-        url_scheme(col).alias("scheme"),
-        url_netloc(col).alias("netloc"),
-        url_hostname(col).alias("hostname"),
-        url_path(col).alias("path"),
-        url_params(col).alias("params"),
-        url_query(col).alias("query"),
-        url_fragment(col).alias("fragment"),
-    )
+def canonical_url(col: Column | str) -> Column:
+    return canonical_of(url_parts(col))
 
 
-def base_domain(col: Column | str) -> Column:
-    """Host for same-site checks: lower case, one leading ``www.`` removed; invalid IPv6 → ''."""
-    netloc = url_netloc(col)
-    bad_ipv6 = (F.instr(netloc, "[") > 0) != (F.instr(netloc, "]") > 0)
-    host = F.regexp_replace(url_hostname(col), r"^www\.", "")
-    return F.when(bad_ipv6, F.lit("")).otherwise(host)
+def title_from_url(col: Column | str) -> Column:
+    return title_from_path(url_path(col))
 
 
-def canonical_url(col: Column | str) -> Column:
-    """``scheme://netloc`` + path without trailing '/' + ``?query``; fragment/params dropped; lower."""
-    path = F.regexp_replace(url_path(col), r"/+$", "")
-    query = url_query(col)
-    return F.lower(F.concat(
-        url_scheme(col), F.lit("://"), url_netloc(col), path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-    ))
+def path_segments(col: Column | str) -> Column:
+    return segments_of(url_path(col))
 
 
 def py_title(col: Column | str) -> Column:
@@ -116,15 +126,6 @@ def py_title(col: Column | str) -> Column:
     )
 
 
-def title_from_url(col: Column | str) -> Column:
-    """Readable title from the last path segment; empty path → 'Home'."""
-    stripped = F.regexp_replace(url_path(col), r"^/+|/+$", "")
-    segment = F.element_at(F.split(stripped, "/"), -1)
-    segment = F.regexp_replace(segment, r"\.[^.]*$", "")
-    segment = F.regexp_replace(segment, r"[-_]+", " ")
-    return F.when(stripped == "", F.lit("Home")).otherwise(py_title(segment))
-
-
 def humanize_segment(col: Column | str) -> Column:
     """Module title from a path segment (prefix word removed, digits → 'Module N')."""
     seg = F.regexp_replace(_c(col), r"(?i)^(module|unit|week|topic|section)[-_]?", "")
@@ -135,11 +136,6 @@ def humanize_segment(col: Column | str) -> Column:
             .otherwise(py_title(core)))
 
 
-def path_segments(col: Column | str) -> Column:
-    """Non-empty segments of the urlparse path."""
-    return F.filter(F.split(F.regexp_replace(url_path(col), r"^/+|/+$", ""), "/"), lambda s: s != "")
-
-
 def path_prefixes(path_col: Column | str) -> Column:
     """All strings ``p`` such that ``path == p`` or ``path`` starts with ``p + '/'``."""
     parts = F.split(_c(path_col), "/")

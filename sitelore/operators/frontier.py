@@ -13,9 +13,18 @@ from sitelore.functions import rules, urls
 
 
 def prepare_frontier(links: DataFrame) -> DataFrame:
-    """Strip URLs (Python ``str.strip``) and add the canonical URL used as dedup key."""
-    clean = urls.py_strip(F.col("url"))
-    return links.withColumn("url", clean).withColumn("canonical", urls.canonical_url(F.col("url")))
+    """Strip URLs (Python ``str.strip``), split them once and keep what later steps need.
+
+    Adds ``canonical`` (dedup key), ``path`` (urlparse path, for classification and titles) and
+    ``url_base`` (base domain, for the same-site check). Carrying these two small strings through
+    the dedup aggregate means no later filter re-derives them from the URL: after the aggregate
+    they are plain attributes, so predicate pushdown cannot inline the URL split again.
+    """
+    clean = links.withColumn("url", urls.py_strip(F.col("url"))).withColumn("_u", urls.url_parts(F.col("url")))
+    return (clean.withColumn("canonical", urls.canonical_of(F.col("_u")))
+                 .withColumn("path", F.col("_u.path"))
+                 .withColumn("url_base", urls.base_domain_of(F.col("_u")))
+                 .drop("_u"))
 
 
 def dedupe_links(frontier: DataFrame, with_count: bool = False) -> DataFrame:
@@ -41,19 +50,20 @@ def dedupe_links(frontier: DataFrame, with_count: bool = False) -> DataFrame:
 
 def with_course_base(df: DataFrame, courses: DataFrame) -> DataFrame:
     """Attach ``course_base`` (the site's base domain). The course table has one row per site;
-    Catalyst/AQE broadcast it when its measured size is under the threshold, else shuffle-join."""
+    AQE broadcasts it when its measured size is under the threshold, else it is shuffle-joined."""
     base = courses.select("course_id", urls.base_domain(F.col("url")).alias("course_base"))
     return df.join(base, "course_id", "left").withColumn("course_base", F.coalesce("course_base", F.lit("")))
 
 
 def relevance_flag(df: DataFrame) -> Column:
-    return rules.is_relevant(F.col("url"), F.col("course_base"))
+    """Relevance of each row of a prepared frontier (needs ``url, url_base, course_base``)."""
+    return rules.is_relevant(F.col("url"), F.col("course_base"), F.col("url_base"))
 
 
 def classify_links(df: DataFrame) -> DataFrame:
-    """Add ``content_type`` and the display ``title`` (given title, else one derived from the URL)."""
-    return (df.withColumn("content_type", rules.classify_content_type(F.col("url"), F.col("title")))
-              .withColumn("title", F.coalesce(F.nullif(F.col("title"), F.lit("")), urls.title_from_url(F.col("url")))))
+    """Add ``content_type`` and the display ``title`` (given title, else one derived from the path)."""
+    return (df.withColumn("content_type", rules.classify_content_type(F.col("url"), F.col("title"), F.col("path")))
+              .withColumn("title", F.coalesce(F.nullif(F.col("title"), F.lit("")), urls.title_from_path(F.col("path")))))
 
 
 def discover_pages(links: DataFrame, courses: DataFrame, filter_first: bool = False) -> DataFrame:
@@ -62,11 +72,12 @@ def discover_pages(links: DataFrame, courses: DataFrame, filter_first: bool = Fa
     ``page_id`` is the ``ord`` of the surviving link (deterministic, so re-runs are idempotent).
     ``filter_first=True`` applies the relevance filter before deduplication instead of after.
     """
-    frontier = with_course_base(prepare_frontier(links), courses)
+    prepared = prepare_frontier(links)
     if filter_first:
-        kept = dedupe_links(frontier.filter(relevance_flag(frontier)))
+        based = with_course_base(prepared, courses)
+        kept = dedupe_links(based.filter(relevance_flag(based)))
     else:
-        deduped = dedupe_links(frontier)
+        deduped = with_course_base(dedupe_links(prepared), courses)
         kept = deduped.filter(relevance_flag(deduped))
     pages = classify_links(kept)
     return pages.select("course_id", F.col("ord").alias("page_id"), "url", "canonical", "title", "content_type")
@@ -75,11 +86,11 @@ def discover_pages(links: DataFrame, courses: DataFrame, filter_first: bool = Fa
 def discovery_stats(links: DataFrame, courses: DataFrame) -> DataFrame:
     """Per site: links mapped, unique canonical URLs, pages kept, and kept pages per content type.
 
-    Two partially aggregated shuffles (dedup key, then site); no window, no join of big sides.
+    Two partially aggregated shuffles (dedup key, then site); the site table join is broadcast
+    by AQE when small.
     """
-    frontier = with_course_base(prepare_frontier(links), courses)
-    deduped = dedupe_links(frontier, with_count=True)
-    flagged = classify_links(deduped).withColumn("_keep", relevance_flag(deduped))
+    deduped = with_course_base(dedupe_links(prepare_frontier(links), with_count=True), courses)
+    flagged = classify_links(deduped.withColumn("_keep", relevance_flag(deduped)))
     aggs = [
         F.sum("n_links").cast("bigint").alias("mapped"),
         F.count(F.lit(1)).alias("unique_urls"),

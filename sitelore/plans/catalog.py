@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sitelore.functions import rules, urls
 from sitelore.operators import frontier
+from sitelore.session import cut_lineage
 from sitelore.sources.fixtures import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,12 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.discover_pages(t["links"], t["courses"])
 
 
+def discovered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovered pages written once to the shared checkpoint folder (the stored pages table);
+    queries that read pages several times (self-joins) start from it instead of re-deriving."""
+    return cut_lineage(discovered(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- 2.2 scalar expressions
 @register("url_parts")
 def q_url_parts(spark, sf_dir):
@@ -92,3 +99,56 @@ def q_discovery_stats(spark, sf_dir):
 def q_limit_frontier(spark, sf_dir):
     links = tables(spark, sf_dir)["links"]
     return frontier.limit_frontier(links, 20)
+
+
+# ---------------------------------------------------------------- 2.3 / 2.4 / 2.8 hierarchy
+from sitelore.operators import hierarchy  # noqa: E402
+
+
+def explicit_pages(pages: DataFrame) -> DataFrame:
+    return pages.join(hierarchy.module_flags(pages).filter("has_modules"), "course_id", "left_semi")
+
+
+def detect_pages(pages: DataFrame) -> DataFrame:
+    return pages.join(hierarchy.module_flags(pages).filter(~F.col("has_modules")), "course_id", "left_semi")
+
+
+@register("order_module_pages")
+def q_order_module_pages(spark, sf_dir):
+    return hierarchy.order_module_pages(explicit_pages(discovered_table(spark, sf_dir)))
+
+
+@register("assign_pages_by_prefix")
+def q_assign_pages_by_prefix(spark, sf_dir):
+    pages = explicit_pages(discovered_table(spark, sf_dir))
+    return hierarchy.assign_pages_by_prefix(pages, hierarchy.order_module_pages(pages))
+
+
+@register("detect_modules")
+def q_detect_modules(spark, sf_dir):
+    modules, _ = hierarchy.detect_modules(detect_pages(discovered_table(spark, sf_dir)))
+    return modules
+
+
+@register("unclassified_pages")
+def q_unclassified_pages(spark, sf_dir):
+    pages = discovered_table(spark, sf_dir)
+    _, assigned = hierarchy.build_modules_and_assignments(pages)
+    return hierarchy.unclassified_pages(pages, assigned)
+
+
+@register("build_hierarchy")
+def q_build_hierarchy(spark, sf_dir):
+    return hierarchy.build_hierarchy(discovered_table(spark, sf_dir))
+
+
+@register("course_counts")
+def q_course_counts(spark, sf_dir):
+    return hierarchy.course_counts(hierarchy.build_hierarchy(discovered_table(spark, sf_dir)))
+
+
+@register("course_structure")
+def q_course_structure(spark, sf_dir):
+    pages = discovered_table(spark, sf_dir)
+    modules, assigned = hierarchy.build_modules_and_assignments(pages)
+    return hierarchy.course_structure(modules, hierarchy.store_pages(pages, assigned))

@@ -78,3 +78,60 @@ FROM fl GROUP BY course_id"""
 ORACLE["limit_frontier"] = with_(["links"]) + """
 SELECT course_id, ord, url, title FROM (
   SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY ord, url) AS rn FROM links) t WHERE rn <= 20"""
+
+# ---------------------------------------------------------------- hierarchy
+_cp = f"regexp_replace({d.path('url')}, '/+$', '')"
+HIER = f"""
+flags AS (SELECT course_id, bool_or(content_type = 'module') AS has_modules FROM dpages GROUP BY course_id),
+ep AS (SELECT p.* FROM dpages p JOIN flags f USING (course_id) WHERE f.has_modules),
+np AS (SELECT p.* FROM dpages p JOIN flags f USING (course_id) WHERE NOT f.has_modules),
+emods0 AS (SELECT course_id, page_id, url, title, {_cp} AS module_path,
+             row_number() OVER (PARTITION BY course_id ORDER BY url, coalesce(title, ''), page_id) - 1 AS order_index
+           FROM ep WHERE content_type = 'module'),
+emods AS (SELECT course_id, CAST(page_id AS VARCHAR) AS module_id,
+             coalesce(nullif(title, ''), 'Module ' || CAST(order_index + 1 AS VARCHAR)) AS module_title,
+             CAST(order_index AS BIGINT) AS order_index, module_path FROM emods0),
+ecp AS (SELECT *, {_cp} AS cp FROM ep WHERE content_type <> 'module'),
+eassigned AS (SELECT c.course_id, c.page_id, c.url, c.title, c.content_type, m.module_id, m.module_title, m.order_index
+   FROM ecp c JOIN emods m ON c.course_id = m.course_id
+   WHERE c.cp = m.module_path OR starts_with(c.cp, m.module_path || '/')),
+nk AS (SELECT *, CASE WHEN len(segs) >= 2 THEN segs[len(segs) - 1] ELSE '_root' END AS module_key
+       FROM (SELECT *, {d.segments('url')} AS segs FROM np) s),
+dkeys AS (SELECT course_id, module_key,
+             row_number() OVER (PARTITION BY course_id ORDER BY module_key) - 1 AS order_index,
+             count(*) OVER (PARTITION BY course_id) AS n_keys
+          FROM (SELECT DISTINCT course_id, module_key FROM nk) k),
+dmods AS (SELECT course_id, course_id || '/' || module_key AS module_id, {d.humanize('module_key')} AS module_title,
+             CAST(order_index AS BIGINT) AS order_index, module_key
+          FROM dkeys WHERE module_key <> '_root' OR n_keys = 1),
+dassigned AS (SELECT nk.course_id, nk.page_id, nk.url, nk.title, nk.content_type, m.module_id, m.module_title, m.order_index
+   FROM nk JOIN dmods m ON nk.course_id = m.course_id AND nk.module_key = m.module_key),
+hmods AS (SELECT course_id, module_id, module_title, order_index FROM emods
+          UNION ALL SELECT course_id, module_id, module_title, order_index FROM dmods),
+hassigned AS (SELECT * FROM eassigned UNION ALL SELECT * FROM dassigned),
+huncl AS (SELECT p.* FROM dpages p WHERE NOT EXISTS
+          (SELECT 1 FROM hassigned a WHERE a.course_id = p.course_id AND a.page_id = p.page_id)),
+hier AS (SELECT m.course_id, m.module_id, m.module_title, m.order_index, a.page_id, a.url, a.title, a.content_type
+         FROM hmods m LEFT JOIN hassigned a ON a.course_id = m.course_id AND a.module_id = m.module_id
+         UNION ALL
+         SELECT course_id, NULL, NULL, CAST(NULL AS BIGINT), page_id, url, title, content_type FROM huncl),
+stored AS (SELECT p.course_id, p.page_id, s.module_id, p.url, p.title, p.content_type
+           FROM dpages p LEFT JOIN (SELECT course_id, page_id, arg_max(module_id, (order_index, module_id)) AS module_id
+                                    FROM hassigned GROUP BY course_id, page_id) s
+           ON s.course_id = p.course_id AND s.page_id = p.page_id)
+"""
+HW = ["links", "courses"]
+
+ORACLE["order_module_pages"] = with_(HW, FRONTIER, HIER) + "SELECT * FROM emods"
+ORACLE["assign_pages_by_prefix"] = with_(HW, FRONTIER, HIER) + "SELECT * FROM eassigned"
+ORACLE["detect_modules"] = with_(HW, FRONTIER, HIER) + \
+    "SELECT course_id, module_id, module_title, order_index FROM dmods"
+ORACLE["unclassified_pages"] = with_(HW, FRONTIER, HIER) + "SELECT * FROM huncl"
+ORACLE["build_hierarchy"] = with_(HW, FRONTIER, HIER) + "SELECT * FROM hier"
+ORACLE["course_counts"] = with_(HW, FRONTIER, HIER) + """
+SELECT course_id, count(DISTINCT module_id) AS module_count, count(page_id) AS page_count FROM hier GROUP BY course_id"""
+ORACLE["course_structure"] = with_(HW, FRONTIER, HIER) + """
+SELECT m.course_id, m.module_id, m.module_title, m.order_index, s.page_id, s.url, s.title, s.content_type
+FROM hmods m LEFT JOIN stored s ON s.course_id = m.course_id AND s.module_id = m.module_id
+UNION ALL
+SELECT course_id, module_id, NULL, CAST(NULL AS BIGINT), page_id, url, title, content_type FROM stored WHERE module_id IS NULL"""
