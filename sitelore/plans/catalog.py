@@ -152,3 +152,85 @@ def q_course_structure(spark, sf_dir):
     pages = discovered_table(spark, sf_dir)
     modules, assigned = hierarchy.build_modules_and_assignments(pages)
     return hierarchy.course_structure(modules, hierarchy.store_pages(pages, assigned))
+
+
+# ---------------------------------------------------------------- 2.1 sources + content
+from sitelore.operators import content as contentops  # noqa: E402
+from sitelore.sources import html, payloads  # noqa: E402
+
+
+@register("extract_links")
+def q_extract_links(spark, sf_dir):
+    return html.extract_links(tables(spark, sf_dir)["pages"])
+
+
+@register("extract_content")
+def q_extract_content(spark, sf_dir):
+    out = html.extract_content(tables(spark, sf_dir)["pages"])
+    return out.select("page_id", "url", "title", "markdown", F.col("metadata")["language"].alias("lang"),
+                      F.col("metadata")["source_url"].alias("source_url"), "success")
+
+
+@register("normalize_links")
+def q_normalize_links(spark, sf_dir):
+    return payloads.normalize_links(tables(spark, sf_dir)["map_payloads"])
+
+
+@register("normalize_scrape_payload")
+def q_normalize_scrape_payload(spark, sf_dir):
+    out = payloads.normalize_scrape_payload(tables(spark, sf_dir)["scrape_payloads"])
+    return out.select("course_id", "ord", "url", "markdown", "title",
+                      F.col("metadata")["source_url"].alias("source_url"),
+                      F.col("metadata")["title"].alias("meta_title"),
+                      F.size("metadata").cast("bigint").alias("n_meta"))
+
+
+@register("normalize_crawl_payload")
+def q_normalize_crawl_payload(spark, sf_dir):
+    return payloads.normalize_crawl_payload(tables(spark, sf_dir)["crawl_payloads"])
+
+
+def fingerprinted(spark, sf_dir) -> DataFrame:
+    return contentops.content_fingerprint(tables(spark, sf_dir)["content"])
+
+
+def known_and_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = fingerprinted(spark, sf_dir)
+    return c.filter(F.col("page_id") < 500), c.filter(F.col("page_id") >= 500)
+
+
+@register("content_fingerprint")
+def q_content_fingerprint(spark, sf_dir):
+    return fingerprinted(spark, sf_dir).select("page_id", "url", "content_hash", "file_key")
+
+
+@register("cache_split")
+def q_cache_split(spark, sf_dir):
+    known, new = known_and_new(spark, sf_dir)
+    hits, misses = contentops.cache_split(new.select("course_id", "page_id", "url"), known)
+    return hits.withColumn("hit", F.lit(True)).unionByName(misses.withColumn("hit", F.lit(False)))
+
+
+@register("drop_known_content")
+def q_drop_known_content(spark, sf_dir):
+    known, new = known_and_new(spark, sf_dir)
+    return contentops.drop_known_content(new, known).select("page_id", "url", "content_hash")
+
+
+@register("latest_scrape")
+def q_latest_scrape(spark, sf_dir):
+    c = fingerprinted(spark, sf_dir).select("page_id", "course_id", "url", "retrieved_at", "content_hash")
+    return contentops.latest_scrape(c)
+
+
+@register("upsert_content")
+def q_upsert_content(spark, sf_dir):
+    known, new = known_and_new(spark, sf_dir)
+    cols = ["page_id", "course_id", "url", "content_hash", "retrieved_at"]
+    return contentops.upsert_content(known.select(*cols), new.select(*cols))
+
+
+@register("content_timeline")
+def q_content_timeline(spark, sf_dir):
+    c = tables(spark, sf_dir)["content"].select("course_id", "retrieved_at", "page_id", "url")
+    return contentops.content_timeline(c)

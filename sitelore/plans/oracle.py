@@ -135,3 +135,99 @@ SELECT m.course_id, m.module_id, m.module_title, m.order_index, s.page_id, s.url
 FROM hmods m LEFT JOIN stored s ON s.course_id = m.course_id AND s.module_id = m.module_id
 UNION ALL
 SELECT course_id, module_id, NULL, CAST(NULL AS BIGINT), page_id, url, title, content_type FROM stored WHERE module_id IS NULL"""
+
+# ---------------------------------------------------------------- sources + content
+from sitelore.sources import html as _html  # noqa: E402
+
+
+def _decode(x: str) -> str:
+    out = x
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
+                    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, {d.q(ent)}, {d.q(ch)})"
+    return out
+
+
+def _resolve(h: str, u: str) -> str:
+    root = f"{d.scheme(u)} || '://' || {d.netloc(u)}"
+    return (f"(CASE WHEN regexp_matches({h}, {d.q(r'^[A-Za-z][A-Za-z0-9+.\-]*:')}) THEN {h} "
+            f"WHEN starts_with({h}, '//') THEN {d.scheme(u)} || ':' || {h} "
+            f"WHEN starts_with({h}, '/') THEN {root} || {h} ELSE {root} || '/' || {h} END)")
+
+
+ORACLE["extract_links"] = f"""
+WITH a AS (SELECT page_id, url, regexp_extract_all(html, {d.q(_html.ANCHOR_RE)}, 1) AS hrefs,
+                  regexp_extract_all(html, {d.q(_html.ANCHOR_RE)}, 2) AS texts FROM pages),
+e AS (SELECT page_id, url, hrefs, texts, unnest(generate_series(1, len(hrefs))) AS i FROM a)
+SELECT {d.base_domain('url')} AS course_id, page_id AS src_page, CAST(i - 1 AS BIGINT) AS pos,
+       {_resolve(_decode('hrefs[i]'), 'url')} AS url, nullif({d.strip(_decode('texts[i]'))}, '') AS title
+FROM e"""
+
+_md = f"regexp_replace(html, {d.q(_html.DROP_BLOCKS_RE)}, '', 'g')"
+for _lvl in range(1, 7):
+    _md = f"regexp_replace({_md}, {d.q(rf'(?i)<h{_lvl}\b[^>]*>')}, chr(10) || {d.q('#' * _lvl + ' ')}, 'g')"
+_md = f"regexp_replace({_md}, '(?i)</h[1-6]>', chr(10), 'g')"
+_md = f"regexp_replace({_md}, {d.q(r'(?i)<li\b[^>]*>')}, chr(10) || '- ', 'g')"
+_md = f"regexp_replace({_md}, {d.q(r'(?i)</?(b|strong)\b[^>]*>')}, '**', 'g')"
+_md = f"regexp_replace({_md}, {d.q(r'(?i)<br\s*/?>')}, chr(10), 'g')"
+_md = f"regexp_replace({_md}, {d.q(r'(?i)</?p\b[^>]*>')}, chr(10) || chr(10), 'g')"
+_md = f"regexp_replace({_md}, '<[^>]*>', '', 'g')"
+_md = _decode(_md)
+_md = f"regexp_replace({_md}, {d.q(r'[ \t]+\n')}, chr(10), 'g')"
+_md = f"regexp_replace({_md}, {d.q(r'\n{3,}')}, chr(10) || chr(10), 'g')"
+_md = d.strip(_md)
+ORACLE["extract_content"] = f"""
+SELECT page_id, url, title, markdown, lang, url AS source_url, markdown <> '' AS success FROM (
+  SELECT page_id, url, {d.strip(_decode(f"regexp_extract(html, {d.q(_html.TITLE_RE)}, 1)"))} AS title,
+         {_md} AS markdown, regexp_extract(html, {d.q(_html.LANG_RE)}, 1) AS lang FROM pages) t"""
+
+ORACLE["normalize_links"] = with_(["links", "map_payloads"], """
+arrs AS (SELECT course_id, ord, CASE WHEN json_type(payload) = 'OBJECT' THEN json_extract(payload, '$.links')
+                                     ELSE json(payload) END AS arr FROM map_payloads),
+el AS (SELECT course_id, ord, i - 1 AS pos, json_extract(arr, '$[' || CAST(i - 1 AS VARCHAR) || ']') AS e
+       FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(arr) AS BIGINT))) AS i FROM arrs) x)
+""") + """
+SELECT course_id, ord, CAST(pos AS BIGINT) AS pos,
+  CASE json_type(e) WHEN 'VARCHAR' THEN json_extract_string(e, '$')
+    WHEN 'OBJECT' THEN CASE WHEN json_exists(e, '$.url') THEN json_extract_string(e, '$.url')
+                            ELSE coalesce(json_extract_string(e, '$.link'), '') END END AS url,
+  CASE WHEN json_type(e) = 'OBJECT' THEN json_extract_string(e, '$.title') END AS title
+FROM el"""
+
+ORACLE["normalize_scrape_payload"] = with_(["links", "scrape_payloads"]) + """
+SELECT course_id, ord, url, coalesce(json_extract_string(payload, '$.markdown'), '') AS markdown,
+  CASE WHEN coalesce(json_extract_string(payload, '$.metadata.title'), '') <> ''
+       THEN json_extract_string(payload, '$.metadata.title') ELSE json_extract_string(payload, '$.title') END AS title,
+  url AS source_url, json_extract_string(payload, '$.metadata.title') AS meta_title,
+  CAST(coalesce(len(list_filter(json_keys(payload, '$.metadata'), lambda k: k <> 'source_url')), 0) + 1 AS BIGINT) AS n_meta
+FROM scrape_payloads"""
+
+ORACLE["normalize_crawl_payload"] = with_(["links", "crawl_payloads"], """
+its AS (SELECT course_id, ord, CASE WHEN starts_with(ltrim(payload), '[') THEN json(payload)
+                                    ELSE json_extract(payload, '$.data') END AS arr FROM crawl_payloads),
+it AS (SELECT course_id, ord, i - 1 AS pos, json_extract(arr, '$[' || CAST(i - 1 AS VARCHAR) || ']') AS e
+       FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(arr) AS BIGINT))) AS i FROM its) x)
+""") + """
+SELECT course_id, ord, CAST(pos AS BIGINT) AS pos,
+  CASE WHEN json_exists(e, '$.metadata.url') THEN json_extract_string(e, '$.metadata.url')
+       ELSE coalesce(json_extract_string(e, '$.url'), '') END AS url,
+  coalesce(json_extract_string(e, '$.markdown'), '') AS markdown,
+  json_extract_string(e, '$.metadata.title') AS title
+FROM it"""
+
+FP = "fp AS (SELECT *, sha256(markdown) AS content_hash, substring(md5(url), 1, 12) AS file_key FROM content)"
+ORACLE["content_fingerprint"] = with_(["content"], FP) + "SELECT page_id, url, content_hash, file_key FROM fp"
+ORACLE["cache_split"] = with_(["content"], FP) + """
+SELECT course_id, page_id, url, url IN (SELECT url FROM fp WHERE page_id < 500) AS hit FROM fp WHERE page_id >= 500"""
+ORACLE["drop_known_content"] = with_(["content"], FP) + """
+SELECT page_id, url, content_hash FROM fp n WHERE page_id >= 500 AND NOT EXISTS
+  (SELECT 1 FROM fp k WHERE k.page_id < 500 AND k.url = n.url AND k.content_hash = n.content_hash)"""
+ORACLE["latest_scrape"] = with_(["content"], FP) + """
+SELECT url, page_id, course_id, retrieved_at, content_hash FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY retrieved_at DESC, page_id DESC) AS rn FROM fp) t WHERE rn = 1"""
+ORACLE["upsert_content"] = with_(["content"], FP) + """
+SELECT url, content_hash, page_id, course_id, retrieved_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY url, content_hash
+                               ORDER BY (page_id >= 500) DESC, retrieved_at DESC, page_id DESC) AS rn FROM fp) t
+WHERE rn = 1"""
+ORACLE["content_timeline"] = with_(["content"]) + "SELECT course_id, retrieved_at, page_id, url FROM content"
