@@ -75,16 +75,21 @@ def detect_modules(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return modules.drop("module_key"), assigned
 
 
-def build_modules_and_assignments(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per site pick the explicit or the detected branch. Returns ``(modules, assignments)``."""
+def build_modules_and_assignments(pages: DataFrame, materialize=None) -> tuple[DataFrame, DataFrame]:
+    """Per site pick the explicit or the detected branch. Returns ``(modules, assignments)``.
+
+    ``materialize`` (e.g. ``session.cut_lineage``) is applied to the module tables that are read
+    twice (once as output, once to assign pages), so the plan does not re-derive them.
+    """
+    materialize = materialize or (lambda df: df)
     flagged = pages.join(module_flags(pages), "course_id")
     explicit_pages = flagged.filter("has_modules").drop("has_modules")
     detect_input = flagged.filter(~F.col("has_modules")).drop("has_modules")
-    ex_modules = order_module_pages(explicit_pages)
+    ex_modules = materialize(order_module_pages(explicit_pages))
     ex_assigned = assign_pages_by_prefix(explicit_pages, ex_modules)
     de_modules, de_assigned = detect_modules(detect_input)
     modules = ex_modules.drop("module_path").unionByName(de_modules)
-    return modules, ex_assigned.unionByName(de_assigned)
+    return materialize(modules), materialize(ex_assigned.unionByName(de_assigned))
 
 
 def unclassified_pages(pages: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -92,10 +97,10 @@ def unclassified_pages(pages: DataFrame, assigned: DataFrame) -> DataFrame:
     return pages.join(assigned.select("course_id", "page_id"), ["course_id", "page_id"], "left_anti")
 
 
-def build_hierarchy(pages: DataFrame) -> DataFrame:
+def build_hierarchy(pages: DataFrame, materialize=None) -> DataFrame:
     """Flat hierarchy: one row per (module, page) assignment, a page-less row for an empty
     module, and one row with null module for each unclassified page."""
-    modules, assigned = build_modules_and_assignments(pages)
+    modules, assigned = build_modules_and_assignments(pages, materialize)
     mod_rows = modules.join(assigned.drop("module_title", "order_index"), ["course_id", "module_id"], "left")
     uncl = unclassified_pages(pages, assigned).select(
         "course_id", F.lit(None).cast("string").alias("module_id"), F.lit(None).cast("string").alias("module_title"),

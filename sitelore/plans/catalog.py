@@ -133,24 +133,24 @@ def q_detect_modules(spark, sf_dir):
 @register("unclassified_pages")
 def q_unclassified_pages(spark, sf_dir):
     pages = discovered_table(spark, sf_dir)
-    _, assigned = hierarchy.build_modules_and_assignments(pages)
+    _, assigned = hierarchy.build_modules_and_assignments(pages, cut_lineage)
     return hierarchy.unclassified_pages(pages, assigned)
 
 
 @register("build_hierarchy")
 def q_build_hierarchy(spark, sf_dir):
-    return hierarchy.build_hierarchy(discovered_table(spark, sf_dir))
+    return hierarchy.build_hierarchy(discovered_table(spark, sf_dir), cut_lineage)
 
 
 @register("course_counts")
 def q_course_counts(spark, sf_dir):
-    return hierarchy.course_counts(hierarchy.build_hierarchy(discovered_table(spark, sf_dir)))
+    return hierarchy.course_counts(hierarchy.build_hierarchy(discovered_table(spark, sf_dir), cut_lineage))
 
 
 @register("course_structure")
 def q_course_structure(spark, sf_dir):
     pages = discovered_table(spark, sf_dir)
-    modules, assigned = hierarchy.build_modules_and_assignments(pages)
+    modules, assigned = hierarchy.build_modules_and_assignments(pages, cut_lineage)
     return hierarchy.course_structure(modules, hierarchy.store_pages(pages, assigned))
 
 
@@ -234,3 +234,146 @@ def q_upsert_content(spark, sf_dir):
 def q_content_timeline(spark, sf_dir):
     c = tables(spark, sf_dir)["content"].select("course_id", "retrieved_at", "page_id", "url")
     return contentops.content_timeline(c)
+
+
+# ---------------------------------------------------------------- 2.4-2.7 state, mutations, selections
+from sitelore.operators import state  # noqa: E402
+
+PATCH_COLUMNS = {"current_stage": "string", "pages_scraped": "bigint", "error": "string", "files_generated": "bigint"}
+
+
+def job_patches(events: DataFrame) -> DataFrame:
+    """Patch log derived from the job events (each event patches some job fields)."""
+    ev, eid = F.col("event"), F.col("event_id")
+    patch = (F.when(ev == "discovered", F.create_map(F.lit("current_stage"), F.lit("scraping")))
+              .when(ev == "scraped", F.create_map(F.lit("pages_scraped"), (eid % 100).cast("string")))
+              .when(ev == "failed", F.create_map(F.lit("error"), F.concat(F.lit("event "), eid.cast("string"))))
+              .when(ev == "processed", F.create_map(F.lit("error"), F.lit(None).cast("string"),
+                                                    F.lit("current_stage"), F.lit("processing")))
+              .otherwise(F.create_map(F.lit("files_generated"), (eid % 7).cast("string"),
+                                      F.lit("current_stage"), F.lit("complete"))))
+    return events.select("job_id", "ts", "event_id", patch.alias("patch"))
+
+
+def jobs(spark, sf_dir) -> DataFrame:
+    return state.job_summary(tables(spark, sf_dir)["job_events"])
+
+
+@register("job_summary")
+def q_job_summary(spark, sf_dir):
+    return jobs(spark, sf_dir)
+
+
+@register("running_progress")
+def q_running_progress(spark, sf_dir):
+    return state.running_progress(tables(spark, sf_dir)["job_events"])
+
+
+@register("latest_job")
+def q_latest_job(spark, sf_dir):
+    return state.latest_job(jobs(spark, sf_dir).select("job_id", "course_id", "started_at", "current_stage"))
+
+
+@register("progress_ratio")
+def q_progress_ratio(spark, sf_dir):
+    return state.progress_ratio(jobs(spark, sf_dir))
+
+
+@register("course_status")
+def q_course_status(spark, sf_dir):
+    return state.course_status(state.status_log(tables(spark, sf_dir)["job_events"]))
+
+
+@register("apply_job_patches")
+def q_apply_job_patches(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    base = state.job_summary(t["job_events"]).select("job_id", "course_id", *PATCH_COLUMNS)
+    return state.apply_job_patches(base, job_patches(t["job_events"]), PATCH_COLUMNS)
+
+
+@register("upsert_pages")
+def q_upsert_pages(spark, sf_dir):
+    pages = discovered(spark, sf_dir).withColumn("status", F.lit("discovered"))
+    new = pages.filter(F.col("page_id") % 5 == 0).withColumn("title", F.concat("title", F.lit(" (rev)"))).withColumn(
+        "status", F.lit("scraped"))
+    return state.upsert_pages(pages, new)
+
+
+def hierarchy_tables(spark, sf_dir):
+    pages = discovered_table(spark, sf_dir)
+    modules, assigned = hierarchy.build_modules_and_assignments(pages, cut_lineage)
+    return pages, modules, assigned
+
+
+@register("replace_modules")
+def q_replace_modules(spark, sf_dir):
+    _, modules, _ = hierarchy_tables(spark, sf_dir)
+    courses = tables(spark, sf_dir)["courses"]
+    even = courses.filter(F.substring("course_id", 2, 20).cast("bigint") % 2 == 0)
+    new = even.select("course_id", F.concat("course_id", F.lit("/replaced")).alias("module_id"),
+                      F.lit("Replaced").alias("module_title"), F.lit(0).cast("bigint").alias("order_index"))
+    return state.replace_modules(modules, new)
+
+
+@register("delete_courses")
+def q_delete_courses(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    ids = t["courses"].filter(F.substring("course_id", 2, 20).cast("bigint") % 4 == 1).select("course_id")
+    out = state.delete_courses({"pages": discovered(spark, sf_dir),
+                                "content": t["page_content"].select("page_id", "url")}, ids)
+    return out["content"]
+
+
+@register("toggle_pages")
+def q_toggle_pages(spark, sf_dir):
+    sel = tables(spark, sf_dir)["selection"]
+    ids = discovered(spark, sf_dir).filter(F.col("page_id") % 5 == 0).select("course_id", "page_id")
+    return state.toggle_pages(sel, ids)
+
+
+@register("toggle_modules")
+def q_toggle_modules(spark, sf_dir):
+    _, modules, assigned = hierarchy_tables(spark, sf_dir)
+    toggled = modules.filter(F.col("order_index") == 0).select("course_id", "module_id")
+    module_pages = assigned.join(toggled, ["course_id", "module_id"], "left_semi").select(
+        "course_id", "module_id", "page_id")
+    return state.toggle_modules(tables(spark, sf_dir)["selection"], module_pages)
+
+
+@register("all_pages")
+def q_all_pages(spark, sf_dir):
+    pages, _, assigned = hierarchy_tables(spark, sf_dir)
+    return state.all_pages(assigned, hierarchy.unclassified_pages(pages, assigned))
+
+
+@register("select_pages")
+def q_select_pages(spark, sf_dir):
+    return state.select_pages(discovered(spark, sf_dir), tables(spark, sf_dir)["selection"])
+
+
+@register("list_courses")
+def q_list_courses(spark, sf_dir):
+    ordered, _ = state.list_courses(tables(spark, sf_dir)["courses"])
+    return ordered
+
+
+@register("eligible_courses")
+def q_eligible_courses(spark, sf_dir):
+    courses = tables(spark, sf_dir)["courses"]
+    parts = [state.eligible_courses(courses, a).select("course_id", F.lit(a).alias("action"))
+             for a in ("open", "process", "export")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("validate_courses")
+def q_validate_courses(spark, sf_dir):
+    req = tables(spark, sf_dir)["links"].select("course_id", "ord", F.col("title").alias("name"), "url")
+    return state.validate_courses(req).select("course_id", "ord", "valid", "reason")
+
+
+@register("filter_content_type")
+def q_filter_content_type(spark, sf_dir):
+    pages = discovered(spark, sf_dir)
+    quiz = state.filter_content_type(pages, ["quiz"]).withColumn("bucket", F.lit("quiz"))
+    work = state.filter_content_type(pages, ["assignment", "project"]).withColumn("bucket", F.lit("assignment"))
+    return quiz.unionByName(work).select("course_id", "page_id", "content_type", "bucket")

@@ -231,3 +231,121 @@ SELECT url, content_hash, page_id, course_id, retrieved_at FROM (
                                ORDER BY (page_id >= 500) DESC, retrieved_at DESC, page_id DESC) AS rn FROM fp) t
 WHERE rn = 1"""
 ORACLE["content_timeline"] = with_(["content"]) + "SELECT course_id, retrieved_at, page_id, url FROM content"
+
+# ---------------------------------------------------------------- state
+JOBS = """
+js AS (SELECT job_id, course_id,
+          count(*) FILTER (WHERE event = 'discovered') AS pages_discovered,
+          count(*) FILTER (WHERE event = 'scraped') AS pages_scraped,
+          count(*) FILTER (WHERE event = 'failed') AS pages_failed,
+          count(*) FILTER (WHERE event = 'processed') AS pages_processed,
+          count(*) FILTER (WHERE event = 'generated') AS files_generated,
+          min(ts) AS started_at, max(ts) AS completed_at
+       FROM job_events GROUP BY job_id, course_id),
+jobs AS (SELECT *,
+          CASE WHEN pages_discovered = 0 THEN 'failed' WHEN pages_scraped > 0 THEN 'complete' ELSE 'failed' END
+            AS current_stage,
+          CASE WHEN pages_discovered = 0 THEN 'No pages found for the given IDs'
+               WHEN pages_failed > 0 THEN CAST(pages_failed AS VARCHAR) || ' pages failed' END AS error
+       FROM js)
+"""
+ORACLE["job_summary"] = with_(["job_events"], JOBS) + "SELECT * FROM jobs"
+ORACLE["running_progress"] = with_(["job_events"]) + """
+SELECT job_id, course_id, event_id, ts, event,
+  CAST(row_number() OVER w - 1 AS BIGINT) AS seq,
+  CAST(sum(CASE WHEN event = 'scraped' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS scraped,
+  CAST(sum(CASE WHEN event = 'failed' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS failed,
+  CAST(sum(CASE WHEN event = 'processed' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS processed
+FROM job_events
+WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+ORACLE["latest_job"] = with_(["job_events"], JOBS) + """
+SELECT course_id, job_id, started_at, current_stage FROM (
+  SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY started_at DESC, job_id DESC) AS rn FROM jobs) t
+WHERE rn = 1"""
+_stages = ", ".join(f"'{s}'" for s in rules.PIPELINE_STAGES)
+ORACLE["progress_ratio"] = with_(["job_events"], JOBS) + f"""
+SELECT job_id, course_id,
+  CASE WHEN pages_discovered > 0 THEN CAST(pages_scraped AS DOUBLE) / CAST(pages_discovered AS DOUBLE) END
+    AS scraped_ratio,
+  CAST(coalesce(list_position([{_stages}], current_stage), 0) - 1 AS INTEGER) AS stage_position
+FROM jobs"""
+ORACLE["course_status"] = with_(["job_events"]) + """
+SELECT course_id,
+  arg_max(CASE event WHEN 'discovered' THEN 'discovered' WHEN 'scraped' THEN 'ingested' WHEN 'failed' THEN 'failed'
+                     WHEN 'processed' THEN 'processed' ELSE 'exported' END, (ts, event_id)) AS status,
+  max(ts) AS updated_at,
+  max(ts) FILTER (WHERE event IN ('scraped', 'failed')) AS last_synced_at
+FROM job_events GROUP BY course_id"""
+ORACLE["apply_job_patches"] = with_(["job_events"], JOBS, """
+st AS (SELECT job_id, arg_max(CASE event WHEN 'discovered' THEN 'scraping' WHEN 'processed' THEN 'processing'
+                                      ELSE 'complete' END, (ts, event_id)) AS v
+       FROM job_events WHERE event IN ('discovered', 'processed', 'generated') GROUP BY job_id),
+sc AS (SELECT job_id, arg_max(event_id % 100, (ts, event_id)) AS v FROM job_events WHERE event = 'scraped' GROUP BY job_id),
+er AS (SELECT job_id, arg_max({'v': CASE WHEN event = 'failed' THEN 'event ' || CAST(event_id AS VARCHAR) END},
+                              (ts, event_id)).v AS v
+       FROM job_events WHERE event IN ('failed', 'processed') GROUP BY job_id),
+fg AS (SELECT job_id, arg_max(event_id % 7, (ts, event_id)) AS v FROM job_events WHERE event = 'generated' GROUP BY job_id)
+""") + """
+SELECT j.job_id, j.course_id,
+  coalesce(st.v, j.current_stage) AS current_stage,
+  CAST(coalesce(sc.v, j.pages_scraped) AS BIGINT) AS pages_scraped,
+  CASE WHEN er.job_id IS NOT NULL THEN er.v ELSE j.error END AS error,
+  CAST(coalesce(fg.v, j.files_generated) AS BIGINT) AS files_generated
+FROM jobs j LEFT JOIN st USING (job_id) LEFT JOIN sc USING (job_id) LEFT JOIN er USING (job_id)
+LEFT JOIN fg USING (job_id)"""
+
+ORACLE["upsert_pages"] = with_(HW, FRONTIER) + """
+SELECT course_id, page_id, url, canonical, CASE WHEN page_id % 5 = 0 THEN title || ' (rev)' ELSE title END AS title,
+       content_type, CASE WHEN page_id % 5 = 0 THEN 'scraped' ELSE 'discovered' END AS status
+FROM dpages"""
+ORACLE["replace_modules"] = with_(HW, FRONTIER, HIER) + """
+SELECT course_id, module_id, module_title, order_index FROM hmods
+WHERE CAST(substring(course_id, 2) AS BIGINT) % 2 <> 0
+UNION ALL
+SELECT course_id, course_id || '/replaced', 'Replaced', CAST(0 AS BIGINT) FROM courses
+WHERE CAST(substring(course_id, 2) AS BIGINT) % 2 = 0"""
+ORACLE["delete_courses"] = with_(HW + ["page_content"], FRONTIER) + """
+SELECT page_id, url FROM page_content
+WHERE page_id NOT IN (SELECT page_id FROM dpages WHERE CAST(substring(course_id, 2) AS BIGINT) % 4 = 1)"""
+ORACLE["toggle_pages"] = with_(HW + ["selection"], FRONTIER, """
+ids AS (SELECT course_id, page_id FROM dpages WHERE page_id % 5 = 0)
+""") + """
+(SELECT course_id, page_id FROM selection EXCEPT ALL SELECT course_id, page_id FROM ids)
+UNION ALL
+(SELECT course_id, page_id FROM ids EXCEPT ALL SELECT course_id, page_id FROM selection)"""
+ORACLE["toggle_modules"] = with_(HW + ["selection"], FRONTIER, HIER, """
+tm AS (SELECT a.course_id, a.module_id, a.page_id FROM hassigned a JOIN hmods m
+       ON a.course_id = m.course_id AND a.module_id = m.module_id WHERE m.order_index = 0),
+mstate AS (SELECT course_id, module_id,
+             bool_and(EXISTS (SELECT 1 FROM selection s WHERE s.course_id = tm.course_id AND s.page_id = tm.page_id))
+               AS all_sel
+           FROM tm GROUP BY course_id, module_id)
+""") + """
+SELECT DISTINCT course_id, page_id FROM (
+  SELECT s.course_id, s.page_id FROM selection s WHERE NOT EXISTS (
+    SELECT 1 FROM tm JOIN mstate USING (course_id, module_id)
+    WHERE mstate.all_sel AND tm.course_id = s.course_id AND tm.page_id = s.page_id)
+  UNION ALL
+  SELECT tm.course_id, tm.page_id FROM tm JOIN mstate USING (course_id, module_id) WHERE NOT mstate.all_sel) t"""
+ORACLE["all_pages"] = with_(HW, FRONTIER, HIER) + """
+SELECT course_id, page_id FROM hassigned UNION SELECT course_id, page_id FROM huncl"""
+ORACLE["select_pages"] = with_(HW + ["selection"], FRONTIER) + """
+SELECT * FROM dpages WHERE page_id IN (SELECT page_id FROM selection)"""
+ORACLE["list_courses"] = with_(["courses"]) + "SELECT * FROM courses"
+_elig = " UNION ALL ".join(
+    f"SELECT course_id, '{a}' AS action FROM courses WHERE status IN ({', '.join(repr(s) for s in v)})"
+    for a, v in rules.ELIGIBLE_STATUSES.items())
+ORACLE["eligible_courses"] = with_(["courses"]) + _elig
+ORACLE["validate_courses"] = with_(["links"]) + f"""
+SELECT course_id, ord, reason IS NULL AS valid, reason FROM (
+  SELECT course_id, ord,
+    CASE WHEN title IS NULL OR length(title) < 1 THEN 'name too short'
+         WHEN length(title) > 500 THEN 'name too long'
+         WHEN url IS NULL OR length(url) < 1 THEN 'url empty'
+         WHEN NOT (starts_with({d.strip('url')}, 'http://') OR starts_with({d.strip('url')}, 'https://'))
+           THEN 'url must start with http:// or https://' END AS reason
+  FROM links) t"""
+ORACLE["filter_content_type"] = with_(HW, FRONTIER) + """
+SELECT course_id, page_id, content_type,
+       CASE WHEN content_type = 'quiz' THEN 'quiz' ELSE 'assignment' END AS bucket
+FROM dpages WHERE content_type IN ('quiz', 'assignment', 'project')"""
