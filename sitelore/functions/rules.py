@@ -149,6 +149,23 @@ def deny_pattern() -> str:
     return "|".join(f"(?:{p})" for p in DENY_RULES)
 
 
+def _raw(s: str) -> str:
+    """Spark SQL raw string literal (no escape processing; patterns contain no quote)."""
+    assert "'" not in s
+    return "r'" + s + "'"
+
+
+def classify_sql(path_sql: str, title_sql: str) -> str:
+    """The rule chain as one Spark SQL ``CASE`` text (built once, parsed in one call)."""
+    parts = ["CASE"]
+    for pattern, ctype in FILE_RULES + PATH_RULES:
+        parts.append(f" WHEN lower({path_sql}) RLIKE {_raw(CI + pattern)} THEN '{ctype}'")
+    for pattern, ctype in TITLE_RULES:
+        parts.append(f" WHEN coalesce({title_sql}, '') <> '' AND {title_sql} RLIKE {_raw(CI + pattern)} THEN '{ctype}'")
+    parts.append(" ELSE 'other' END")
+    return "".join(parts)
+
+
 def is_denied(url: Column) -> Column:
     return url.rlike(CI + deny_pattern())
 

@@ -20,11 +20,10 @@ def prepare_frontier(links: DataFrame) -> DataFrame:
     the dedup aggregate means no later filter re-derives them from the URL: after the aggregate
     they are plain attributes, so predicate pushdown cannot inline the URL split again.
     """
-    clean = links.withColumn("url", urls.py_strip(F.col("url"))).withColumn("_u", urls.url_parts(F.col("url")))
-    return (clean.withColumn("canonical", urls.canonical_of(F.col("_u")))
-                 .withColumn("path", F.col("_u.path"))
-                 .withColumn("url_base", urls.base_domain_of(F.col("_u")))
-                 .drop("_u"))
+    clean = links.withColumn("url", urls.py_strip(F.col("url")))
+    parted = clean.select(*clean.columns, urls.url_parts(F.col("url")).alias("_u"))
+    return parted.select(*clean.columns, urls.canonical_of(F.col("_u")).alias("canonical"),
+                         F.col("_u.path").alias("path"), urls.base_domain_of(F.col("_u")).alias("url_base"))
 
 
 def dedupe_links(frontier: DataFrame, with_count: bool = False) -> DataFrame:
@@ -62,8 +61,10 @@ def relevance_flag(df: DataFrame) -> Column:
 
 def classify_links(df: DataFrame) -> DataFrame:
     """Add ``content_type`` and the display ``title`` (given title, else one derived from the path)."""
-    return (df.withColumn("content_type", rules.classify_content_type(F.col("url"), F.col("title"), F.col("path")))
-              .withColumn("title", F.coalesce(F.nullif(F.col("title"), F.lit("")), urls.title_from_path(F.col("path")))))
+    return df.withColumns({
+        "content_type": F.expr(rules.classify_sql("path", "title")),
+        "title": F.coalesce(F.nullif(F.col("title"), F.lit("")), urls.title_from_path(F.col("path"))),
+    })
 
 
 def discover_pages(links: DataFrame, courses: DataFrame, filter_first: bool = False) -> DataFrame:

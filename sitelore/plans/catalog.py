@@ -377,3 +377,118 @@ def q_filter_content_type(spark, sf_dir):
     quiz = state.filter_content_type(pages, ["quiz"]).withColumn("bucket", F.lit("quiz"))
     work = state.filter_content_type(pages, ["assignment", "project"]).withColumn("bucket", F.lit("assignment"))
     return quiz.unionByName(work).select("course_id", "page_id", "content_type", "bucket")
+
+
+# ---------------------------------------------------------------- 2.2 / 2.10 structuring
+from sitelore.operators import structure  # noqa: E402
+
+
+def stored_tables(spark, sf_dir):
+    """Stored pages (one module per page), modules and courses of the discovery stage."""
+    pages, modules, assigned = hierarchy_tables(spark, sf_dir)
+    return hierarchy.store_pages(pages, assigned), modules, tables(spark, sf_dir)["courses"]
+
+
+def enriched(spark, sf_dir) -> DataFrame:
+    pages, modules, courses = stored_tables(spark, sf_dir)
+    return structure.enrich_context(tables(spark, sf_dir)["page_content"], pages, modules, courses)
+
+
+def joined(arr_col) -> "F.Column":
+    return F.array_join(arr_col, "|")
+
+
+def record_view(df: DataFrame) -> DataFrame:
+    """Flat view of a structured record for comparison."""
+    s = F.col("structured")
+    return df.select(
+        "page_id", "ok", "error", s["title"].alias("title"), s["course"].alias("course"), s["module"].alias("module"),
+        s["content_type"].alias("content_type"), s["summary"].alias("summary"), s["source_url"].alias("source_url"),
+        joined(s["key_concepts"]).alias("key_concepts"), joined(s["learning_objectives"]).alias("objectives"),
+        joined(s["quiz_topics"]).alias("quiz_topics"),
+        joined(F.transform(s["definitions"], lambda e: F.concat(F.coalesce(e["term"], F.lit("")), F.lit("="),
+                                                                F.coalesce(e["definition"], F.lit(""))))).alias("definitions"),
+    )
+
+
+def response_context(spark, sf_dir, responses: DataFrame) -> DataFrame:
+    """Model responses with the context of their page (title, url, course and module names)."""
+    pages, modules, courses = stored_tables(spark, sf_dir)
+    as_content = responses.select("page_id", "course_id", F.lit(None).cast("string").alias("url"),
+                                  F.col("response").alias("markdown"))
+    ctx = structure.enrich_context(as_content, pages, modules, courses).drop("markdown", "ok")
+    return responses.join(ctx.drop("course_id"), "page_id", "left")
+
+
+def parsed_responses(spark, sf_dir, responses: DataFrame | None = None) -> DataFrame:
+    responses = tables(spark, sf_dir)["llm_responses"] if responses is None else responses
+    return structure.parse_structured(structure.extract_llm_json(response_context(spark, sf_dir, responses)))
+
+
+@register("enrich_context")
+def q_enrich_context(spark, sf_dir):
+    return enriched(spark, sf_dir)
+
+
+@register("build_llm_requests")
+def q_build_llm_requests(spark, sf_dir):
+    e = enriched(spark, sf_dir).filter("ok")
+    parts = [structure.build_llm_requests(e, t) for t in ("classify", "structure", "summarize")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("extract_llm_json")
+def q_extract_llm_json(spark, sf_dir):
+    return structure.extract_llm_json(tables(spark, sf_dir)["llm_responses"]).select("page_id", "json_text")
+
+
+@register("parse_structured")
+def q_parse_structured(spark, sf_dir):
+    return record_view(parsed_responses(spark, sf_dir))
+
+
+@register("parse_classification")
+def q_parse_classification(spark, sf_dir):
+    ex = structure.extract_llm_json(tables(spark, sf_dir)["llm_responses"])
+    return structure.parse_classification(ex).select("page_id", "cls_content_type", "cls_confidence", "cls_reasoning")
+
+
+@register("structure_content")
+def q_structure_content(spark, sf_dir):
+    return record_view(structure.structure_content(enriched(spark, sf_dir)))
+
+
+@register("summarize")
+def q_summarize(spark, sf_dir):
+    return structure.summarize(tables(spark, sf_dir)["page_content"]).select("page_id", "summary")
+
+
+@register("classify_content")
+def q_classify_content(spark, sf_dir):
+    return structure.classify_content(enriched(spark, sf_dir)).select(
+        "page_id", "cls_content_type", "cls_confidence", "cls_reasoning")
+
+
+@register("resolve_ambiguous")
+def q_resolve_ambiguous(spark, sf_dir):
+    cls = structure.classify_content(enriched(spark, sf_dir))
+    return structure.resolve_ambiguous(discovered(spark, sf_dir), cls).select(
+        "course_id", "page_id", "content_type", "type_source")
+
+
+@register("current_structured")
+def q_current_structured(spark, sf_dir):
+    versions = tables(spark, sf_dir)["structured_versions"]
+    cur = structure.current_structured(cut_lineage(parsed_responses(spark, sf_dir, versions)))
+    s = F.col("structured")
+    return cur.select("page_id", "course_id", F.col("pos").cast("bigint").alias("pos"), s["title"].alias("title"),
+                      s["content_type"].alias("content_type"), s["summary"].alias("summary"))
+
+
+@register("processing_summary")
+def q_processing_summary(spark, sf_dir):
+    e = enriched(spark, sf_dir).select("page_id", "course_id", F.col("ok").alias("has_text"))
+    p = parsed_responses(spark, sf_dir).select("page_id", F.col("ok").alias("parsed"))
+    results = e.join(p, "page_id", "left").select(
+        "course_id", "page_id", (F.col("has_text") & F.coalesce("parsed", F.lit(False))).alias("ok"))
+    return state.processing_summary(results)

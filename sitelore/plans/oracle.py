@@ -349,3 +349,177 @@ ORACLE["filter_content_type"] = with_(HW, FRONTIER) + """
 SELECT course_id, page_id, content_type,
        CASE WHEN content_type = 'quiz' THEN 'quiz' ELSE 'assignment' END AS bucket
 FROM dpages WHERE content_type IN ('quiz', 'assignment', 'project')"""
+
+# ---------------------------------------------------------------- structuring
+from sitelore.operators import structure as _st  # noqa: E402
+
+
+def _enrich(content: str) -> str:
+    return f"""
+SELECT c.page_id, c.course_id, co.name AS course_name, coalesce(m.module_title, 'Unknown Module') AS module_name,
+       CASE WHEN p.page_id IS NOT NULL THEN p.title ELSE 'Unknown' END AS title,
+       CASE WHEN p.page_id IS NOT NULL THEN p.url ELSE c.url END AS url,
+       CASE WHEN p.page_id IS NOT NULL THEN p.content_type ELSE 'other' END AS content_type,
+       c.markdown, coalesce(c.markdown, '') <> '' AS ok
+FROM {content} c LEFT JOIN stored p ON p.page_id = c.page_id
+LEFT JOIN hmods m ON m.module_id = p.module_id
+LEFT JOIN courses co ON co.course_id = c.course_id"""
+
+
+def _extract_json(resp: str) -> str:
+    t = d.strip(resp)
+    unf = (f"(CASE WHEN starts_with({t}, '```') THEN array_to_string(list_filter(string_split({t}, chr(10)), "
+           f"lambda l: NOT starts_with({d.strip('l')}, '```')), chr(10)) ELSE {t} END)")
+    start = f"strpos({unf}, '{{')"
+    rpos = f"strpos(reverse({unf}), '}}')"
+    last = f"(length({unf}) - {rpos} + 1)"
+    span = f"substring({unf}, {start}, {last} - {start} + 1)"
+    return (f"(CASE WHEN json_valid({unf}) THEN {unf} "
+            f"WHEN {start} > 0 AND {rpos} > 0 AND {last} > {start} AND json_valid({span}) THEN {span} END)")
+
+
+def _parse_cols(j: str) -> str:
+    """Flat structured-record view with the same checks and defaults as parse_structured."""
+    ctx = {"title": "title", "course": "coalesce(course_name, '')", "module": "coalesce(module_name, '')",
+           "summary": "''", "source_url": "coalesce(url, '')"}
+    err = [f"WHEN coalesce(json_type({j}), '') <> 'OBJECT' THEN 'not a JSON object'"]
+    vals = {}
+    for name in _st.STRING_FIELDS:
+        tp = f"json_type({j}, '$.{name}')"
+        err.append(f"WHEN NOT coalesce(({tp} IS NULL OR {tp} = 'VARCHAR'), false) THEN 'invalid {name}'")
+        vals[name] = f"CASE WHEN {tp} IS NULL THEN {ctx[name]} ELSE json_extract_string({j}, '$.{name}') END"
+    vals["source_url"] = ctx["source_url"]
+    tp = f"json_type({j}, '$.content_type')"
+    ctv = f"(CASE WHEN {tp} IS NULL THEN 'other' ELSE json_extract_string({j}, '$.content_type') END)"
+    types = ", ".join(d.q(t) for t in rules.CONTENT_TYPES)
+    err.append(f"WHEN NOT coalesce((({tp} IS NULL OR {tp} = 'VARCHAR') AND {ctv} IN ({types})), false) "
+               f"THEN 'invalid content_type'")
+    vals["content_type"] = ctv
+    lists = {}
+    for name in _st.LIST_FIELDS:
+        tp = f"json_type({j}, '$.{name}')"
+        allstr = f"coalesce(list_bool_and(list_transform(json_type({j}, '$.{name}[*]'), lambda t: t = 'VARCHAR')), true)"
+        err.append(f"WHEN NOT coalesce(({tp} IS NULL OR ({tp} = 'ARRAY' AND {allstr})), false) THEN 'invalid {name}'")
+        lists[name] = f"array_to_string(CASE WHEN {tp} IS NULL THEN [] ELSE json_extract_string({j}, '$.{name}[*]') END, '|')"
+    tp = f"json_type({j}, '$.definitions')"
+    allobj = f"coalesce(list_bool_and(list_transform(json_type({j}, '$.definitions[*]'), lambda t: t = 'OBJECT')), true)"
+    err.append(f"WHEN NOT coalesce(({tp} IS NULL OR ({tp} = 'ARRAY' AND {allobj})), false) THEN 'invalid definitions'")
+    defs = (f"array_to_string(CASE WHEN {tp} IS NULL THEN [] ELSE list_transform(json_extract({j}, '$.definitions[*]'), "
+            f"lambda e: coalesce(json_extract_string(e, '$.term'), '') || '=' || "
+            f"coalesce(json_extract_string(e, '$.definition'), '')) END, '|')")
+    error = "CASE " + " ".join(err) + " END"
+    ok = f"({error}) IS NULL"
+    out = [f"{ok} AS ok", f"{error} AS error"]
+    for name in ["title", "course", "module", "content_type", "summary", "source_url"]:
+        out.append(f"CASE WHEN {ok} THEN {vals[name]} END AS {name}")
+    out.append(f"CASE WHEN {ok} THEN {lists['key_concepts']} END AS key_concepts")
+    out.append(f"CASE WHEN {ok} THEN {lists['learning_objectives']} END AS objectives")
+    out.append(f"CASE WHEN {ok} THEN {lists['quiz_topics']} END AS quiz_topics")
+    out.append(f"CASE WHEN {ok} THEN {defs} END AS definitions")
+    return ",\n  ".join(out)
+
+
+def _summary(md: str) -> str:
+    flat = f"regexp_replace(coalesce({md}, ''), {d.q(_st.WS_RUN)}, ' ', 'g')"
+    return d.strip(f"array_to_string(list_slice(regexp_extract_all({flat}, {d.q(_st.SENTENCE)}, 0), 1, 3), '')")
+
+
+def _bullets(md: str, heading_re: str) -> str:
+    secs = f"string_split_regex(chr(10) || {md}, {d.q(r'\n#{1,6} ')})"
+    picked = f"list_filter(({secs})[2:], lambda s: regexp_matches(split_part(s, chr(10), 1), {d.q(heading_re)}))"
+    return f"flatten(list_transform({picked}, lambda s: regexp_extract_all(s, {d.q(r'\n[-*] +([^\n]+)')}, 1)))"
+
+
+def _prompt(task: str) -> str:
+    defaults = _st.TEMPLATE_DEFAULTS[task]
+    parts = []
+    for piece in _st.TEMPLATES[task]:
+        if piece == "content":
+            parts.append(f"left(coalesce(markdown, ''), {_st.CONTEXT_LIMITS[task]})")
+        elif piece in ("title", "url", "course_name", "module_name"):
+            parts.append(f"coalesce({piece}, {d.q(defaults.get(piece, ''))})")
+        else:
+            parts.append(d.q(piece))
+    return " || ".join(parts)
+
+
+STRUCT_FX = HW + ["page_content", "llm_responses"]
+ENR = f"enr AS ({_enrich('page_content')})"
+RESP_CTX = f"""
+rctx AS (SELECT r.page_id, r.course_id, r.response, e.course_name, e.module_name, e.title, e.url
+         FROM llm_responses r LEFT JOIN ({_enrich("(SELECT page_id, course_id, NULL AS url, response AS markdown FROM llm_responses)")}) e
+         ON e.page_id = r.page_id),
+rjson AS (SELECT *, {_extract_json('response')} AS json_text FROM rctx),
+rparsed AS (SELECT page_id, course_id, {_parse_cols('json_text')} FROM rjson)
+"""
+
+ORACLE["enrich_context"] = with_(STRUCT_FX, FRONTIER, HIER, ENR) + "SELECT * FROM enr"
+ORACLE["build_llm_requests"] = with_(STRUCT_FX, FRONTIER, HIER, ENR) + " UNION ALL ".join(
+    f"SELECT page_id, '{t}' AS task, {_prompt(t)} AS prompt FROM enr WHERE ok" for t in ("classify", "structure", "summarize"))
+ORACLE["extract_llm_json"] = with_(["llm_responses"]) + f"SELECT page_id, {_extract_json('response')} AS json_text FROM llm_responses"
+ORACLE["parse_structured"] = with_(STRUCT_FX, FRONTIER, HIER, RESP_CTX) + """
+SELECT page_id, ok, error, title, course, module, content_type, summary, source_url, key_concepts, objectives,
+       quiz_topics, definitions FROM rparsed"""
+_ct = "CASE WHEN json_type(j, '$.content_type') IS NULL THEN 'other' ELSE json_extract_string(j, '$.content_type') END"
+_cf = """CASE WHEN json_type(j, '$.confidence') IS NULL THEN 0.5
+     WHEN json_type(j, '$.confidence') = 'BOOLEAN' THEN CASE WHEN json_extract(j, '$.confidence')::BOOLEAN THEN 1.0 ELSE 0.0 END
+     WHEN json_type(j, '$.confidence') = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE)
+     WHEN json_type(j, '$.confidence') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract(j, '$.confidence') AS DOUBLE)
+     END"""
+_types = ", ".join(d.q(t) for t in rules.CONTENT_TYPES)
+ORACLE["parse_classification"] = with_(["llm_responses"]) + f"""
+SELECT page_id,
+  CASE WHEN ok THEN ct ELSE 'other' END AS cls_content_type,
+  CAST(CASE WHEN ok THEN cf ELSE 0.0 END AS DOUBLE) AS cls_confidence,
+  CASE WHEN ok THEN json_extract_string(j, '$.reasoning') ELSE 'Classification failed' END AS cls_reasoning
+FROM (SELECT *, coalesce(json_type(j) = 'OBJECT'
+        AND (json_type(j, '$.content_type') IS NULL OR json_type(j, '$.content_type') = 'VARCHAR') AND ct IN ({_types})
+        AND cf IS NOT NULL
+        AND (json_type(j, '$.reasoning') IS NULL OR json_type(j, '$.reasoning') IN ('VARCHAR', 'NULL')), false) AS ok
+      FROM (SELECT page_id, j, {_ct} AS ct, {_cf} AS cf FROM
+              (SELECT page_id, {_extract_json('response')} AS j FROM llm_responses) a) b) c"""
+
+_md = "coalesce(markdown, '')"
+_dre = r"(?m)^\*\*([^*\n]+)\*\*:[ \t]*([^\n]+)$"
+_defs = (f"array_to_string(list_transform(generate_series(1, len(regexp_extract_all({_md}, {d.q(_dre)}, 1))), "
+         f"lambda i: regexp_extract_all({_md}, {d.q(_dre)}, 1)[i] || '=' || regexp_extract_all({_md}, {d.q(_dre)}, 2)[i]), '|')")
+ORACLE["structure_content"] = with_(STRUCT_FX, FRONTIER, HIER, ENR) + f"""
+SELECT page_id, ok, CASE WHEN NOT ok THEN 'empty content' END AS error,
+  CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN coalesce(course_name, '') END AS course,
+  CASE WHEN ok THEN coalesce(module_name, '') END AS module,
+  CASE WHEN ok THEN coalesce(content_type, 'other') END AS content_type,
+  CASE WHEN ok THEN {_summary('markdown')} END AS summary,
+  CASE WHEN ok THEN coalesce(url, '') END AS source_url,
+  CASE WHEN ok THEN array_to_string(list_sort(list_distinct(regexp_extract_all({_md}, {d.q(r'\*\*([^*]+)\*\*')}, 1))), '|') END
+    AS key_concepts,
+  CASE WHEN ok THEN array_to_string({_bullets(_md, _st.SECTION_FIELDS['learning_objectives'])}, '|') END AS objectives,
+  CASE WHEN ok THEN array_to_string({_bullets(_md, _st.SECTION_FIELDS['quiz_topics'])}, '|') END AS quiz_topics,
+  CASE WHEN ok THEN {_defs} END AS definitions
+FROM enr"""
+ORACLE["summarize"] = with_(["links", "page_content"]) + f"SELECT page_id, {_summary('markdown')} AS summary FROM page_content"
+_cls_text = "concat_ws(' ', title, left(coalesce(markdown, ''), 2000))"
+CLS = f"""cls AS (SELECT page_id, {rules.duck_classify_sql("''", _cls_text)} AS cls_content_type FROM enr),
+cls2 AS (SELECT page_id, cls_content_type,
+           CAST(CASE WHEN cls_content_type <> 'other' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS cls_confidence,
+           CASE WHEN cls_content_type <> 'other' THEN 'keyword rule' ELSE 'no rule matched' END AS cls_reasoning FROM cls)"""
+ORACLE["classify_content"] = with_(STRUCT_FX, FRONTIER, HIER, ENR, CLS) + "SELECT * FROM cls2"
+ORACLE["resolve_ambiguous"] = with_(STRUCT_FX, FRONTIER, HIER, ENR, CLS) + """
+SELECT p.course_id, p.page_id,
+  CASE WHEN p.content_type = 'other' AND c.page_id IS NOT NULL THEN c.cls_content_type ELSE p.content_type END AS content_type,
+  CASE WHEN p.content_type = 'other' AND c.page_id IS NOT NULL THEN 'model' ELSE 'rules' END AS type_source
+FROM dpages p LEFT JOIN cls2 c ON c.page_id = p.page_id"""
+_VCTX = RESP_CTX.replace("FROM llm_responses r", "FROM structured_versions r").replace(
+    "r.page_id, r.course_id, r.response,", "r.page_id, r.course_id, r.version, r.response,").replace(
+    "SELECT page_id, course_id, {", "SELECT page_id, course_id, version, {")
+_VCTX = _VCTX.replace("rparsed AS (SELECT page_id, course_id,", "rparsed AS (SELECT page_id, course_id, version,")
+ORACLE["current_structured"] = with_(STRUCT_FX + ["structured_versions"], FRONTIER, HIER, _VCTX) + """
+SELECT page_id, arg_max(course_id, version) AS course_id, CAST(min(version) AS BIGINT) AS pos,
+  arg_max(title, version) AS title, arg_max(content_type, version) AS content_type, arg_max(summary, version) AS summary
+FROM rparsed WHERE ok GROUP BY page_id"""
+ORACLE["processing_summary"] = with_(STRUCT_FX, FRONTIER, HIER, ENR, RESP_CTX) + """
+SELECT course_id, CAST(count(*) FILTER (WHERE res) AS BIGINT) AS processed,
+  CAST(count(*) FILTER (WHERE NOT res) AS BIGINT) AS failed, CAST(count(*) AS BIGINT) AS total,
+  CASE WHEN count(*) FILTER (WHERE res) > 0 THEN 'processed' ELSE 'failed' END AS status,
+  CASE WHEN count(*) FILTER (WHERE res) = 0 THEN 'All pages failed processing' END AS error
+FROM (SELECT e.course_id, e.page_id, e.ok AND coalesce(r.ok, false) AS res
+      FROM enr e LEFT JOIN rparsed r ON r.page_id = e.page_id) t GROUP BY course_id"""

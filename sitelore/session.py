@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,11 +50,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint (written to the shared folder; survives executor loss)."""
+def cut_lineage(df, spark: SparkSession | None = None, name: str = "stage"):
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Computes the input once (an eager RDD checkpoint computes it twice), survives executor
+    loss (the files live on shared storage, not on an executor), and downstream scans get
+    column pruning and filter pushdown on the written table.
+    """
     spark = spark or df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def env_int(name: str, default: int) -> int:
