@@ -414,8 +414,8 @@ def record_view(df: DataFrame) -> DataFrame:
 def response_context(spark, sf_dir, responses: DataFrame) -> DataFrame:
     """Model responses with the context of their page (title, url, course and module names)."""
     pages, modules, courses = stored_tables(spark, sf_dir)
-    as_content = responses.select("page_id", "course_id", F.lit(None).cast("string").alias("url"),
-                                  F.col("response").alias("markdown"))
+    as_content = responses.select("page_id", "course_id").distinct().select(
+        "page_id", "course_id", F.lit(None).cast("string").alias("url"), F.lit("").alias("markdown"))
     ctx = structure.enrich_context(as_content, pages, modules, courses).drop("markdown", "ok")
     return responses.join(ctx.drop("course_id"), "page_id", "left")
 
@@ -492,3 +492,145 @@ def q_processing_summary(spark, sf_dir):
     results = e.join(p, "page_id", "left").select(
         "course_id", "page_id", (F.col("has_text") & F.coalesce("parsed", F.lit(False))).alias("ok"))
     return state.processing_summary(results)
+
+
+# ---------------------------------------------------------------- 2.4 / 2.5 / 2.6 / 2.8 documents
+from sitelore.operators import documents as docs  # noqa: E402
+
+
+def doc_inputs(spark, sf_dir):
+    """Stage tables of the export: courses, numbered modules, module pages with content, and the
+    current structured record per page (course taken from the page). Each is written once to the
+    shared checkpoint folder because every document reads it."""
+    t = tables(spark, sf_dir)
+    pages, modules, courses = stored_tables(spark, sf_dir)
+    pages = cut_lineage(pages, name="stored_pages")
+    numbered = cut_lineage(docs.number_modules(modules), name="numbered_modules")
+    mpc = cut_lineage(docs.module_pages(numbered, docs.page_content(pages, t["scraped"])), name="module_pages")
+    versions = parsed_responses(spark, sf_dir, t["structured_versions"])
+    cur = structure.current_structured(cut_lineage(versions, name="parsed_versions"))
+    structured = cut_lineage(cur.drop("course_id").join(pages.select("page_id", "course_id"), "page_id"),
+                             name="current_structured")
+    return courses.select("course_id", "name", "url"), numbered, mpc, structured
+
+
+@register("number_modules")
+def q_number_modules(spark, sf_dir):
+    _, modules, _ = hierarchy_tables(spark, sf_dir)
+    return docs.number_modules(modules).select("course_id", "module_id", "order_index", "idx", "prefix")
+
+
+@register("page_content")
+def q_page_content(spark, sf_dir):
+    pages, _, _ = stored_tables(spark, sf_dir)
+    pc = docs.page_content(pages, tables(spark, sf_dir)["scraped"])
+    return pc.select("course_id", "page_id", "scraped", F.coalesce("markdown", F.lit("N/A")).alias("markdown"),
+                     "retrieved_at")
+
+
+@register("top_summaries")
+def q_top_summaries(spark, sf_dir):
+    _, _, _, structured = doc_inputs(spark, sf_dir)
+    top = docs.top_summaries(structured)
+    return top.select("course_id", "page_id", F.col("rank").cast("bigint").alias("rank"),
+                      F.col("structured.summary").alias("summary"))
+
+
+def module_struct(spark, sf_dir):
+    _, numbered, mpc, structured = doc_inputs(spark, sf_dir)
+    return mpc.join(structured.select("page_id", "structured"), "page_id")
+
+
+@register("module_concepts")
+def q_module_concepts(spark, sf_dir):
+    return docs.module_concepts(module_struct(spark, sf_dir)).select("course_id", "module_id", "value", "rank")
+
+
+@register("module_quiz_topics")
+def q_module_quiz_topics(spark, sf_dir):
+    return docs.module_concepts(module_struct(spark, sf_dir), "quiz_topics").select(
+        "course_id", "module_id", "value", "rank")
+
+
+@register("module_collections")
+def q_module_collections(spark, sf_dir):
+    return docs.module_collections(module_struct(spark, sf_dir))
+
+
+@register("glossary")
+def q_glossary(spark, sf_dir):
+    _, _, _, structured = doc_inputs(spark, sf_dir)
+    return docs.glossary(structured)
+
+
+@register("doc_course_overview")
+def q_doc_course_overview(spark, sf_dir):
+    courses, numbered, mpc, structured = doc_inputs(spark, sf_dir)
+    return docs.doc_course_overview(courses, numbered, mpc, structured)
+
+
+@register("doc_source_layer")
+def q_doc_source_layer(spark, sf_dir):
+    courses, numbered, mpc, _ = doc_inputs(spark, sf_dir)
+    return docs.doc_source_layer(courses, numbered, mpc)
+
+
+@register("doc_knowledge_layer")
+def q_doc_knowledge_layer(spark, sf_dir):
+    courses, numbered, mpc, structured = doc_inputs(spark, sf_dir)
+    return docs.doc_knowledge_layer(courses, numbered, mpc, structured)
+
+
+@register("doc_quiz_bank")
+def q_doc_quiz_bank(spark, sf_dir):
+    courses, numbered, mpc, _ = doc_inputs(spark, sf_dir)
+    return docs.doc_quiz_bank(courses, numbered, mpc)
+
+
+@register("doc_assignments")
+def q_doc_assignments(spark, sf_dir):
+    courses, numbered, mpc, _ = doc_inputs(spark, sf_dir)
+    return docs.doc_assignments(courses, numbered, mpc)
+
+
+@register("doc_glossary")
+def q_doc_glossary(spark, sf_dir):
+    courses, _, _, structured = doc_inputs(spark, sf_dir)
+    return docs.doc_glossary(courses, structured)
+
+
+@register("doc_sources")
+def q_doc_sources(spark, sf_dir):
+    courses, numbered, mpc, _ = doc_inputs(spark, sf_dir)
+    return docs.doc_sources(courses, numbered, mpc)
+
+
+def all_documents(spark, sf_dir) -> DataFrame:
+    courses, numbered, mpc, structured = doc_inputs(spark, sf_dir)
+    parts = [docs.doc_course_overview(courses, numbered, mpc, structured),
+             docs.doc_source_layer(courses, numbered, mpc),
+             docs.doc_knowledge_layer(courses, numbered, mpc, structured),
+             docs.doc_quiz_bank(courses, numbered, mpc), docs.doc_assignments(courses, numbered, mpc),
+             docs.doc_glossary(courses, structured), docs.doc_sources(courses, numbered, mpc)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("render_documents")
+def q_render_documents(spark, sf_dir):
+    return docs.render_documents(all_documents(spark, sf_dir))
+
+
+@register("export_manifest")
+def q_export_manifest(spark, sf_dir):
+    courses, numbered, _, _ = doc_inputs(spark, sf_dir)
+    return docs.export_manifest(courses, numbered)
+
+
+@register("export_file_type")
+def q_export_file_type(spark, sf_dir):
+    courses, numbered, _, _ = doc_inputs(spark, sf_dir)
+    names = docs.export_manifest(courses, numbered).select("course_id", "filename")
+    return names.select("course_id", "filename", rules.export_file_type(F.col("filename")).alias("file_type"))

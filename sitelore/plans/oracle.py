@@ -447,7 +447,7 @@ STRUCT_FX = HW + ["page_content", "llm_responses"]
 ENR = f"enr AS ({_enrich('page_content')})"
 RESP_CTX = f"""
 rctx AS (SELECT r.page_id, r.course_id, r.response, e.course_name, e.module_name, e.title, e.url
-         FROM llm_responses r LEFT JOIN ({_enrich("(SELECT page_id, course_id, NULL AS url, response AS markdown FROM llm_responses)")}) e
+         FROM llm_responses r LEFT JOIN ({_enrich("(SELECT DISTINCT page_id, course_id, NULL AS url, '' AS markdown FROM llm_responses)")}) e
          ON e.page_id = r.page_id),
 rjson AS (SELECT *, {_extract_json('response')} AS json_text FROM rctx),
 rparsed AS (SELECT page_id, course_id, {_parse_cols('json_text')} FROM rjson)
@@ -523,3 +523,247 @@ SELECT course_id, CAST(count(*) FILTER (WHERE res) AS BIGINT) AS processed,
   CASE WHEN count(*) FILTER (WHERE res) = 0 THEN 'All pages failed processing' END AS error
 FROM (SELECT e.course_id, e.page_id, e.ok AND coalesce(r.ok, false) AS res
       FROM enr e LEFT JOIN rparsed r ON r.page_id = e.page_id) t GROUP BY course_id"""
+
+# ---------------------------------------------------------------- documents
+from sitelore.operators import documents as _docs  # noqa: E402
+
+_TAIL = _docs.TAIL
+
+
+def _parse_lists(j: str) -> str:
+    """ok, title, summary and the raw lists of a structured record (for the documents)."""
+    flat = _parse_cols(j)
+    error = flat.split(" AS error")[0].split(" AS ok,\n  ", 1)[1]
+    ok = f"(({error}) IS NULL)"
+
+    def lst(name: str) -> str:
+        tp = f"json_type({j}, '$.{name}')"
+        return f"CASE WHEN {tp} IS NULL THEN CAST([] AS VARCHAR[]) ELSE json_extract_string({j}, '$.{name}[*]') END"
+
+    tp = f"json_type({j}, '$.definitions')"
+    defs = (f"CASE WHEN {tp} IS NULL THEN [] ELSE list_transform(json_extract({j}, '$.definitions[*]'), "
+            f"lambda e: {{'term': json_extract_string(e, '$.term'), 'definition': json_extract_string(e, '$.definition')}}) END")
+    title = f"CASE WHEN json_type({j}, '$.title') IS NULL THEN title ELSE json_extract_string({j}, '$.title') END"
+    summary = f"CASE WHEN json_type({j}, '$.summary') IS NULL THEN '' ELSE json_extract_string({j}, '$.summary') END"
+    return (f"{ok} AS ok, {title} AS s_title, {summary} AS s_summary, {lst('learning_objectives')} AS objectives, "
+            f"{lst('key_concepts')} AS concepts, {defs} AS defs, {lst('important_formulas')} AS formulas, "
+            f"{lst('quiz_topics')} AS quiz_topics")
+
+
+DOCS = f"""
+num2 AS (SELECT *, printf('module-%02d', idx) AS prefix FROM (
+           SELECT course_id, module_id, module_title, order_index,
+                  row_number() OVER (PARTITION BY course_id ORDER BY order_index, module_id) AS idx FROM hmods) n),
+latest AS (SELECT page_id, arg_max(markdown, (retrieved_at, markdown)) AS markdown, max(retrieved_at) AS retrieved_at
+           FROM scraped GROUP BY page_id),
+pc AS (SELECT s.*, l.markdown, l.retrieved_at, l.page_id IS NOT NULL AS scraped
+       FROM stored s LEFT JOIN latest l ON l.page_id = s.page_id),
+mpc AS (SELECT pc.*, n.module_title, n.idx, n.prefix FROM pc JOIN num2 n
+        ON n.course_id = pc.course_id AND n.module_id = pc.module_id),
+vctx AS (SELECT r.page_id, r.version, r.response, e.course_name, e.module_name, e.title, e.url
+         FROM structured_versions r LEFT JOIN ({_enrich("(SELECT DISTINCT page_id, course_id, NULL AS url, '' AS markdown FROM structured_versions)")}) e
+         ON e.page_id = r.page_id),
+vjson AS (SELECT *, {_extract_json('response')} AS json_text FROM vctx),
+vparsed AS (SELECT page_id, version, {_parse_lists('json_text')} FROM vjson),
+cur AS (SELECT page_id, CAST(min(version) AS BIGINT) AS pos, arg_max(s_title, version) AS s_title,
+          arg_max(s_summary, version) AS s_summary, arg_max(objectives, version) AS objectives,
+          arg_max(concepts, version) AS concepts, arg_max(defs, version) AS defs,
+          arg_max(formulas, version) AS formulas, arg_max(quiz_topics, version) AS quiz_topics
+        FROM vparsed WHERE ok GROUP BY page_id),
+cst AS (SELECT cur.*, s.course_id FROM cur JOIN stored s ON s.page_id = cur.page_id),
+ms AS (SELECT mpc.course_id, mpc.module_id, mpc.page_id, mpc.prefix, cst.pos, cst.s_title, cst.s_summary,
+              cst.objectives, cst.concepts, cst.defs, cst.formulas, cst.quiz_topics
+       FROM mpc JOIN cst ON cst.page_id = mpc.page_id)
+"""
+DOC_FX = HW + ["page_content", "scraped", "llm_responses", "structured_versions"]
+
+
+def _dl(src: str, filename: str, sec: str, item: str, lines: list[str]) -> str:
+    arr = ", ".join(lines)
+    return (f"SELECT course_id, filename, sec, item, CAST(i - 1 AS BIGINT) AS ln, arr[i] AS line FROM ("
+            f"SELECT course_id, {filename} AS filename, CAST({sec} AS BIGINT) AS sec, CAST({item} AS BIGINT) AS item, "
+            f"[{arr}] AS arr, unnest(generate_series(1, {len(lines)})) AS i FROM {src}) x")
+
+
+def _u(*parts: str) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+_OVER_F = d.q(_docs.OVERVIEW_FILE)
+_TOP = """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY pos, page_id) AS rank
+                              FROM cst WHERE coalesce(s_summary, '') <> '') t WHERE rank <= 5)"""
+_ov = _u(
+    _dl("(SELECT c.*, (SELECT count(*) FROM num2 n WHERE n.course_id = c.course_id) AS n_modules FROM courses c)",
+        _OVER_F, "0", "-1", ["'# ' || name", "''", "'Course URL: ' || url", "'Total Modules: ' || CAST(n_modules AS VARCHAR)",
+                             "''", "'---'", "''", "'## Course Structure'", "''"]),
+    _dl("num2", _OVER_F, "idx * 100", "-1", ["'### Module ' || CAST(idx AS VARCHAR) || ': ' || module_title", "''"]),
+    _dl("mpc", _OVER_F, "idx * 100", "page_id",
+        ["'- ' || coalesce(nullif(title, ''), 'Untitled') || ' ' || "
+         "CASE WHEN content_type <> 'other' THEN '[' || content_type || ']' ELSE '' END"]),
+    _dl("num2", _OVER_F, "idx * 100", str(_TAIL), ["''"]),
+    _dl("(SELECT DISTINCT course_id FROM top)", _OVER_F, str(_TAIL), "-1", ["'## Course Summary'", "''"]),
+    _dl("top", _OVER_F, str(_TAIL), "rank", ["'**' || s_title || '**: ' || s_summary", "''"]),
+)
+
+
+def _mod_head(suffix: str) -> str:
+    f = f"prefix || {d.q(suffix)}"
+    return _u(
+        _dl("(SELECT n.*, c.name FROM num2 n LEFT JOIN courses c ON c.course_id = n.course_id)", f, "0", "-1",
+            ["'# ' || module_title", "''", "'Course: ' || coalesce(name, '')", "''", "'Source URLs:'"]),
+        _dl("mpc", f, "1", "page_id", ["'- ' || url"]),
+        _dl("num2", f, "2", "-1", ["''", "'---'", "''"]),
+    )
+
+
+_SRC_F = "prefix || '-source.md'"
+_src = _u(
+    _mod_head("-source.md"),
+    _dl("(SELECT * FROM mpc WHERE scraped AND coalesce(markdown, '') <> '')", _SRC_F, "3", "page_id",
+        ["'## ' || coalesce(nullif(title, ''), 'Untitled')", "''", "'*Source: ' || url || '*'",
+         "'*Type: ' || content_type || '*'", "''", "markdown", "''", "'---'", "''"]),
+    _dl("(SELECT * FROM mpc WHERE scraped AND coalesce(markdown, '') = '')", _SRC_F, "3", "page_id",
+        ["'## ' || coalesce(nullif(title, ''), 'Untitled')", "''", "'*Source: ' || url || '*'",
+         "'*Type: ' || content_type || '*'", "''", "''", "'---'", "''"]),
+)
+
+_KN_F = "prefix || '-knowledge.md'"
+_has = "EXISTS (SELECT 1 FROM ms WHERE ms.course_id = n.course_id AND ms.module_id = n.module_id)"
+
+
+def _items(list_col: str, fmt: str, sec: int) -> str:
+    """Entries of a per-page list, item = page, ln = list position."""
+    return (f"SELECT course_id, {_KN_F} AS filename, CAST({sec} AS BIGINT) AS sec, CAST(page_id AS BIGINT) AS item, "
+            f"CAST(i - 1 AS BIGINT) AS ln, {fmt.replace('v', f'{list_col}[i]')} AS line FROM "
+            f"(SELECT *, unnest(generate_series(1, len({list_col}))) AS i FROM ms) x")
+
+
+def _ranked(list_col: str, fmt: str, sec: int) -> str:
+    return (f"SELECT course_id, prefix || '-knowledge.md' AS filename, CAST({sec} AS BIGINT) AS sec, "
+            f"CAST(rank AS BIGINT) AS item, CAST(0 AS BIGINT) AS ln, {fmt} AS line FROM ("
+            f"SELECT course_id, module_id, prefix, value, row_number() OVER (PARTITION BY course_id, module_id ORDER BY value) - 1 AS rank "
+            f"FROM (SELECT DISTINCT course_id, module_id, prefix, unnest({list_col}) AS value FROM ms) u) r")
+
+
+def _sectioned(entries: str, sec: int, heading: list[str]) -> str:
+    files = f"(SELECT DISTINCT course_id, filename FROM ({entries}) e)"
+    return _u(_dl(files, "filename", str(sec), "-1", heading), f"SELECT * FROM ({entries}) e2",
+              _dl(files, "filename", str(sec), str(_TAIL), ["''"]))
+
+
+_obj = _items("objectives", "'- ' || v", 4).replace("FROM ms) x", "FROM ms) x")
+_defs_entries = (f"SELECT course_id, {_KN_F} AS filename, CAST(7 AS BIGINT) AS sec, CAST(page_id AS BIGINT) AS item, "
+                 f"CAST(i - 1 AS BIGINT) AS ln, '- **' || defs[i].term || '**: ' || defs[i].definition AS line FROM "
+                 f"(SELECT *, unnest(generate_series(1, len(defs))) AS i FROM ms) x "
+                 f"WHERE coalesce(defs[i].term, '') <> '' AND coalesce(defs[i].definition, '') <> ''")
+_def_files = "(SELECT DISTINCT course_id, prefix || '-knowledge.md' AS filename FROM ms WHERE len(defs) > 0)"
+_kn = _u(
+    _mod_head("-knowledge.md"),
+    _dl(f"(SELECT * FROM num2 n WHERE NOT {_has})", _KN_F, "3", "-1", [d.q(_docs.NO_STRUCTURED)]),
+    _dl(f"(SELECT * FROM num2 n WHERE {_has})", _KN_F, "3", "-1", ["'## Overview'", "''"]),
+    _dl("(SELECT * FROM ms WHERE coalesce(s_summary, '') <> '')", _KN_F, "3", "page_id", ["s_summary", "''"]),
+    _sectioned(_obj, 4, ["'## Learning Objectives'", "''"]),
+    _dl("ms", _KN_F, "5", "page_id", ["'## ' || s_title", "''"]),
+    f"SELECT course_id, filename, sec, item, ln + 2 AS ln, line FROM ({_dl('(SELECT * FROM ms WHERE coalesce(s_summary, %s) <> %s)' % (chr(39) * 2, chr(39) * 2), _KN_F, '5', 'page_id', ['s_summary', chr(39) * 2])}) p",
+    _sectioned(_ranked("concepts", "'- **' || value || '**'", 6), 6, ["'## Key Concepts'", "''"]),
+    _dl(_def_files, "filename", "7", "-1", ["'## Definitions'", "''"]),
+    _defs_entries,
+    _dl(_def_files, "filename", "7", str(_TAIL), ["''"]),
+    _sectioned(_items("formulas", "'- ' || v", 8), 8, ["'## Important Formulas'", "''"]),
+    _sectioned(_ranked("quiz_topics", "'- ' || value", 9), 9, ["'## Quiz Topics'", "''"]),
+    _dl(f"(SELECT * FROM num2 n WHERE {_has})", _KN_F, "10", "-1", ["'## Module Summary'", "''"]),
+    _dl("(SELECT * FROM ms WHERE coalesce(s_summary, '') <> '')", _KN_F, "10", "page_id",
+        ["'- **' || s_title || '**: ' || s_summary"]),
+    _dl(f"(SELECT * FROM num2 n WHERE {_has})", _KN_F, "10", str(_TAIL), ["''"]),
+)
+
+
+def _bank(types: str, fname: str, title: str, default: str, empty: str) -> str:
+    f = d.q(fname)
+    return _u(
+        _dl("courses", f, "0", "-1", [d.q(title), "''", "'---'", "''"]),
+        _dl(f"(SELECT DISTINCT course_id, module_id, idx, module_title FROM mpc WHERE content_type IN ({types}))",
+            f, "idx * 100", "-1", ["'## ' || module_title", "''"]),
+        _dl(f"(SELECT * FROM mpc WHERE content_type IN ({types}) AND scraped AND coalesce(markdown, '') <> '')",
+            f, "idx * 100", "page_id",
+            [f"'### ' || coalesce(nullif(title, ''), {d.q(default)})", "'*Source: ' || url || '*'", "''", "markdown",
+             "''", "'---'", "''"]),
+        _dl(f"(SELECT * FROM courses c WHERE NOT EXISTS (SELECT 1 FROM mpc WHERE mpc.course_id = c.course_id "
+            f"AND content_type IN ({types})))", f, str(_TAIL), "-1", [d.q(empty)]),
+    )
+
+
+_quiz = _bank("'quiz'", _docs.QUIZ_FILE, "# Quiz Bank", "Quiz", _docs.NO_QUIZ)
+_asg = _bank("'assignment', 'project'", _docs.ASSIGNMENTS_FILE, "# Assignments", "Assignment", _docs.NO_ASSIGNMENTS)
+GLOSS = """gl0 AS (SELECT course_id, pos, page_id, i AS dpos, coalesce(defs[i].term, '') AS term,
+                  coalesce(defs[i].definition, '') AS definition
+           FROM (SELECT *, unnest(generate_series(1, len(defs))) AS i FROM cst) x),
+gl AS (SELECT course_id, lower(term) AS term_key, term, definition FROM (
+         SELECT *, row_number() OVER (PARTITION BY course_id, lower(term) ORDER BY pos, page_id, dpos) AS rn
+         FROM gl0 WHERE term <> '') t WHERE rn = 1),
+glr AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY term_key) - 1 AS rank FROM gl)"""
+_GL_F = d.q(_docs.GLOSSARY_FILE)
+_gloss = _u(
+    _dl("courses", _GL_F, "0", "-1", ["'# Glossary'", "''", "'---'", "''"]),
+    _dl("(SELECT * FROM courses c WHERE NOT EXISTS (SELECT 1 FROM cst WHERE cst.course_id = c.course_id AND len(defs) > 0))",
+        _GL_F, "1", "-1", [d.q(_docs.NO_DEFINITIONS)]),
+    _dl("glr", _GL_F, "1", "rank", ["'**' || term || '**'", "': ' || definition", "''"]),
+)
+_SR_F = d.q(_docs.SOURCES_FILE)
+_iso = ("strftime(retrieved_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(retrieved_at, '%f') <> '000000' "
+        "THEN '.' || strftime(retrieved_at, '%f') ELSE '' END || '+00:00'")
+_srcs = _u(
+    _dl("courses", _SR_F, "0", "-1", ["'# Sources'", "''", d.q(_docs.SOURCES_INTRO), "''", "'---'", "''"]),
+    _dl("num2", _SR_F, "idx * 100", "-1", ["'## ' || module_title", "''"]),
+    _dl("mpc", _SR_F, "idx * 100", "page_id",
+        [f"'- [' || coalesce(nullif(title, ''), url) || '](' || url || ') — *' || content_type || "
+         f"'* — Retrieved: ' || CASE WHEN scraped THEN {_iso} ELSE 'N/A' END"]),
+    _dl("num2", _SR_F, "idx * 100", str(_TAIL), ["''"]),
+)
+_DW = with_(DOC_FX, FRONTIER, HIER, DOCS, _TOP, GLOSS)
+ORACLE["doc_course_overview"] = _DW + _ov
+ORACLE["doc_source_layer"] = _DW + _src
+ORACLE["doc_knowledge_layer"] = _DW + _kn
+ORACLE["doc_quiz_bank"] = _DW + _quiz
+ORACLE["doc_assignments"] = _DW + _asg
+ORACLE["doc_glossary"] = _DW + _gloss
+ORACLE["doc_sources"] = _DW + _srcs
+ORACLE["render_documents"] = _DW + f"""
+SELECT course_id, filename, sec, item, string_agg(line, chr(10) ORDER BY ln) AS text FROM (
+{_u(_ov, _src, _kn, _quiz, _asg, _gloss, _srcs)}) all_lines GROUP BY course_id, filename, sec, item"""
+ORACLE["number_modules"] = _DW + "SELECT course_id, module_id, order_index, idx, prefix FROM num2"
+ORACLE["page_content"] = _DW + """
+SELECT course_id, page_id, scraped, coalesce(markdown, 'N/A') AS markdown, retrieved_at FROM pc"""
+ORACLE["top_summaries"] = _DW + "SELECT course_id, page_id, CAST(rank AS BIGINT) AS rank, s_summary AS summary FROM top"
+_mc = """SELECT course_id, module_id, value, CAST(row_number() OVER (PARTITION BY course_id, module_id ORDER BY value) - 1 AS BIGINT) AS rank
+FROM (SELECT DISTINCT course_id, module_id, unnest({c}) AS value FROM ms) u"""
+ORACLE["module_concepts"] = _DW + _mc.format(c="concepts")
+ORACLE["module_quiz_topics"] = _DW + _mc.format(c="quiz_topics")
+ORACLE["module_collections"] = _DW + """
+SELECT course_id, module_id, 'objective' AS kind, page_id, CAST(i - 1 AS BIGINT) AS pos, objectives[i] AS value
+FROM (SELECT *, unnest(generate_series(1, len(objectives))) AS i FROM ms) a
+UNION ALL
+SELECT course_id, module_id, 'definition', page_id, CAST(i - 1 AS BIGINT), '- **' || defs[i].term || '**: ' || defs[i].definition
+FROM (SELECT *, unnest(generate_series(1, len(defs))) AS i FROM ms) b
+WHERE coalesce(defs[i].term, '') <> '' AND coalesce(defs[i].definition, '') <> ''
+UNION ALL
+SELECT course_id, module_id, 'formula', page_id, CAST(i - 1 AS BIGINT), formulas[i]
+FROM (SELECT *, unnest(generate_series(1, len(formulas))) AS i FROM ms) c
+UNION ALL
+SELECT course_id, module_id, 'summary', page_id, CAST(0 AS BIGINT), s_summary FROM ms WHERE coalesce(s_summary, '') <> ''"""
+ORACLE["glossary"] = _DW + "SELECT course_id, term_key, term, definition FROM gl"
+_MAN = f"""man AS (
+  SELECT course_id, CAST(0 AS BIGINT) AS seq, {_OVER_F} AS filename FROM courses
+  UNION ALL SELECT course_id, idx * 2 - 1, prefix || '-source.md' FROM num2
+  UNION ALL SELECT course_id, idx * 2, prefix || '-knowledge.md' FROM num2
+  UNION ALL SELECT course_id, {_TAIL} + 1, {d.q(_docs.QUIZ_FILE)} FROM courses
+  UNION ALL SELECT course_id, {_TAIL} + 2, {d.q(_docs.ASSIGNMENTS_FILE)} FROM courses
+  UNION ALL SELECT course_id, {_TAIL} + 3, {d.q(_docs.GLOSSARY_FILE)} FROM courses
+  UNION ALL SELECT course_id, {_TAIL} + 4, {d.q(_docs.SOURCES_FILE)} FROM courses)"""
+_ftype = "CASE " + " ".join(f"WHEN contains(filename, {d.q(n)}) THEN {d.q(t)}" for n, t in rules.EXPORT_FILE_TYPES) + \
+    " ELSE 'other' END"
+ORACLE["export_manifest"] = with_(DOC_FX, FRONTIER, HIER, DOCS, _MAN) + f"""
+SELECT m.course_id, CAST(m.seq AS BIGINT) AS seq, m.filename, {_ftype} AS file_type,
+  CAST(5 + 2 * (SELECT count(*) FROM num2 n WHERE n.course_id = m.course_id) AS BIGINT) AS files_generated
+FROM man m"""
+ORACLE["export_file_type"] = with_(DOC_FX, FRONTIER, HIER, DOCS, _MAN) + f"SELECT course_id, filename, {_ftype} AS file_type FROM man"

@@ -120,6 +120,12 @@ WHERE l.ord < 1000000 AND l.ord % 9 <> 0
 """
 
 
+def scraped_sql(dialect: str) -> str:
+    """F3 with a retrieval time (minutes after 2024-01-01 by page id), for the export documents."""
+    ts = ts_minutes("page_id % 100000", dialect)
+    return f"SELECT course_id, page_id, url, markdown, {ts} AS retrieved_at FROM @page_content@"
+
+
 # ---------------------------------------------------------------- F4 llm_responses and versions
 def llm_responses_sql(dialect: str) -> str:
     chr10 = "chr(10)"
@@ -220,6 +226,7 @@ FIXTURES = {
     "courses": (courses_sql, ["pages"]),
     "content": (content_sql, ["documents"]),
     "page_content": (page_content_sql, ["links", "documents"]),
+    "scraped": (scraped_sql, ["page_content"]),
     "llm_responses": (llm_responses_sql, ["documents"]),
     "structured_versions": (structured_versions_sql, ["llm_responses"]),
     "job_events": (job_events_sql, ["events"]),
