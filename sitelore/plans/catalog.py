@@ -32,10 +32,27 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.discover_pages(t["links"], t["courses"])
 
 
+_STAGES: dict[tuple, DataFrame] = {}
+REUSE_STAGES = True
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A pipeline stage table: built by Spark once, written to the shared checkpoint folder, and
+    read back by every later query of the same session (like a stored table between jobs)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if not REUSE_STAGES or key not in _STAGES:
+        _STAGES[key] = cut_lineage(build(), spark, name=name)
+    return _STAGES[key]
+
+
+def reset_stages() -> None:
+    _STAGES.clear()
+
+
 def discovered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discovered pages written once to the shared checkpoint folder (the stored pages table);
     queries that read pages several times (self-joins) start from it instead of re-deriving."""
-    return cut_lineage(discovered(spark, sf_dir))
+    return stage(spark, sf_dir, "discovered_pages", lambda: discovered(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- 2.2 scalar expressions
@@ -301,8 +318,16 @@ def q_upsert_pages(spark, sf_dir):
 
 def hierarchy_tables(spark, sf_dir):
     pages = discovered_table(spark, sf_dir)
-    modules, assigned = hierarchy.build_modules_and_assignments(pages, cut_lineage)
-    return pages, modules, assigned
+
+    def build():
+        return hierarchy.build_modules_and_assignments(pages, cut_lineage)
+
+    if (spark.sparkContext.applicationId, sf_dir, "modules") not in _STAGES or not REUSE_STAGES:
+        modules, assigned = build()
+        _STAGES[(spark.sparkContext.applicationId, sf_dir, "modules")] = modules
+        _STAGES[(spark.sparkContext.applicationId, sf_dir, "assigned")] = assigned
+    key = (spark.sparkContext.applicationId, sf_dir)
+    return pages, _STAGES[key + ("modules",)], _STAGES[key + ("assigned",)]
 
 
 @register("replace_modules")
@@ -503,14 +528,15 @@ def doc_inputs(spark, sf_dir):
     current structured record per page (course taken from the page). Each is written once to the
     shared checkpoint folder because every document reads it."""
     t = tables(spark, sf_dir)
-    pages, modules, courses = stored_tables(spark, sf_dir)
-    pages = cut_lineage(pages, name="stored_pages")
-    numbered = cut_lineage(docs.number_modules(modules), name="numbered_modules")
-    mpc = cut_lineage(docs.module_pages(numbered, docs.page_content(pages, t["scraped"])), name="module_pages")
-    versions = parsed_responses(spark, sf_dir, t["structured_versions"])
-    cur = structure.current_structured(cut_lineage(versions, name="parsed_versions"))
-    structured = cut_lineage(cur.drop("course_id").join(pages.select("page_id", "course_id"), "page_id"),
-                             name="current_structured")
+    pages0, modules, courses = stored_tables(spark, sf_dir)
+    pages = stage(spark, sf_dir, "stored_pages", lambda: pages0)
+    numbered = stage(spark, sf_dir, "numbered_modules", lambda: docs.number_modules(modules))
+    mpc = stage(spark, sf_dir, "module_pages",
+                lambda: docs.module_pages(numbered, docs.page_content(pages, t["scraped"])))
+    versions = stage(spark, sf_dir, "parsed_versions",
+                     lambda: parsed_responses(spark, sf_dir, t["structured_versions"]))
+    structured = stage(spark, sf_dir, "current_structured", lambda: structure.current_structured(versions).drop(
+        "course_id").join(pages.select("page_id", "course_id"), "page_id"))
     return courses.select("course_id", "name", "url"), numbered, mpc, structured
 
 
@@ -634,3 +660,97 @@ def q_export_file_type(spark, sf_dir):
     courses, numbered, _, _ = doc_inputs(spark, sf_dir)
     names = docs.export_manifest(courses, numbered).select("course_id", "filename")
     return names.select("course_id", "filename", rules.export_file_type(F.col("filename")).alias("file_type"))
+
+
+# ---------------------------------------------------------------- 2.1 sinks and 2.9 streaming
+import uuid  # noqa: E402
+
+from sitelore.session import scratch_path  # noqa: E402
+from sitelore.sources import files  # noqa: E402
+from sitelore.streaming import jobs as streams  # noqa: E402
+
+
+def _fresh(spark, name: str) -> str:
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def _raw_roundtrip(spark, sf_dir):
+    c = fingerprinted(spark, sf_dir)
+    path = _fresh(spark, "raw")
+    files.write_raw(c, path)
+    r = files.read_raw(spark, path)
+    return r.select("course_id", "page_id", "filename", "size_bytes", F.col("metadata")["url"].alias("url"),
+                    F.col("metadata")["content_hash"].alias("content_hash"))
+
+
+register("write_raw")(_raw_roundtrip)
+register("read_raw")(_raw_roundtrip)
+
+
+@register("write_processed")
+def q_write_processed(spark, sf_dir):
+    _, _, _, structured = doc_inputs(spark, sf_dir)
+    path = _fresh(spark, "processed")
+    files.write_processed(structured, path)
+    back = files.read_processed(spark, path, structure.STRUCTURED_SCHEMA)
+    return back.select("course_id", "page_id", F.col("structured.title").alias("title"),
+                       F.col("structured.summary").alias("summary"))
+
+
+def _exports_roundtrip(spark, sf_dir):
+    path = _fresh(spark, "exports")
+    files.write_exports(docs.render_documents(all_documents(spark, sf_dir)), path)
+    return files.list_exports(spark, path)
+
+
+register("write_exports")(_exports_roundtrip)
+register("list_exports")(_exports_roundtrip)
+
+
+def _stream_input(spark, df: DataFrame, name: str, parts: list) -> str:
+    """Write ``df`` as several files (one per filter in ``parts``, in order) for a stream to pick up."""
+    path = _fresh(spark, f"stream-in/{name}")
+    for cond in parts:
+        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+CONTENT_SCHEMA = "page_id bigint, course_id string, url string, markdown string, retrieved_at timestamp_ntz"
+LINKS_SCHEMA = "course_id string, ord bigint, url string, title string"
+EVENTS_SCHEMA = "event_id bigint, job_id bigint, course_id string, ts timestamp_ntz, event string"
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    content = tables(spark, sf_dir)["content"]
+    src = _stream_input(spark, content, "content", [F.col("page_id") % 4 == k for k in range(4)])
+    sink, ckpt = _fresh(spark, "stream-out/ingest"), _fresh(spark, "stream-ckpt/ingest")
+    streams.stream_ingest(spark, src, CONTENT_SCHEMA, sink, ckpt).awaitTermination()
+    return spark.read.parquet(sink).select("url", "content_hash")
+
+
+@register("stream_discover")
+def q_stream_discover(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    bounds = [0, 1000000, 3000000, 5000000, 1 << 62]
+    parts = [(F.col("ord") >= lo) & (F.col("ord") < hi) for lo, hi in zip(bounds, bounds[1:])]
+    src = _stream_input(spark, t["links"], "links", parts)
+    sink, ckpt = _fresh(spark, "stream-out/discover"), _fresh(spark, "stream-ckpt/discover")
+    streams.stream_discover(spark, src, LINKS_SCHEMA, t["courses"], sink, ckpt).awaitTermination()
+    return streams.discovered_from_stream(spark, sink, t["courses"])
+
+
+@register("stream_progress")
+def q_stream_progress(spark, sf_dir):
+    ev = tables(spark, sf_dir)["job_events"]
+    src = _stream_input(spark, ev, "events", [F.col("event_id") % 4 == k for k in range(4)])
+    sink, ckpt = _fresh(spark, "stream-out/progress"), _fresh(spark, "stream-ckpt/progress")
+    streams.stream_progress(spark, src, EVENTS_SCHEMA, sink, ckpt).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@register("humanize_segment")
+def q_humanize_segment(spark, sf_dir):
+    pages = discovered(spark, sf_dir)
+    segs = pages.select("course_id", "page_id", F.explode(urls.path_segments(F.col("url"))).alias("segment")).distinct()
+    return segs.select("course_id", "page_id", "segment", urls.humanize_segment(F.col("segment")).alias("module_title"))

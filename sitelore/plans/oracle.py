@@ -767,3 +767,26 @@ SELECT m.course_id, CAST(m.seq AS BIGINT) AS seq, m.filename, {_ftype} AS file_t
   CAST(5 + 2 * (SELECT count(*) FROM num2 n WHERE n.course_id = m.course_id) AS BIGINT) AS files_generated
 FROM man m"""
 ORACLE["export_file_type"] = with_(DOC_FX, FRONTIER, HIER, DOCS, _MAN) + f"SELECT course_id, filename, {_ftype} AS file_type FROM man"
+
+# ---------------------------------------------------------------- sinks and streaming
+_raw = with_(["content"]) + """
+SELECT course_id, page_id, CAST(page_id AS VARCHAR) || '.md' AS filename,
+       CAST(strlen(coalesce(markdown, '')) AS BIGINT) AS size_bytes, url, sha256(markdown) AS content_hash FROM content"""
+ORACLE["write_raw"] = _raw
+ORACLE["read_raw"] = _raw
+ORACLE["write_processed"] = _DW + "SELECT course_id, page_id, s_title AS title, s_summary AS summary FROM cst"
+_exp = _DW + f"""
+SELECT course_id, filename, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes, {_ftype} AS file_type,
+       round(sum(strlen(text) + 1) / 1024.0, 1) AS size_kb
+FROM (SELECT course_id, filename, sec, item, string_agg(line, chr(10) ORDER BY ln) AS text FROM (
+{_u(_ov, _src, _kn, _quiz, _asg, _gloss, _srcs)}) all_lines GROUP BY course_id, filename, sec, item) b
+GROUP BY course_id, filename"""
+ORACLE["write_exports"] = _exp
+ORACLE["list_exports"] = _exp
+ORACLE["stream_ingest"] = with_(["content"]) + "SELECT DISTINCT url, sha256(markdown) AS content_hash FROM content"
+ORACLE["stream_discover"] = ORACLE["discover_pages"]
+ORACLE["stream_progress"] = with_(["job_events"], JOBS) + """
+SELECT job_id, course_id, pages_discovered, pages_scraped, pages_failed, pages_processed, files_generated FROM js"""
+ORACLE["humanize_segment"] = with_(HW, FRONTIER) + f"""
+SELECT course_id, page_id, segment, {d.humanize('segment')} AS module_title FROM (
+  SELECT DISTINCT course_id, page_id, unnest({d.segments('url')}) AS segment FROM dpages) s"""
