@@ -149,6 +149,15 @@ def deny_pattern() -> str:
     return "|".join(f"(?:{p})" for p in DENY_RULES)
 
 
+def deny_pattern_lower() -> str:
+    """The deny rules for an already lower-cased URL: the rules that start with '/' share one
+    '/' so the regex tests a single character at most positions (rules are lower-case ASCII,
+    so matching the lower-cased URL case-sensitively equals the case-insensitive rules)."""
+    slash = [p[1:] for p in DENY_RULES if p.startswith("/")]
+    other = [p for p in DENY_RULES if not p.startswith("/")]
+    return "|".join([f"/(?:{'|'.join(slash)})"] + [f"(?:{p})" for p in other])
+
+
 def _raw(s: str) -> str:
     """Spark SQL raw string literal (no escape processing; patterns contain no quote)."""
     assert "'" not in s
@@ -157,17 +166,19 @@ def _raw(s: str) -> str:
 
 def classify_sql(path_sql: str, title_sql: str) -> str:
     """The rule chain as one Spark SQL ``CASE`` text (built once, parsed in one call)."""
+    # rules are lower-case ASCII: matching lower-cased text case-sensitively is the same test
+    lp, lt = f"lower({path_sql})", f"lower({title_sql})"
     parts = ["CASE"]
     for pattern, ctype in FILE_RULES + PATH_RULES:
-        parts.append(f" WHEN lower({path_sql}) RLIKE {_raw(CI + pattern)} THEN '{ctype}'")
+        parts.append(f" WHEN {lp} RLIKE {_raw(pattern)} THEN '{ctype}'")
     for pattern, ctype in TITLE_RULES:
-        parts.append(f" WHEN coalesce({title_sql}, '') <> '' AND {title_sql} RLIKE {_raw(CI + pattern)} THEN '{ctype}'")
+        parts.append(f" WHEN coalesce({title_sql}, '') <> '' AND {lt} RLIKE {_raw(pattern)} THEN '{ctype}'")
     parts.append(" ELSE 'other' END")
     return "".join(parts)
 
 
 def is_denied(url: Column) -> Column:
-    return url.rlike(CI + deny_pattern())
+    return F.lower(url).rlike(deny_pattern_lower())
 
 
 def is_relevant(url: Column, course_base: Column, url_base: Column | None = None) -> Column:

@@ -26,22 +26,33 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+               + "\u2028\u2029\u202f\u205f\u3000")
+C0_AND_SPACE = "".join(chr(c) for c in range(0x00, 0x21))
+
+
 def py_strip(col: Column | str) -> Column:
-    """Python ``str.strip()`` (Spark/SQL ``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(col), f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$", "")
+    """Python ``str.strip()``: ``trim`` with the set of characters ``str.isspace`` accepts
+    (plain ``trim`` only removes spaces)."""
+    return F.trim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def _prepared(col: Column | str) -> Column:
     # urlsplit drops leading C0 controls/space and removes tab/CR/LF anywhere.
-    return F.regexp_replace(F.regexp_replace(_c(col), r"^[\x{00}-\x{20}]+", ""), r"[\t\r\n]", "")
+    return F.translate(F.ltrim(_c(col), F.lit(C0_AND_SPACE)), "\t\r\n", "")
 
 
-def url_parts(col: Column | str) -> Column:
-    """Struct of the six ``urlparse`` fields plus hostname, computed from one prepared string.
+def _first_of(s: Column, chars: str) -> Column:
+    """1-based position of the first of ``chars`` in ``s``; ``length(s) + 1`` when none occurs."""
+    big = F.length(s) + 1
+    pos = [F.when(F.instr(s, ch) > 0, F.instr(s, ch)).otherwise(big) for ch in chars]
+    return F.least(*pos)
 
-    Operators add this once as a column and derive everything else from its fields, which keeps
-    generated code small (one regex split per row instead of one per derived expression).
-    """
+
+def url_parts(col: Column | str) -> Column:
+    """Struct of the six ``urlparse`` fields plus hostname, as one compact expression (one
+    RFC 3986 split regex per field). For big tables prefer :func:`with_url_parts`, which
+    computes the split once per row with string functions."""
     prepared = _prepared(col)
     scheme = F.lower(F.regexp_extract(prepared, URL_SPLIT_RE, 1))
     raw_path = F.regexp_extract(prepared, URL_SPLIT_RE, 3)
@@ -58,11 +69,56 @@ def url_parts(col: Column | str) -> Column:
     )
 
 
+def with_url_parts(df, url_col: str = "url", out: str = "_u"):
+    """DataFrame form of :func:`url_parts` for large inputs: every intermediate of the split is
+    its own column, so each is computed once per row (the nested Column form re-evaluates shared
+    sub-expressions) and the generated code stays small."""
+    keep = list(df.columns)
+    t = df.withColumn("_up", _prepared(F.col(url_col)))
+    ok = F.col("_up").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    colon = F.instr(F.col("_up"), ":")
+    t = t.withColumns({
+        "_us": F.when(ok, F.lower(F.substring(F.col("_up"), 1, colon - 1))).otherwise(F.lit("")),
+        "_ur": F.when(ok, F.substring(F.col("_up"), colon + 1, 1 << 30)).otherwise(F.col("_up")),
+    })
+    t = t.withColumns({"_un": F.col("_ur").startswith("//")})
+    t = t.withColumns({"_ua": F.when(F.col("_un"), F.substring(F.col("_ur"), 3, 1 << 30)).otherwise(F.col("_ur"))})
+    t = t.withColumns({"_ue": _first_of(F.col("_ua"), "/?#")})
+    t = t.withColumns({
+        "_unet": F.when(F.col("_un"), F.substring(F.col("_ua"), 1, F.col("_ue") - 1)).otherwise(F.lit("")),
+        "_ut": F.when(F.col("_un"), F.substring(F.col("_ua"), F.col("_ue"), 1 << 30)).otherwise(F.col("_ur")),
+    })
+    t = t.withColumns({"_uh": F.instr(F.col("_ut"), "#")})
+    t = t.withColumns({
+        "_ufr": F.when(F.col("_uh") > 0, F.substring(F.col("_ut"), F.col("_uh") + 1, 1 << 30)).otherwise(F.lit("")),
+        "_ub": F.when(F.col("_uh") > 0, F.substring(F.col("_ut"), 1, F.col("_uh") - 1)).otherwise(F.col("_ut")),
+    })
+    t = t.withColumns({"_uq": F.instr(F.col("_ub"), "?")})
+    t = t.withColumns({
+        "_uqs": F.when(F.col("_uq") > 0, F.substring(F.col("_ub"), F.col("_uq") + 1, 1 << 30)).otherwise(F.lit("")),
+        "_urp": F.when(F.col("_uq") > 0, F.substring(F.col("_ub"), 1, F.col("_uq") - 1)).otherwise(F.col("_ub")),
+    })
+    t = t.withColumns({"_uls": F.substring_index(F.col("_urp"), "/", -1)})
+    t = t.withColumns({"_usc": F.instr(F.col("_uls"), ";")})
+    splits = F.col("_us").isin(PARAM_SCHEMES) & (F.col("_usc") > 0)
+    cut = F.length(F.col("_urp")) - F.length(F.col("_uls")) + F.col("_usc")
+    parts = F.struct(
+        F.col("_us").alias("scheme"),
+        F.col("_unet").alias("netloc"),
+        _hostname(F.col("_unet")).alias("hostname"),
+        F.when(splits, F.substring(F.col("_urp"), 1, cut - 1)).otherwise(F.col("_urp")).alias("path"),
+        F.when(splits, F.substring(F.col("_uls"), F.col("_usc") + 1, 1 << 30)).otherwise(F.lit("")).alias("params"),
+        F.col("_uqs").alias("query"),
+        F.col("_ufr").alias("fragment"),
+    )
+    return t.select(*keep, parts.alias(out))
+
+
 def _hostname(netloc: Column) -> Column:
     """``urlparse(url).hostname or ''``: no user-info, no port, lower case, IPv6 brackets removed."""
-    hostinfo = F.regexp_replace(netloc, r"^.*@", "")
+    hostinfo = F.substring_index(netloc, "@", -1)
     host = F.when(F.instr(hostinfo, "[") > 0, F.regexp_extract(hostinfo, r"\[([^\]]*)", 1)).otherwise(
-        F.regexp_extract(hostinfo, r"^([^:]*)", 1))
+        F.substring_index(hostinfo, ":", 1))
     return F.lower(host)
 
 
@@ -117,13 +173,16 @@ def path_segments(col: Column | str) -> Column:
     return segments_of(url_path(col))
 
 
+TITLE_MARK = "\u0000 "
+
+
 def py_title(col: Column | str) -> Column:
-    """Python ``str.title()``: each run of letters gets an upper first letter, the rest lower."""
-    runs = F.regexp_extract_all(_c(col), F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    return F.array_join(
-        F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))),
-        "",
-    )
+    """Python ``str.title()``: every letter that follows a non-letter starts a word (so
+    ``hw2solutions don't`` → ``Hw2Solutions Don'T``, unlike ``initcap``). A marker + space is put
+    at each such boundary, ``initcap`` (which starts words after spaces) does the casing, and the
+    markers are removed again; all native, codegen'd string functions."""
+    marked = F.regexp_replace(F.lower(_c(col)), r"([^\p{L}])(\p{L})", "$1" + TITLE_MARK + "$2")
+    return F.replace(F.initcap(marked), F.lit(TITLE_MARK), F.lit(""))
 
 
 def humanize_segment(col: Column | str) -> Column:

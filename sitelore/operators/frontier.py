@@ -21,7 +21,7 @@ def prepare_frontier(links: DataFrame) -> DataFrame:
     they are plain attributes, so predicate pushdown cannot inline the URL split again.
     """
     clean = links.withColumn("url", urls.py_strip(F.col("url")))
-    parted = clean.select(*clean.columns, urls.url_parts(F.col("url")).alias("_u"))
+    parted = urls.with_url_parts(clean, "url", "_u")
     return parted.select(*clean.columns, urls.canonical_of(F.col("_u")).alias("canonical"),
                          F.col("_u.path").alias("path"), urls.base_domain_of(F.col("_u")).alias("url_base"))
 

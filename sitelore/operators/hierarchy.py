@@ -58,8 +58,10 @@ def detect_modules(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     is the rank among all keys of the site; ``_root`` is dropped when other keys exist.
     Returns ``(modules, assignments)``.
     """
-    segs = urls.path_segments(F.col("url"))
-    keyed = pages.withColumn("module_key", F.when(F.size(segs) >= 2, F.element_at(segs, -2)).otherwise(F.lit("_root")))
+    with_path = pages.withColumn("_segs", urls.path_segments(F.col("url")))
+    segs = F.col("_segs")
+    keyed = with_path.withColumn(
+        "module_key", F.when(F.size(segs) >= 2, F.element_at(segs, -2)).otherwise(F.lit("_root"))).drop("_segs")
     keys = keyed.groupBy("course_id", "module_key").agg(F.count(F.lit(1)).alias("n_pages"))
     n_keys = keys.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_keys"))
     ranked = prefix_over(keys, ["course_id"], ["module_key"], "order_index").join(n_keys, "course_id")

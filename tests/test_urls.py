@@ -96,3 +96,10 @@ def test_py_strip(spark):
     s = " \t https://x.org/a \n　"
     got = spark.createDataFrame([(s,)], "s string").select(urls.py_strip(F.col("s"))).first()[0]
     assert got == s.strip()
+
+
+def test_staged_split_equals_expression(spark):
+    df = spark.createDataFrame([(u,) for u in CASES], "url string")
+    a = {r["url"]: r["p"] for r in df.select("url", urls.url_parts(F.col("url")).alias("p")).collect()}
+    b = {r["url"]: r["_u"] for r in urls.with_url_parts(df).collect()}
+    assert a == b
