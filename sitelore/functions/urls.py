@@ -133,23 +133,24 @@ def canonical_of(parts: Column) -> Column:
     """``scheme://netloc`` + path without trailing '/' + ``?query``; fragment/params dropped; lower."""
     query = parts["query"]
     return F.lower(F.concat(
-        parts["scheme"], F.lit("://"), parts["netloc"], F.regexp_replace(parts["path"], r"/+$", ""),
+        parts["scheme"], F.lit("://"), parts["netloc"], F.rtrim(parts["path"], F.lit("/")),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
     ))
 
 
 def title_from_path(path: Column) -> Column:
     """Readable title from the last path segment; empty path → 'Home'."""
-    stripped = F.regexp_replace(path, r"^/+|/+$", "")
-    segment = F.element_at(F.split(stripped, "/"), -1)
-    segment = F.regexp_replace(segment, r"\.[^.]*$", "")
+    stripped = F.trim(path, F.lit("/"))
+    segment = F.substring_index(stripped, "/", -1)
+    dot = F.instr(F.reverse(segment), ".")
+    segment = F.when(dot > 0, F.substring(segment, 1, F.length(segment) - dot)).otherwise(segment)
     segment = F.regexp_replace(segment, r"[-_]+", " ")
     return F.when(stripped == "", F.lit("Home")).otherwise(py_title(segment))
 
 
 def segments_of(path: Column) -> Column:
     """Non-empty segments of a urlparse path."""
-    return F.filter(F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/"), lambda s: s != "")
+    return F.filter(F.split(F.trim(path, F.lit("/")), "/"), lambda s: s != "")
 
 
 # Convenience forms on a raw URL column.
