@@ -13,15 +13,28 @@ from pyspark.sql import functions as F
 
 from sitelore.functions import rules, urls
 from sitelore.operators import frontier
-from sitelore.session import cut_lineage
+from sitelore.session import cut_lineage, ensure_checkpoint_dir
 from sitelore.sources.fixtures import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def prepare_session(spark: SparkSession) -> None:
+    """Session settings the queries rely on: the shared checkpoint folder (only created when
+    ``spark.checkpoint.dir`` is unset) and no constraint propagation (it grows exponentially on
+    the long alias chains of the URL split; the filters it would infer are not needed)."""
+    ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def register(name: str):
     def deco(fn):
-        QUERIES[name] = fn
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare_session(spark)
+            return fn(spark, sf_dir)
+        query.__name__ = getattr(fn, "__name__", name)
+        query.__doc__ = fn.__doc__
+        QUERIES[name] = query
         return fn
     return deco
 
