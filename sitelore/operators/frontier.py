@@ -91,7 +91,9 @@ def discovery_stats(links: DataFrame, courses: DataFrame) -> DataFrame:
     by AQE when small.
     """
     deduped = with_course_base(dedupe_links(prepare_frontier(links), with_count=True), courses)
-    flagged = classify_links(deduped.withColumn("_keep", relevance_flag(deduped)))
+    keep = deduped.withColumn("_keep", relevance_flag(deduped))
+    # only kept links are counted by type, so only they are classified (titles are not needed)
+    flagged = keep.withColumn("content_type", F.when(F.col("_keep"), F.expr(rules.classify_sql("path", "title"))))
     aggs = [
         F.sum("n_links").cast("bigint").alias("mapped"),
         F.count(F.lit(1)).alias("unique_urls"),
