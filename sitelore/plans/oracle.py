@@ -267,7 +267,7 @@ ORACLE["progress_ratio"] = with_(["job_events"], JOBS) + f"""
 SELECT job_id, course_id,
   CASE WHEN pages_discovered > 0 THEN CAST(pages_scraped AS DOUBLE) / CAST(pages_discovered AS DOUBLE) END
     AS scraped_ratio,
-  CAST(coalesce(list_position([{_stages}], current_stage), 0) - 1 AS INTEGER) AS stage_position
+  CAST(coalesce(list_position([{_stages}], current_stage), 0) - 1 AS BIGINT) AS stage_position
 FROM jobs"""
 ORACLE["course_status"] = with_(["job_events"]) + """
 SELECT course_id,
