@@ -14,10 +14,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import rows_of  # noqa: E402
+from sitelore.plans.catalog import QUERIES  # noqa: E402
+from sitelore.plans.oracle import ORACLE  # noqa: E402
 from sitelore.sources.fixtures import DRIVER_TABLES  # noqa: E402
 
 SF = os.environ.get("SITELORE_ORACLE_SF", "/root/testdata/sf0.001")
-NAMES = sorted(entry.oracle_sql())
+NAMES = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +31,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
