@@ -1,28 +1,70 @@
-"""Registered queries of this subpackage: op1 to op10, each over its whole table, and their SQL."""
+"""Registered queries of this subpackage: op1 to op10, each over its whole table, the pipeline, and their SQL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from ..session import scratch_path
+from . import (decontaminate, importance, jaccard_join, license_scan, packing, quality_rules, substring_dedup,
+               suffix_dedup, token_counts, url_filter)
+from .sql import ORACLE  # noqa: F401  (beside QUERIES for the entry module)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = token_counts.Rollup(spark, scratch_path(spark, f"tables/op1-rollup-{uuid.uuid4().hex}"))
+    return token_counts.maintained(rollup, table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.deduplicate(table(spark, sf_dir, "documents")))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.deduplicate(table(spark, sf_dir, "documents")))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.judge(table(spark, sf_dir, "documents")))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op6_substring_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_url_filter, op4_decontaminate,
+                            op5_importance_resampling, op6_substring_dedup, op7_license_scan, op8_packing,
+                            op9_quality_rules, op10_jaccard_join, pipeline)
 }
-
-ORACLE: dict[str, str] = {}

@@ -100,6 +100,8 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             data, offsets = byte_columns(batch.column(1))
             pos, at = array_slices(batch.column(2))
             n_words, kept, spans = [], [], []

@@ -236,9 +236,8 @@ def with_text(open_rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, doc long, pos long, part binary").dropDuplicates(["h", "doc", "pos"])
 
 
-def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
-                largest_bucket: int = LARGEST_BUCKET) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, spans (removed [start, end) bytes) and kept (binary)."""
+def find_cuts(docs: DataFrame, width: int, gram: int, largest_bucket: int) -> DataFrame:
+    """doc_id and the packed windows of it that go, in an array."""
     found = cut_lineage(resolve(segment_rows(docs, byte_tokens(width), width, gram), keep_first=True), name="op2-found")
     opened = found.where(F.col("kind") == OPEN).select("h", "doc", "pos")
     large = opened.groupBy("h").count().where(F.col("count") > largest_bucket).select("h")
@@ -246,27 +245,66 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     cuts = (found.where(F.col("kind") == SPAN).select("doc", "pos")
             .unionAll(compared(texts.join(large, "h", "left_anti"), width))
             .unionAll(hashed(texts.join(large, "h", "left_semi"), width)))
+    return positions_by_document(cuts, "cuts")
+
+
+def removed(data: np.ndarray, offsets: np.ndarray, cuts: pa.Array, width: int):
+    """(removed intervals, remaining bytes) of each row of a batch."""
+    pos, at = array_slices(cuts)
+    for i in range(len(offsets) - 1):
+        text = data[offsets[i]:offsets[i + 1]]
+        a, b = merged(pos[at[i]:at[i + 1]], width, len(text)) if at[i + 1] > at[i] else ((), ())
+        edges = [0, *(int(v) for xy in zip(a, b) for v in xy), len(text)]
+        yield ([{"start": int(x), "end": int(y)} for x, y in zip(a, b)],
+               b"".join(text[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2])))
 
+
+def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
+                largest_bucket: int = LARGEST_BUCKET) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, spans (removed [start, end) bytes) and kept (binary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             data, offsets = byte_columns(batch.column(1))
-            pos, at = array_slices(batch.column(2))
-            kept, spans = [], []
-            for i in range(batch.num_rows):
-                text = data[offsets[i]:offsets[i + 1]]
-                a, b = merged(pos[at[i]:at[i + 1]], width, len(text)) if at[i + 1] > at[i] else ((), ())
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b)])
-                edges = [0, *(int(v) for xy in zip(a, b) for v in xy), len(text)]
-                kept.append(b"".join(text[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2])))
+            spans, kept = zip(*removed(data, offsets, batch.column(2), width))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(offsets)),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return (id_and_text(docs).join(positions_by_document(cuts, "cuts"), "doc_id", "left")
+    return (id_and_text(docs).join(find_cuts(docs, width, gram, largest_bucket), "doc_id", "left")
             .mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"))
 
 
+def rewritten(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, largest_bucket: int = LARGEST_BUCKET) -> DataFrame:
+    """The rows of ``docs``, with all their columns, and in ``text`` what stays of it (a character that is cut into goes
+    whole; ``n_chars``, if there, follows). A row of which nothing stays goes; one that had no text stays."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = batch.column(at)
+            data, offsets = byte_columns(old)
+            texts = [t.decode("utf-8", "ignore") for _, t in removed(data, offsets, batch.column(len(names)), width)]
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, old.type, mask=np.asarray(old.is_null()))
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                same = np.array([len(t.encode()) for t in texts]) == np.diff(offsets)
+                n = [was if unchanged else len(t) for was, unchanged, t in zip(columns[k].to_pylist(), same, texts)]
+                columns[k] = pa.array(n, columns[k].type)
+            stays = np.array([bool(t) for t in texts]) | (np.diff(offsets) == 0)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
+
+    cuts = find_cuts(docs, width, gram, largest_bucket).withColumnRenamed("doc_id", "_cut_id")
+    joined = docs.join(cuts, docs["doc_id"].cast("long") == F.col("_cut_id"), "left").select(*docs.columns, "cuts")
+    return joined.mapInArrow(run, docs.schema)
+
+
 def digest(result: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return result.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
