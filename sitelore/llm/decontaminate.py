@@ -30,7 +30,7 @@ def shingles(text: Column, k: int = SHINGLE) -> Column:
 
 def item_shingles(items: DataFrame) -> DataFrame:
     """item_id, grams (distinct), n, and k of the item's size partition."""
-    upper = F.shiftleft(F.lit(1), (F.floor(F.log2("n")) + 1).cast("int")) - 1
+    upper = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
     return (items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
             .where("item_id IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
             .select("item_id", F.array_distinct(shingles(F.col("text"))).alias("grams"))

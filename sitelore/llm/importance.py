@@ -85,7 +85,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 bucket, row = gram_buckets(data, offsets[a:b + 1])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(np.bincount(row, minlength=b - a)),
-                     pa.array(np.round(np.bincount(row, weights=ratio[bucket], minlength=b - a), 6))],
+                     pa.array(np.bincount(row, weights=ratio[bucket], minlength=b - a).astype(float).round(6))],
                     names=["doc_id", "n_grams", "log_weight"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")

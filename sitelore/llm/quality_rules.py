@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import let
 from .texts import words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -35,15 +36,18 @@ def mask(policy: str) -> int:
     return sum(BIT[rule] for rule in POLICIES[policy])
 
 
-def _repeated_words() -> Column:
-    """Words inside three-word windows that are found at least twice: windows sorted by hash, equal neighbours kept."""
-    sorted_windows = F.col("_windows")
+def _repeated_words(words: Column) -> Column:
+    """Words inside three-word windows that are found at least twice: windows sorted by hash, equal neighbours kept,
+    and their starts, in order, summed up to three words each."""
+    windows = let(words, lambda w: F.when(F.size(w) >= 3, F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3),
+        lambda i: F.struct(F.xxhash64(*[F.get(w, i + j) for j in range(3)]).alias("h"), i.alias("at"))))
+        .otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
+    starts = let(F.sort_array(windows), lambda s: F.transform(
+        F.filter(s, lambda w, i: w["h"].eqNullSafe(F.get(s, i - 1)["h"]) | w["h"].eqNullSafe(F.get(s, i + 1)["h"])),
+        lambda w: w["at"]))
     return F.aggregate(
-        F.array_sort(F.transform(
-            F.filter(sorted_windows, lambda w, i: w["h"].eqNullSafe(F.get(sorted_windows, i - 1)["h"])
-                     | w["h"].eqNullSafe(F.get(sorted_windows, i + 1)["h"])),
-            lambda w: w["at"])),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
+        F.sort_array(starts), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
         lambda acc, at: F.struct((acc["n"] + F.least(F.lit(3), at - acc["last"])).alias("n"), at.alias("last")),
         lambda acc: acc["n"])
 
@@ -54,18 +58,14 @@ def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(*keep, words_of(text).alias("_words"), F.filter(
         F.split(text, "\n"), lambda line: line.rlike("[^ \\x09-\\x0D]")).alias("_lines"))
-    windows = words.withColumn("_windows", F.sort_array(F.when(F.size("_words") >= 3, F.transform(
-        F.sequence(F.lit(0), F.size("_words") - 3),
-        lambda i: F.struct(F.xxhash64(*[F.get("_words", i + j) for j in range(3)]).alias("h"), i.alias("at"))))
-        .otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))))
-    return windows.select(
+    return words.select(
         *keep,
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words().alias("n_repeat_words"))
+        _repeated_words(F.col("_words")).alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import let
+
 #: separators of a plain word: [\x20\x09-\x0D]+ ; of an alphanumeric one: other ASCII than 0-9 and a-z
 SPACES = "[ \\x09-\\x0D]+"
 NON_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -27,12 +29,13 @@ def words_of(text: Column, separators: str = SPACES) -> Column:
 
 
 def grams_of(words: Column, k: int) -> Column:
-    """64-bit hashes of all runs of ``k`` words, in order; empty for fewer than ``k`` words."""
-    return F.when(
-        F.size(words) >= k,
-        F.transform(F.sequence(F.lit(0), F.size(words) - F.lit(k)),
-                    lambda i: F.xxhash64(*[F.get(words, i + F.lit(j)) for j in range(k)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    """64-bit hashes of all runs of ``k`` words, in order; empty for fewer than ``k`` words. The words are bound once
+    (``let``): an expression named inside the lambda would be evaluated for every element."""
+    return let(words, lambda w: F.when(
+        F.size(w) >= k,
+        F.transform(F.sequence(F.lit(0), F.size(w) - F.lit(k)),
+                    lambda i: F.xxhash64(*[F.get(w, i + F.lit(j)) for j in range(k)])),
+    ).otherwise(F.array().cast("array<bigint>")))
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def train(labelled: DataFrame) -> LogisticRegressionModel | None:
     try:
         if sample.select("label").distinct().count() < 2:
             return None
-        return LogisticRegression(maxIter=50, regParam=0.001, elasticNetParam=0.0).fit(sample)
+        return LogisticRegression(maxIter=100, regParam=0.0001, standardization=False).fit(sample)
     finally:
         sample.unpersist()
 

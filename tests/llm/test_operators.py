@@ -277,9 +277,10 @@ def test_op8_plan_covers_the_histogram_near_the_bound():
                 used[s] += n * k
                 total += n * k * s
         assert used == histogram
-        # a sequence holds at most one piece of over half its room
-        bound = max(math.ceil(total / 256), sum(n for s, n in histogram.items() if s > 128))
-        assert copies <= bound * 1.03 + sizes
+        sizes_, demand = zip(*sorted(histogram.items()))
+        patterns, uses = packing.column_generation(np.array(sizes_), np.array(demand, float), 256)
+        assert np.allclose(patterns @ uses, demand) and copies <= sum(uses) + sizes
+        assert sum(uses) >= total / 256 - 1e-6
 
 
 def test_word_ids_equal_whole_texts(documents):
