@@ -175,14 +175,15 @@ def path_segments(col: Column | str) -> Column:
 
 
 TITLE_MARK = "\u0000 "
+CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 
 def py_title(col: Column | str) -> Column:
-    """Python ``str.title()``: every letter that follows a non-letter starts a word (so
-    ``hw2solutions don't`` → ``Hw2Solutions Don'T``, unlike ``initcap``). A marker + space is put
+    """Python ``str.title()``: every cased letter that follows anything else starts a word (so
+    ``hw2solutions don't`` → ``Hw2Solutions Don'T`` and ``日本語guide`` → ``日本語Guide``, unlike ``initcap``). A marker + space is put
     at each such boundary, ``initcap`` (which starts words after spaces) does the casing, and the
     markers are removed again; all native, codegen'd string functions."""
-    marked = F.regexp_replace(F.lower(_c(col)), r"([^\p{L}])(\p{L})", "$1" + TITLE_MARK + "$2")
+    marked = F.regexp_replace(F.lower(_c(col)), rf"([^{CASED}])([{CASED}])", "$1" + TITLE_MARK + "$2")
     return F.replace(F.initcap(marked), F.lit(TITLE_MARK), F.lit(""))
 
 

@@ -69,12 +69,12 @@ def number_modules(modules: DataFrame) -> DataFrame:
 
 
 def page_content(pages: DataFrame, scraped: DataFrame) -> DataFrame:
-    """Pages ⟕ their latest scraped content (last ``retrieved_at`` wins), per page id."""
-    latest = scraped.groupBy("page_id").agg(
+    """Pages ⟕ their latest scraped content (last ``retrieved_at`` wins), per site and page id."""
+    latest = scraped.groupBy("course_id", "page_id").agg(
         F.max_by(F.struct("markdown", "retrieved_at"), F.struct("retrieved_at", "markdown")).alias("_s"))
-    return pages.join(latest.select("page_id", F.col("_s.markdown").alias("markdown"),
+    return pages.join(latest.select("course_id", "page_id", F.col("_s.markdown").alias("markdown"),
                                     F.col("_s.retrieved_at").alias("retrieved_at"), F.lit(True).alias("scraped")),
-                      "page_id", "left").withColumn("scraped", F.coalesce("scraped", F.lit(False)))
+                      ["course_id", "page_id"], "left").withColumn("scraped", F.coalesce("scraped", F.lit(False)))
 
 
 def module_pages(numbered: DataFrame, pages: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def glossary(structured: DataFrame) -> DataFrame:
 
 
 def _with_struct(mpages: DataFrame, structured: DataFrame) -> DataFrame:
-    return mpages.join(structured.select("page_id", "structured"), "page_id")
+    return mpages.join(structured.select("course_id", "page_id", "structured"), ["course_id", "page_id"])
 
 
 # ---------------------------------------------------------------- documents

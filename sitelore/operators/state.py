@@ -125,8 +125,8 @@ def apply_job_patches(jobs: DataFrame, patches: DataFrame, columns: dict[str, st
     return out.drop(*[f"_p_{c}" for c in columns])
 
 
-def upsert_pages(base: DataFrame, new: DataFrame, key: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Replace by page id; the new row wins (no cascade to content)."""
+def upsert_pages(base: DataFrame, new: DataFrame, key: Sequence[str] = ("course_id", "page_id")) -> DataFrame:
+    """Replace by site and page id; the new row wins (no cascade to content)."""
     return base.join(new.select(*key), list(key), "left_anti").unionByName(new.select(*base.columns))
 
 
@@ -137,15 +137,15 @@ def replace_modules(base: DataFrame, new: DataFrame, pages: DataFrame | None = N
     modules = base.join(touched, "course_id", "left_anti").unionByName(new.select(*base.columns))
     if pages is None:
         return modules
-    live = modules.select("module_id", F.lit(True).alias("_live"))
-    fixed = pages.join(live, "module_id", "left").withColumn(
+    live = modules.select("course_id", "module_id", F.lit(True).alias("_live"))
+    fixed = pages.join(live, ["course_id", "module_id"], "left").withColumn(
         "module_id", F.when(F.col("_live"), F.col("module_id"))).drop("_live")
     return modules, fixed
 
 
 def delete_courses(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """Remove courses and cascade: every table keyed by ``course_id`` loses their rows; tables
-    keyed only by ``page_id`` lose rows of the removed courses' pages."""
+    keyed only by ``page_id`` (ids that are unique over all sites) lose rows of the removed courses' pages."""
     out = {}
     gone_pages = None
     if "pages" in tables:
@@ -185,8 +185,9 @@ def all_pages(assigned: DataFrame, unclassified: DataFrame) -> DataFrame:
 
 
 def select_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """Pages whose id is in ``ids`` (any course)."""
-    return pages.join(ids.select("page_id").distinct(), "page_id", "left_semi")
+    """Pages whose site and id are in ``ids``."""
+    key = ["course_id", "page_id"]
+    return pages.join(ids.select(*key).distinct(), key, "left_semi")
 
 
 def list_courses(courses: DataFrame) -> tuple[DataFrame, DataFrame]:

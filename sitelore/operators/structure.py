@@ -60,11 +60,12 @@ SENTENCE = r"[^.!?]+[.!?]*"
 def enrich_context(content: DataFrame, pages: DataFrame, modules: DataFrame, courses: DataFrame) -> DataFrame:
     """Per scraped page: course name, module title, page title, url and type via three left joins
     (instead of one lookup per page). Empty markdown is kept with ``ok = false`` (failed)."""
-    p = pages.select("page_id", F.lit(True).alias("_has_page"), F.col("title").alias("_ptitle"),
+    p = pages.select("course_id", "page_id", F.lit(True).alias("_has_page"), F.col("title").alias("_ptitle"),
                      F.col("url").alias("_purl"), F.col("content_type").alias("_ptype"), "module_id")
-    m = modules.select("module_id", "module_title")
+    m = modules.select("course_id", "module_id", "module_title")
     c = courses.select("course_id", F.col("name").alias("course_name"))
-    j = content.join(p, "page_id", "left").join(m, "module_id", "left").join(c, "course_id", "left")
+    j = content.join(p, ["course_id", "page_id"], "left").join(m, ["course_id", "module_id"], "left").join(
+        c, "course_id", "left")
     has_page = F.coalesce(F.col("_has_page"), F.lit(False))
     return j.select(
         "page_id", "course_id", "course_name",
@@ -77,19 +78,26 @@ def enrich_context(content: DataFrame, pages: DataFrame, modules: DataFrame, cou
     )
 
 
-def build_llm_requests(df: DataFrame, task: str) -> DataFrame:
-    """Prompt text per row for ``classify`` / ``structure`` / ``summarize`` (content cut to the
-    task's limit in code points; missing context values get the reference defaults)."""
+def build_llm_requests(df: DataFrame, task: str, limit: int | None = None) -> DataFrame:
+    """Prompts of each row for ``classify`` / ``structure`` / ``summarize``: the whole content goes out in numbered
+    requests (``part`` from 0) of at most the task's number of code points; missing context values get defaults.
+
+    ``limit`` is for callers that want a cut: only the first ``limit`` code points, in one request.
+    """
     defaults = TEMPLATE_DEFAULTS[task]
+    size = CONTEXT_LIMITS[task] if limit is None else limit
+    text = F.coalesce(F.col("markdown"), F.lit(""))
+    last = F.lit(0) if limit is not None else F.greatest(F.ceil(F.char_length(text) / size) - 1, F.lit(0)).cast("int")
+    df = df.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
     parts: list[Column] = []
     for piece in TEMPLATES[task]:
         if piece == "content":
-            parts.append(F.left(F.coalesce(F.col("markdown"), F.lit("")), F.lit(CONTEXT_LIMITS[task])))
+            parts.append(F.substring(text, F.col("part") * size + 1, F.lit(size)))
         elif piece in defaults or piece in ("title", "url", "course_name", "module_name"):
             parts.append(F.coalesce(F.col(piece), F.lit(defaults.get(piece, ""))))
         else:
             parts.append(F.lit(piece))
-    return df.select("page_id", F.lit(task).alias("task"), F.concat(*parts).alias("prompt"))
+    return df.select("course_id", "page_id", F.lit(task).alias("task"), "part", F.concat(*parts).alias("prompt"))
 
 
 def extract_llm_json(df: DataFrame, text_col: str = "response") -> DataFrame:
@@ -213,7 +221,7 @@ def summarize(df: DataFrame, text_col: str = "markdown") -> DataFrame:
 def _section_bullets(md: Column, heading_re: str) -> Column:
     """Bullets (``- x`` / ``* x``) of every section whose heading matches ``heading_re``."""
     sections = F.split(F.concat(F.lit("\n"), md), r"\n#{1,6} ")
-    picked = F.filter(F.slice(sections, 2, 1 << 20),
+    picked = F.filter(F.slice(sections, F.lit(2), F.greatest(F.size(sections) - 1, F.lit(0))),
                       lambda s: F.substring_index(s, "\n", 1).rlike(heading_re))
     bullets = F.transform(picked, lambda s: F.regexp_extract_all(s, F.lit(r"\n[-*] +([^\n]+)"), 1))
     return F.flatten(bullets)
@@ -248,8 +256,8 @@ def structure_content(df: DataFrame, provider: Callable | None = None, partition
     """Structured record per enriched page. ``provider=None`` → native extractive default.
 
     A user ``provider(pdf) -> iterable of response strings`` receives pandas batches with
-    ``page_id, prompt`` and runs inside ``mapInPandas``; ``partitions`` bounds its parallelism
-    (the reference allowed 10 concurrent calls). Row errors become ``ok = false`` rows.
+    ``course_id, page_id, part, prompt`` and runs inside ``mapInPandas``; ``partitions`` bounds its
+    parallelism. The records of a page's parts are merged; a failed part fails its page.
     """
     if provider is None:
         return structure_extractive(df)
@@ -264,16 +272,41 @@ def structure_content(df: DataFrame, provider: Callable | None = None, partition
                 out = list(provider(pdf))
             except Exception:  # noqa: BLE001 - a failed batch marks its rows failed, the job goes on
                 out = [None] * len(pdf)
-            yield pd.DataFrame({"page_id": pdf["page_id"], "response": out})
-
-    responses = requests.mapInPandas(run, "page_id bigint, response string")
-    parsed = parse_structured(extract_llm_json(df.join(responses, "page_id", "left"), "response"))
-    return parsed.withColumn("ok", F.col("ok") & F.col("markdown").isNotNull() & (F.col("markdown") != ""))
+            yield pd.DataFrame({"course_id": pdf["course_id"], "page_id": pdf["page_id"], "part": pdf["part"], "response": out})
+
+    key = ["course_id", "page_id"]
+    responses = requests.mapInPandas(run, "course_id string, page_id bigint, part int, response string")
+    context = df.select(*key, "course_name", "module_name", "title", "url")
+    parsed = parse_structured(extract_llm_json(responses.join(context, key), "response"))
+    merged = merge_parts(parsed).withColumn("_answered", F.lit(True))
+    out = df.drop("ok", "error", "structured").join(merged, key, "left")
+    return out.withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn(
+        "error", F.when(F.col("_answered"), F.col("error")).otherwise(F.lit("empty content"))).drop("_answered")
+
+
+def merge_parts(parsed: DataFrame) -> DataFrame:
+    """One record per page of the records of its parts (``part``): the first part's title, course, module, type and
+    URL, every part's lists without repeats, and the summaries one after another."""
+    s = F.col("_s")
+
+    def every(name: str) -> Column:
+        return F.array_distinct(F.flatten(s[name])).alias(name)
+
+    pages = parsed.groupBy("course_id", "page_id").agg(
+        F.bool_and("ok").alias("ok"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("part"))).alias("error"),
+        F.array_sort(F.collect_list(F.struct("part", "structured"))).alias("_parts"),  # bounded by the page's text
+    ).withColumn("_s", F.col("_parts.structured"))
+    record = F.struct(
+        *[s[0][name].alias(name) for name in ("title", "course", "module", "content_type")],
+        *[every(name) for name in LIST_FIELDS[:2]], every("definitions"), *[every(name) for name in LIST_FIELDS[2:]],
+        F.array_join(F.filter(s["summary"], lambda x: x != ""), " ").alias("summary"), s[0]["source_url"].alias("source_url"))
+    return pages.select("course_id", "page_id", "ok", "error", F.when(F.col("ok"), record).alias("structured"))
 
 
 def classify_content(df: DataFrame) -> DataFrame:
-    """Default classifier: title rules over the title and the first 2000 characters of content."""
-    text = F.concat_ws(" ", F.col("title"), F.left(F.coalesce(F.col("markdown"), F.lit("")), F.lit(2000)))
+    """Default classifier: title rules over the title and the whole content."""
+    text = F.concat_ws(" ", F.col("title"), F.coalesce(F.col("markdown"), F.lit("")))
     ctype = rules.classify_content_type(F.lit(""), text, F.lit(""))
     return df.withColumn("cls_content_type", ctype).withColumn(
         "cls_confidence", F.when(ctype != "other", F.lit(0.5)).otherwise(F.lit(0.0))).withColumn(
@@ -281,9 +314,9 @@ def classify_content(df: DataFrame) -> DataFrame:
 
 
 def resolve_ambiguous(pages: DataFrame, classified: DataFrame) -> DataFrame:
-    """Pages typed ``other`` take the model's type (``cls_content_type`` by ``page_id``)."""
-    cls = classified.select("page_id", "cls_content_type")
-    j = pages.join(cls, "page_id", "left")
+    """Pages typed ``other`` take the model's type (``cls_content_type`` by site and page)."""
+    cls = classified.select("course_id", "page_id", "cls_content_type")
+    j = pages.join(cls, ["course_id", "page_id"], "left")
     amb = (F.col("content_type") == "other") & F.col("cls_content_type").isNotNull()
     return j.withColumn("type_source", F.when(amb, F.lit("model")).otherwise(F.lit("rules"))).withColumn(
         "content_type", F.when(amb, F.col("cls_content_type")).otherwise(F.col("content_type"))).drop("cls_content_type")
@@ -292,7 +325,6 @@ def resolve_ambiguous(pages: DataFrame, classified: DataFrame) -> DataFrame:
 def current_structured(parsed: DataFrame, version_col: str = "version") -> DataFrame:
     """Many versions per page → the last valid one; ``pos`` = first valid version (dict insertion)."""
     good = parsed.filter("ok")
-    return good.groupBy("page_id").agg(
-        F.max_by(F.struct("course_id", "structured"), F.col(version_col)).alias("_c"),
-        F.min(version_col).alias("pos"),
-    ).select("page_id", F.col("_c.course_id").alias("course_id"), F.col("_c.structured").alias("structured"), "pos")
+    return good.groupBy("course_id", "page_id").agg(
+        F.max_by("structured", F.col(version_col)).alias("structured"), F.min(version_col).alias("pos"),
+    ).select("page_id", "course_id", "structured", "pos")

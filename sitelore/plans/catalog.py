@@ -212,7 +212,7 @@ def q_normalize_scrape_payload(spark, sf_dir):
     return out.select("course_id", "ord", "url", "markdown", "title",
                       F.col("metadata")["source_url"].alias("source_url"),
                       F.col("metadata")["title"].alias("meta_title"),
-                      F.size("metadata").cast("bigint").alias("n_meta"))
+                      F.size("metadata").cast("bigint").alias("n_meta"), "success")
 
 
 @register("normalize_crawl_payload")
@@ -226,7 +226,7 @@ def fingerprinted(spark, sf_dir) -> DataFrame:
 
 def known_and_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = fingerprinted(spark, sf_dir)
-    return c.filter(F.col("page_id") < 500), c.filter(F.col("page_id") >= 500)
+    return c.filter(F.col("page_id") % 2 == 0), c.filter(F.col("page_id") % 2 != 0)
 
 
 @register("content_fingerprint")
@@ -455,7 +455,7 @@ def response_context(spark, sf_dir, responses: DataFrame) -> DataFrame:
     as_content = responses.select("page_id", "course_id").distinct().select(
         "page_id", "course_id", F.lit(None).cast("string").alias("url"), F.lit("").alias("markdown"))
     ctx = structure.enrich_context(as_content, pages, modules, courses).drop("markdown", "ok")
-    return responses.join(ctx.drop("course_id"), "page_id", "left")
+    return responses.join(ctx, ["course_id", "page_id"], "left")
 
 
 def parsed_responses(spark, sf_dir, responses: DataFrame | None = None) -> DataFrame:
@@ -472,7 +472,7 @@ def q_enrich_context(spark, sf_dir):
 def q_build_llm_requests(spark, sf_dir):
     e = enriched(spark, sf_dir).filter("ok")
     parts = [structure.build_llm_requests(e, t) for t in ("classify", "structure", "summarize")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("page_id", "task", "part", "prompt")
 
 
 @register("extract_llm_json")
@@ -498,12 +498,13 @@ def q_structure_content(spark, sf_dir):
 
 @register("summarize")
 def q_summarize(spark, sf_dir):
-    return structure.summarize(tables(spark, sf_dir)["page_content"]).select("page_id", "summary")
+    return structure.summarize(tables(spark, sf_dir)["content"]).select("page_id", "summary")
 
 
 @register("classify_content")
 def q_classify_content(spark, sf_dir):
-    return structure.classify_content(enriched(spark, sf_dir)).select(
+    every = tables(spark, sf_dir)["content"].withColumn("title", F.lit(None).cast("string"))
+    return structure.classify_content(every).select(
         "page_id", "cls_content_type", "cls_confidence", "cls_reasoning")
 
 
@@ -526,8 +527,8 @@ def q_current_structured(spark, sf_dir):
 @register("processing_summary")
 def q_processing_summary(spark, sf_dir):
     e = enriched(spark, sf_dir).select("page_id", "course_id", F.col("ok").alias("has_text"))
-    p = parsed_responses(spark, sf_dir).select("page_id", F.col("ok").alias("parsed"))
-    results = e.join(p, "page_id", "left").select(
+    p = parsed_responses(spark, sf_dir).select("course_id", "page_id", F.col("ok").alias("parsed"))
+    results = e.join(p, ["course_id", "page_id"], "left").select(
         "course_id", "page_id", (F.col("has_text") & F.coalesce("parsed", F.lit(False))).alias("ok"))
     return state.processing_summary(results)
 
@@ -548,8 +549,8 @@ def doc_inputs(spark, sf_dir):
                 lambda: docs.module_pages(numbered, docs.page_content(pages, t["scraped"])))
     versions = stage(spark, sf_dir, "parsed_versions",
                      lambda: parsed_responses(spark, sf_dir, t["structured_versions"]))
-    structured = stage(spark, sf_dir, "current_structured", lambda: structure.current_structured(versions).drop(
-        "course_id").join(pages.select("page_id", "course_id"), "page_id"))
+    structured = stage(spark, sf_dir, "current_structured", lambda: structure.current_structured(versions).join(
+        pages.select("course_id", "page_id"), ["course_id", "page_id"]))
     return courses.select("course_id", "name", "url"), numbered, mpc, structured
 
 
@@ -577,7 +578,7 @@ def q_top_summaries(spark, sf_dir):
 
 def module_struct(spark, sf_dir):
     _, numbered, mpc, structured = doc_inputs(spark, sf_dir)
-    return mpc.join(structured.select("page_id", "structured"), "page_id")
+    return mpc.join(structured.select("course_id", "page_id", "structured"), ["course_id", "page_id"])
 
 
 @register("module_concepts")
@@ -687,17 +688,27 @@ def _fresh(spark, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def _raw_roundtrip(spark, sf_dir):
+def _written_raw(spark, sf_dir) -> str:
+    """Raw pages written in two goes, a site's pages in both."""
     c = fingerprinted(spark, sf_dir)
     path = _fresh(spark, "raw")
-    files.write_raw(c, path)
-    r = files.read_raw(spark, path)
-    return r.select("course_id", "page_id", "filename", "size_bytes", F.col("metadata")["url"].alias("url"),
-                    F.col("metadata")["content_hash"].alias("content_hash"))
+    files.write_raw(c.filter(F.col("page_id") % 3 == 0), path)
+    files.write_raw(c.filter(F.col("page_id") % 3 != 0), path)
+    return path
 
 
-register("write_raw")(_raw_roundtrip)
-register("read_raw")(_raw_roundtrip)
+@register("write_raw")
+def q_write_raw(spark, sf_dir):
+    rows = spark.read.schema("course_id string, page_id bigint, file_key string, markdown string").json(
+        _written_raw(spark, sf_dir))
+    return rows.select("course_id", "page_id", "file_key", F.sha2(F.coalesce("markdown", F.lit("")), 256).alias("text_sha256"))
+
+
+@register("read_raw")
+def q_read_raw(spark, sf_dir):
+    r = files.read_raw(spark, _written_raw(spark, sf_dir))
+    return r.select("course_id", "page_id", "filename", "size_bytes", F.col("metadata")["url"].alias("url"),
+                    F.col("metadata")["content_hash"].alias("content_hash"))
 
 
 @register("write_processed")
@@ -710,21 +721,28 @@ def q_write_processed(spark, sf_dir):
                        F.col("structured.summary").alias("summary"))
 
 
-def _exports_roundtrip(spark, sf_dir):
+def _written_exports(spark, sf_dir) -> str:
     path = _fresh(spark, "exports")
     files.write_exports(docs.render_documents(all_documents(spark, sf_dir)), path)
-    return files.list_exports(spark, path)
+    return path
+
+
+@register("write_exports")
+def q_write_exports(spark, sf_dir):
+    lines = spark.read.schema("value string, course_id string, filename string").text(_written_exports(spark, sf_dir))
+    return lines.groupBy("course_id", "filename").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-register("write_exports")(_exports_roundtrip)
-register("list_exports")(_exports_roundtrip)
+@register("list_exports")
+def q_list_exports(spark, sf_dir):
+    return files.list_exports(spark, _written_exports(spark, sf_dir))
 
 
 def _stream_input(spark, df: DataFrame, name: str, parts: list) -> str:
-    """Write ``df`` as several files (one per filter in ``parts``, in order) for a stream to pick up."""
+    """Write ``df`` as several sets of files (one per filter in ``parts``, in order) for a stream to pick up."""
     path = _fresh(spark, f"stream-in/{name}")
     for cond in parts:
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+        df.filter(cond).write.mode("append").parquet(path)
     return path
 
 
@@ -745,8 +763,7 @@ def q_stream_ingest(spark, sf_dir):
 @register("stream_discover")
 def q_stream_discover(spark, sf_dir):
     t = tables(spark, sf_dir)
-    bounds = [0, 1000000, 3000000, 5000000, 1 << 62]
-    parts = [(F.col("ord") >= lo) & (F.col("ord") < hi) for lo, hi in zip(bounds, bounds[1:])]
+    parts = [F.col("ord") % 4 == k for k in range(4)]
     src = _stream_input(spark, t["links"], "links", parts)
     sink, ckpt = _fresh(spark, "stream-out/discover"), _fresh(spark, "stream-ckpt/discover")
     streams.stream_discover(spark, src, LINKS_SCHEMA, t["courses"], sink, ckpt).awaitTermination()
@@ -759,7 +776,7 @@ def q_stream_progress(spark, sf_dir):
     src = _stream_input(spark, ev, "events", [F.col("event_id") % 4 == k for k in range(4)])
     sink, ckpt = _fresh(spark, "stream-out/progress"), _fresh(spark, "stream-ckpt/progress")
     streams.stream_progress(spark, src, EVENTS_SCHEMA, sink, ckpt).awaitTermination()
-    return spark.read.parquet(sink)
+    return streams.read_progress(spark, sink)
 
 
 @register("humanize_segment")

@@ -74,7 +74,7 @@ def canonical(u: str) -> str:
 
 
 def py_title(x: str) -> str:
-    return (f"array_to_string(list_transform(regexp_extract_all({x}, {q(r'(\p{L}+|\P{L}+)')}, 1), "
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, {q(r'([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)')}, 1), "
             f"lambda w: upper(left(w, 1)) || lower(substring(w, 2))), '')")
 
 

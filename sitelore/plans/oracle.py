@@ -156,8 +156,11 @@ def _resolve(h: str, u: str) -> str:
 
 
 ORACLE["extract_links"] = f"""
-WITH a AS (SELECT page_id, url, regexp_extract_all(html, {d.q(_html.ANCHOR_RE)}, 1) AS hrefs,
-                  regexp_extract_all(html, {d.q(_html.ANCHOR_RE)}, 2) AS texts FROM pages),
+WITH a AS (SELECT page_id, url,
+             list_transform(regexp_extract_all(html, {d.q(_html.ANCHOR_RE)}, 1),
+                            lambda x: regexp_replace(x, {d.q(_html.QUOTES_RE)}, '', 'g')) AS hrefs,
+             list_transform(regexp_extract_all(html, {d.q(_html.ANCHOR_RE)}, 2),
+                            lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS texts FROM pages),
 e AS (SELECT page_id, url, hrefs, texts, unnest(generate_series(1, len(hrefs))) AS i FROM a)
 SELECT {d.base_domain('url')} AS course_id, page_id AS src_page, CAST(i - 1 AS BIGINT) AS pos,
        {_resolve(_decode('hrefs[i]'), 'url')} AS url, nullif({d.strip(_decode('texts[i]'))}, '') AS title
@@ -182,7 +185,8 @@ SELECT page_id, url, title, markdown, lang, url AS source_url, markdown <> '' AS
          {_md} AS markdown, regexp_extract(html, {d.q(_html.LANG_RE)}, 1) AS lang FROM pages) t"""
 
 ORACLE["normalize_links"] = with_(["links", "map_payloads"], """
-arrs AS (SELECT course_id, ord, CASE WHEN json_type(payload) = 'OBJECT' THEN json_extract(payload, '$.links')
+arrs AS (SELECT course_id, ord, CASE WHEN NOT json_valid(payload) THEN NULL
+                                     WHEN json_type(payload) = 'OBJECT' THEN json_extract(payload, '$.links')
                                      ELSE json(payload) END AS arr FROM map_payloads),
 el AS (SELECT course_id, ord, i - 1 AS pos, json_extract(arr, '$[' || CAST(i - 1 AS VARCHAR) || ']') AS e
        FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(arr) AS BIGINT))) AS i FROM arrs) x)
@@ -191,16 +195,23 @@ SELECT course_id, ord, CAST(pos AS BIGINT) AS pos,
   CASE json_type(e) WHEN 'VARCHAR' THEN json_extract_string(e, '$')
     WHEN 'OBJECT' THEN CASE WHEN json_exists(e, '$.url') THEN json_extract_string(e, '$.url')
                             ELSE coalesce(json_extract_string(e, '$.link'), '') END END AS url,
-  CASE WHEN json_type(e) = 'OBJECT' THEN json_extract_string(e, '$.title') END AS title
-FROM el"""
+  CASE WHEN json_type(e) = 'OBJECT' THEN json_extract_string(e, '$.title') END AS title,
+  true AS success, CAST(NULL AS VARCHAR) AS error
+FROM el
+UNION ALL
+SELECT course_id, ord, NULL, NULL, NULL, arr IS NOT NULL, CASE WHEN arr IS NULL THEN 'no list of links' END
+FROM arrs WHERE arr IS NULL OR json_array_length(arr) = 0"""
 
-ORACLE["normalize_scrape_payload"] = with_(["links", "scrape_payloads"]) + """
+ORACLE["normalize_scrape_payload"] = with_(["links", "scrape_payloads"], """
+sp AS (SELECT course_id, ord, url, CASE WHEN json_valid(payload) THEN payload END AS payload FROM scrape_payloads)
+""") + """
 SELECT course_id, ord, url, coalesce(json_extract_string(payload, '$.markdown'), '') AS markdown,
   CASE WHEN coalesce(json_extract_string(payload, '$.metadata.title'), '') <> ''
        THEN json_extract_string(payload, '$.metadata.title') ELSE json_extract_string(payload, '$.title') END AS title,
   url AS source_url, json_extract_string(payload, '$.metadata.title') AS meta_title,
-  CAST(coalesce(len(list_filter(json_keys(payload, '$.metadata'), lambda k: k <> 'source_url')), 0) + 1 AS BIGINT) AS n_meta
-FROM scrape_payloads"""
+  CAST(coalesce(len(list_filter(json_keys(payload, '$.metadata'), lambda k: k <> 'source_url')), 0) + 1 AS BIGINT) AS n_meta,
+  coalesce(json_type(payload) = 'OBJECT', false) AS success
+FROM sp"""
 
 ORACLE["normalize_crawl_payload"] = with_(["links", "crawl_payloads"], """
 its AS (SELECT course_id, ord, CASE WHEN starts_with(ltrim(payload), '[') THEN json(payload)
@@ -212,23 +223,27 @@ SELECT course_id, ord, CAST(pos AS BIGINT) AS pos,
   CASE WHEN json_exists(e, '$.metadata.url') THEN json_extract_string(e, '$.metadata.url')
        ELSE coalesce(json_extract_string(e, '$.url'), '') END AS url,
   coalesce(json_extract_string(e, '$.markdown'), '') AS markdown,
-  json_extract_string(e, '$.metadata.title') AS title
-FROM it"""
+  json_extract_string(e, '$.metadata.title') AS title,
+  true AS success, CAST(NULL AS VARCHAR) AS error
+FROM it
+UNION ALL
+SELECT course_id, ord, NULL, '', '', NULL, arr IS NOT NULL, CASE WHEN arr IS NULL THEN 'no list of pages' END
+FROM its WHERE arr IS NULL OR json_array_length(arr) = 0"""
 
 FP = "fp AS (SELECT *, sha256(markdown) AS content_hash, substring(md5(url), 1, 12) AS file_key FROM content)"
 ORACLE["content_fingerprint"] = with_(["content"], FP) + "SELECT page_id, url, content_hash, file_key FROM fp"
 ORACLE["cache_split"] = with_(["content"], FP) + """
-SELECT course_id, page_id, url, url IN (SELECT url FROM fp WHERE page_id < 500) AS hit FROM fp WHERE page_id >= 500"""
+SELECT course_id, page_id, url, url IN (SELECT url FROM fp WHERE page_id % 2 = 0) AS hit FROM fp WHERE page_id % 2 <> 0"""
 ORACLE["drop_known_content"] = with_(["content"], FP) + """
-SELECT page_id, url, content_hash FROM fp n WHERE page_id >= 500 AND NOT EXISTS
-  (SELECT 1 FROM fp k WHERE k.page_id < 500 AND k.url = n.url AND k.content_hash = n.content_hash)"""
+SELECT page_id, url, content_hash FROM fp n WHERE page_id % 2 <> 0 AND NOT EXISTS
+  (SELECT 1 FROM fp k WHERE k.page_id % 2 = 0 AND k.url = n.url AND k.content_hash = n.content_hash)"""
 ORACLE["latest_scrape"] = with_(["content"], FP) + """
 SELECT url, page_id, course_id, retrieved_at, content_hash FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY retrieved_at DESC, page_id DESC) AS rn FROM fp) t WHERE rn = 1"""
 ORACLE["upsert_content"] = with_(["content"], FP) + """
 SELECT url, content_hash, page_id, course_id, retrieved_at FROM (
   SELECT *, row_number() OVER (PARTITION BY url, content_hash
-                               ORDER BY (page_id >= 500) DESC, retrieved_at DESC, page_id DESC) AS rn FROM fp) t
+                               ORDER BY (page_id % 2 <> 0) DESC, retrieved_at DESC, page_id DESC) AS rn FROM fp) t
 WHERE rn = 1"""
 ORACLE["content_timeline"] = with_(["content"]) + "SELECT course_id, retrieved_at, page_id, url FROM content"
 
@@ -435,7 +450,7 @@ def _prompt(task: str) -> str:
     parts = []
     for piece in _st.TEMPLATES[task]:
         if piece == "content":
-            parts.append(f"left(coalesce(markdown, ''), {_st.CONTEXT_LIMITS[task]})")
+            parts.append(f"substring(coalesce(markdown, ''), part * {_st.CONTEXT_LIMITS[task]} + 1, {_st.CONTEXT_LIMITS[task]})")
         elif piece in ("title", "url", "course_name", "module_name"):
             parts.append(f"coalesce({piece}, {d.q(defaults.get(piece, ''))})")
         else:
@@ -455,7 +470,9 @@ rparsed AS (SELECT page_id, course_id, {_parse_cols('json_text')} FROM rjson)
 
 ORACLE["enrich_context"] = with_(STRUCT_FX, FRONTIER, HIER, ENR) + "SELECT * FROM enr"
 ORACLE["build_llm_requests"] = with_(STRUCT_FX, FRONTIER, HIER, ENR) + " UNION ALL ".join(
-    f"SELECT page_id, '{t}' AS task, {_prompt(t)} AS prompt FROM enr WHERE ok" for t in ("classify", "structure", "summarize"))
+    f"SELECT page_id, '{t}' AS task, CAST(part AS INT) AS part, {_prompt(t)} AS prompt FROM (SELECT *, "
+    f"unnest(generate_series(0, greatest(CAST(ceil(length(markdown) / {_st.CONTEXT_LIMITS[t]}.0) AS INT) - 1, 0))) AS part "
+    f"FROM enr WHERE ok) x" for t in ("classify", "structure", "summarize"))
 ORACLE["extract_llm_json"] = with_(["llm_responses"]) + f"SELECT page_id, {_extract_json('response')} AS json_text FROM llm_responses"
 ORACLE["parse_structured"] = with_(STRUCT_FX, FRONTIER, HIER, RESP_CTX) + """
 SELECT page_id, ok, error, title, course, module, content_type, summary, source_url, key_concepts, objectives,
@@ -496,13 +513,14 @@ SELECT page_id, ok, CASE WHEN NOT ok THEN 'empty content' END AS error,
   CASE WHEN ok THEN array_to_string({_bullets(_md, _st.SECTION_FIELDS['quiz_topics'])}, '|') END AS quiz_topics,
   CASE WHEN ok THEN {_defs} END AS definitions
 FROM enr"""
-ORACLE["summarize"] = with_(["links", "page_content"]) + f"SELECT page_id, {_summary('markdown')} AS summary FROM page_content"
-_cls_text = "concat_ws(' ', title, left(coalesce(markdown, ''), 2000))"
+ORACLE["summarize"] = with_(["content"]) + f"SELECT page_id, {_summary('markdown')} AS summary FROM content"
+_cls_text = "concat_ws(' ', title, coalesce(markdown, ''))"
 CLS = f"""cls AS (SELECT page_id, {rules.duck_classify_sql("''", _cls_text)} AS cls_content_type FROM enr),
 cls2 AS (SELECT page_id, cls_content_type,
            CAST(CASE WHEN cls_content_type <> 'other' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS cls_confidence,
            CASE WHEN cls_content_type <> 'other' THEN 'keyword rule' ELSE 'no rule matched' END AS cls_reasoning FROM cls)"""
-ORACLE["classify_content"] = with_(STRUCT_FX, FRONTIER, HIER, ENR, CLS) + "SELECT * FROM cls2"
+_EVERY = "enr AS (SELECT page_id, course_id, CAST(NULL AS VARCHAR) AS title, markdown FROM content)"
+ORACLE["classify_content"] = with_(["content"], _EVERY, CLS) + "SELECT * FROM cls2"
 ORACLE["resolve_ambiguous"] = with_(STRUCT_FX, FRONTIER, HIER, ENR, CLS) + """
 SELECT p.course_id, p.page_id,
   CASE WHEN p.content_type = 'other' AND c.page_id IS NOT NULL THEN c.cls_content_type ELSE p.content_type END AS content_type,
@@ -772,7 +790,8 @@ ORACLE["export_file_type"] = with_(DOC_FX, FRONTIER, HIER, DOCS, _MAN) + f"SELEC
 _raw = with_(["content"]) + """
 SELECT course_id, page_id, CAST(page_id AS VARCHAR) || '.md' AS filename,
        CAST(strlen(coalesce(markdown, '')) AS BIGINT) AS size_bytes, url, sha256(markdown) AS content_hash FROM content"""
-ORACLE["write_raw"] = _raw
+ORACLE["write_raw"] = with_(["content"], FP) + """
+SELECT course_id, page_id, file_key, sha256(coalesce(markdown, '')) AS text_sha256 FROM fp"""
 ORACLE["read_raw"] = _raw
 ORACLE["write_processed"] = _DW + "SELECT course_id, page_id, s_title AS title, s_summary AS summary FROM cst"
 _exp = _DW + f"""
@@ -781,9 +800,11 @@ SELECT course_id, filename, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes,
 FROM (SELECT course_id, filename, sec, item, string_agg(line, chr(10) ORDER BY ln) AS text FROM (
 {_u(_ov, _src, _kn, _quiz, _asg, _gloss, _srcs)}) all_lines GROUP BY course_id, filename, sec, item) b
 GROUP BY course_id, filename"""
-ORACLE["write_exports"] = _exp
+ORACLE["write_exports"] = _DW + f"""
+SELECT course_id, filename, CAST(sum(1 + len(line) - len(replace(line, chr(10), ''))) AS BIGINT) AS n_lines
+FROM ({_u(_ov, _src, _kn, _quiz, _asg, _gloss, _srcs)}) all_lines GROUP BY course_id, filename"""
 ORACLE["list_exports"] = _exp
-ORACLE["stream_ingest"] = with_(["content"]) + "SELECT DISTINCT url, sha256(markdown) AS content_hash FROM content"
+ORACLE["stream_ingest"] = with_(["content"]) + "SELECT DISTINCT url, sha256(markdown) AS content_hash FROM content WHERE coalesce(markdown, '') <> ''"
 ORACLE["stream_discover"] = ORACLE["discover_pages"]
 ORACLE["stream_progress"] = with_(["job_events"], JOBS) + """
 SELECT job_id, course_id, pages_discovered, pages_scraped, pages_failed, pages_processed, files_generated FROM js"""

@@ -1,8 +1,9 @@
 """File sinks and listings: raw scrapes, processed records and export documents per site.
 
-Everything is written with ``partitionBy('course_id', ...)`` so one site is a folder, re-runs
-replace only the sites they touch (dynamic partition overwrite), and listings read only file
-paths and sizes (``binaryFile`` without its ``content`` column).
+Everything is written with ``partitionBy('course_id', ...)`` so one site is a folder. Raw and
+processed pages are appended and read back as the latest of each page, so a later write of some
+pages keeps the others; exports replace the documents they touch (dynamic partition overwrite).
+Listings read only file paths and sizes (``binaryFile`` without its ``content`` column).
 """
 
 from __future__ import annotations
@@ -13,6 +14,24 @@ from pyspark.sql import functions as F
 from sitelore.functions import rules
 
 
+#: tasks that write one site's pages: a site is neither one task nor a file from every task
+WRITERS_PER_SITE = 16
+
+
+def _append_pages(pages: DataFrame, path: str) -> None:
+    writer = F.pmod(F.xxhash64("page_id"), F.lit(WRITERS_PER_SITE))
+    (pages.withColumn("written_at", F.current_timestamp().cast("string")).repartition("course_id", writer)
+        .write.mode("append").partitionBy("course_id").json(path))
+
+
+def _latest_pages(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The last written row of each page (a retried write repeats its rows)."""
+    fields = ", ".join(f"{c} string" for c in columns)
+    rows = spark.read.schema(f"page_id bigint, {fields}, written_at string, course_id string").json(path)
+    return rows.groupBy("course_id", "page_id").agg(
+        F.max_by(F.struct(*columns), F.struct("written_at", *columns)).alias("_r")).select("course_id", "page_id", "_r.*")
+
+
 def write_raw(content: DataFrame, path: str) -> None:
     """Raw scrape per page with its sidecar metadata (url, title, content_type, hash, time).
 
@@ -29,14 +48,12 @@ def write_raw(content: DataFrame, path: str) -> None:
     ))
     out = content.select("course_id", "page_id", F.substring(F.md5("url"), 1, 12).alias("file_key"),
                          "markdown", meta.alias("meta_json"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("course_id").json(path))
+    _append_pages(out, path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw files per site with size and metadata; missing or malformed metadata → empty map."""
-    raw = spark.read.schema("page_id bigint, file_key string, markdown string, meta_json string, course_id string") \
-        .json(path)
+    raw = _latest_pages(spark, path, ["file_key", "markdown", "meta_json"])
     meta = F.from_json(F.col("meta_json"), "map<string,string>", {"mode": "PERMISSIVE"})
     return raw.select(
         "course_id", "page_id", F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("filename"),
@@ -47,13 +64,11 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 def write_processed(structured: DataFrame, path: str) -> None:
     """One JSON record per page under its site folder."""
-    out = structured.select("course_id", "page_id", F.to_json("structured").alias("content_json"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("course_id").json(path))
+    _append_pages(structured.select("course_id", "page_id", F.to_json("structured").alias("content_json")), path)
 
 
 def read_processed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    raw = spark.read.schema("page_id bigint, content_json string, course_id string").json(path)
+    raw = _latest_pages(spark, path, ["content_json"])
     return raw.select("course_id", "page_id", F.from_json("content_json", schema).alias("structured"))
 
 

@@ -64,21 +64,21 @@ l AS (
          WHEN page_id % 7 = 1 THEN '' ELSE raw_title END AS title
   FROM b),
 v AS (
-  SELECT c, page_id AS ord, concat('https://', host, path) AS url, title FROM l
+  SELECT c, page_id * 8 AS ord, concat('https://', host, path) AS url, title FROM l
   UNION ALL
-  SELECT c, page_id + 1000000, concat('https://', upper(host), path, '/'), title FROM l WHERE page_id % 5 = 0
+  SELECT c, page_id * 8 + 1, concat('https://', upper(host), path, '/'), title FROM l WHERE page_id % 5 = 0
   UNION ALL
-  SELECT c, page_id + 2000000, replace(concat('https://', host, path), '#part', ''), title FROM l WHERE kind = 8 AND c % 2 = 0
+  SELECT c, page_id * 8 + 2, replace(concat('https://', host, path), '#part', ''), title FROM l WHERE kind = 8 AND c % 2 = 0
   UNION ALL
-  SELECT c, page_id + 3000000, replace(concat('https://', host, path), '#part', '-b'), title FROM l WHERE kind = 8
+  SELECT c, page_id * 8 + 3, replace(concat('https://', host, path), '#part', '-b'), title FROM l WHERE kind = 8
   UNION ALL
-  SELECT c, page_id + 4000000, concat('https://other.example.org', path), title FROM l WHERE page_id % 11 = 0
+  SELECT c, page_id * 8 + 4, concat('https://other.example.org', path), title FROM l WHERE page_id % 11 = 0
   UNION ALL
-  SELECT c, page_id + 5000000, concat('http://www.', host, path), title FROM l WHERE page_id % 10 = 3
+  SELECT c, page_id * 8 + 5, concat('http://www.', host, path), title FROM l WHERE page_id % 10 = 3
   UNION ALL
-  SELECT c, page_id + 6000000, concat('HTTPS://', host, path, '-x'), title FROM l WHERE page_id % 30 = 7
+  SELECT c, page_id * 8 + 6, concat('HTTPS://', host, path, '-x'), title FROM l WHERE page_id % 30 = 7
   UNION ALL
-  SELECT c, page_id + 7000000, concat('https://account.', host, path), title FROM l WHERE page_id % 30 = 1)
+  SELECT c, page_id * 8 + 7, concat('https://account.', host, path), title FROM l WHERE page_id % 30 = 1)
 SELECT concat('c', CAST(c AS VARCHAR(20))) AS course_id, CAST(ord AS BIGINT) AS ord, url, title FROM v
 """
 
@@ -115,14 +115,14 @@ FROM @documents@
 def page_content_sql(dialect: str) -> str:
     return """
 SELECT l.course_id, l.ord AS page_id, l.url, d.text AS markdown
-FROM @links@ l JOIN @documents@ d ON d.doc_id = l.ord
-WHERE l.ord < 1000000 AND l.ord % 9 <> 0
+FROM @links@ l JOIN @documents@ d ON d.doc_id = CAST(floor(l.ord / 8) AS BIGINT)
+WHERE l.ord % 8 = 0 AND d.doc_id % 9 <> 0
 """
 
 
 def scraped_sql(dialect: str) -> str:
     """F3 with a retrieval time (minutes after 2024-01-01 by page id), for the export documents."""
-    ts = ts_minutes("page_id % 100000", dialect)
+    ts = ts_minutes("page_id", dialect)
     return f"SELECT course_id, page_id, url, markdown, {ts} AS retrieved_at FROM @page_content@"
 
 
@@ -130,7 +130,7 @@ def scraped_sql(dialect: str) -> str:
 def llm_responses_sql(dialect: str) -> str:
     chr10 = "chr(10)"
     return f"""
-SELECT doc_id AS page_id, concat('c', CAST(doc_id % 10 AS VARCHAR(20))) AS course_id,
+SELECT doc_id * 8 AS page_id, concat('c', CAST(CAST(floor(doc_id / 24) AS BIGINT) AS VARCHAR(20))) AS course_id,
  CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN j
    WHEN 1 THEN concat('```json', {chr10}, j, {chr10}, '```')
    WHEN 2 THEN concat('Here it is: ', j, ' done') ELSE 'no json' END AS response
@@ -138,7 +138,10 @@ FROM (SELECT doc_id, concat('{{"title":"T', CAST(doc_id AS VARCHAR(20)), '","con
    CASE WHEN doc_id % 9 = 0 THEN 'bogus' WHEN doc_id % 2 = 0 THEN 'lecture' ELSE 'quiz' END,
    '","key_concepts":["k', CAST(doc_id % 5 AS VARCHAR(20)), '","K', CAST(doc_id % 3 AS VARCHAR(20)),
    '"],"definitions":[{{"term":"Term', CAST(doc_id % 13 AS VARCHAR(20)), '","definition":"d', CAST(doc_id AS VARCHAR(20)),
-   '"}},{{"term":"","definition":"x"}}],"summary":"',
+   '"}},{{"term":"","definition":"x"}}],',
+   CASE WHEN doc_id % 3 = 1 THEN '' ELSE concat('"quiz_topics":["q', CAST(doc_id % 4 AS VARCHAR(20)), '"],"learning_objectives":["o',
+     CAST(doc_id % 6 AS VARCHAR(20)), '"],"important_formulas":["f', CAST(doc_id % 5 AS VARCHAR(20)), '"],"prerequisites":["p',
+     CAST(doc_id % 3 AS VARCHAR(20)), '"],"examples":["e', CAST(doc_id % 7 AS VARCHAR(20)), '"],') END, '"summary":"',
    CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('s', CAST(doc_id AS VARCHAR(20))) END, '"}}') AS j FROM @documents@) t
 """
 
@@ -148,7 +151,7 @@ def structured_versions_sql(dialect: str) -> str:
 SELECT page_id, course_id, CAST(1 AS INT) AS version, response FROM @llm_responses@
 UNION ALL
 SELECT page_id, course_id, CAST(2 AS INT), concat('{"title":"V2","content_type":"lecture","summary":"v2-', CAST(page_id AS VARCHAR(20)), '"}')
-FROM @llm_responses@ WHERE page_id % 10 = 0
+FROM @llm_responses@ WHERE page_id % 80 = 0
 """
 
 
@@ -186,29 +189,30 @@ FROM @supplier@
 # ---------------------------------------------------------------- F7 payloads
 def map_payloads_sql(dialect: str) -> str:
     return """
-SELECT course_id, ord, CASE CAST(ord % 4 AS INT)
+SELECT course_id, ord, CASE CAST(floor(ord / 8) % 6 AS INT)
    WHEN 0 THEN concat('{"links":["', url, '"]}')
    WHEN 1 THEN concat('{"links":[{"url":"', url, '","title":"t', CAST(ord AS VARCHAR(20)), '"}]}')
    WHEN 2 THEN concat('[{"link":"', url, '"},"', url, '2"]')
-   ELSE '{"links":[{}]}' END AS payload
+   WHEN 3 THEN '{"links":[{}]}' WHEN 4 THEN '{"links":[]}' ELSE 'not json' END AS payload
 FROM @links@
 """
 
 
 def scrape_payloads_sql(dialect: str) -> str:
     return """
-SELECT course_id, ord, url, CASE CAST(ord % 4 AS INT)
+SELECT course_id, ord, url, CASE CAST(floor(ord / 8) % 5 AS INT)
    WHEN 0 THEN concat('{"markdown":"m', CAST(ord AS VARCHAR(20)), '","title":"top","metadata":{"title":"meta","lang":"en"}}')
    WHEN 1 THEN '{"markdown":"m","title":"top","metadata":{"title":""}}'
    WHEN 2 THEN '{"markdown":"","metadata":{}}'
-   ELSE '{"title":"top"}' END AS payload
+   WHEN 3 THEN '{"title":"top"}' ELSE 'not json' END AS payload
 FROM @links@
 """
 
 
 def crawl_payloads_sql(dialect: str) -> str:
     return """
-SELECT course_id, ord, concat('{"data":[{"markdown":"a","url":"', url, '","metadata":{"title":"T"}},{"markdown":"b","url":"x","metadata":{"url":"', url, '/2"}}]}') AS payload
+SELECT course_id, ord, CASE CAST(floor(ord / 8) % 4 AS INT) WHEN 3 THEN '{"error":"late"}'
+   ELSE concat('{"data":[{"markdown":"a","url":"', url, '","metadata":{"title":"T"}},{"markdown":"b","url":"x","metadata":{"url":"', url, '/2"}}]}') END AS payload
 FROM @links@
 """
 

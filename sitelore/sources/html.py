@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from sitelore.functions import urls
 
 # What is dropped and how tags map to Markdown (own choices, see README).
-ANCHOR_RE = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+# an anchor with a quoted or bare href: the href as written, and all that stands inside
+ANCHOR_RE = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)[^>]*>(.*?)</a\s*>"""
+QUOTES_RE = r"""^["']|["']$"""
 DROP_BLOCKS_RE = (r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>"
                   r"|<footer\b.*?</footer>|<head\b.*?</head>")
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
@@ -45,16 +47,14 @@ def extract_links(pages: DataFrame) -> DataFrame:
         urls.base_domain(F.col("url")).alias("course_id"),
         F.col("page_id").alias("src_page"),
         F.col("url").alias("page_url"),
-        F.arrays_zip(
-            F.regexp_extract_all("html", F.lit(ANCHOR_RE), 1).alias("href"),
-            F.regexp_extract_all("html", F.lit(ANCHOR_RE), 2).alias("text"),
-        ).alias("_a"),
+        F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR_RE), 0)).alias("pos", "_a"),
     )
-    exploded = anchors.select("course_id", "src_page", "page_url", F.posexplode("_a").alias("pos", "a"))
-    return exploded.select(
+    href = F.regexp_replace(F.regexp_extract("_a", ANCHOR_RE, 1), QUOTES_RE, "")
+    text = F.regexp_replace(F.regexp_extract("_a", ANCHOR_RE, 2), r"<[^>]*>", "")
+    return anchors.select(
         "course_id", "src_page", F.col("pos").cast("bigint").alias("pos"),
-        resolve_href(decode_entities(F.col("a.href")), F.col("page_url")).alias("url"),
-        F.nullif(urls.py_strip(decode_entities(F.col("a.text"))), F.lit("")).alias("title"),
+        resolve_href(decode_entities(href), F.col("page_url")).alias("url"),
+        F.nullif(urls.py_strip(decode_entities(text)), F.lit("")).alias("title"),
     )
 
 

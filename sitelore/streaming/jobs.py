@@ -23,7 +23,8 @@ def stream_ingest(spark: SparkSession, source: str, schema: str, sink: str, chec
     watermark passes, bounding state for endless streams.
     """
     rows = spark.readStream.schema(schema).parquet(source)
-    fp = contentops.content_fingerprint(rows)
+    # a page without text has failed, like in batch
+    fp = contentops.content_fingerprint(rows.filter(F.coalesce("markdown", F.lit("")) != ""))
     if watermark:
         fp = fp.withWatermark("retrieved_at", watermark).dropDuplicatesWithinWatermark(["url", "content_hash"])
     else:
@@ -35,34 +36,47 @@ def stream_ingest(spark: SparkSession, source: str, schema: str, sink: str, chec
 
 
 def stream_discover(spark: SparkSession, source: str, schema: str, courses: DataFrame, sink: str,
-                    checkpoint: str, available_now: bool = True):
+                    checkpoint: str, available_now: bool = True, max_files: int | None = None):
     """Links arriving in files → first link per ``(course_id, canonical)`` across all batches →
     relevance filter (after dedup, as in batch) → classification.
 
     Each micro-batch keeps its first link per key (smallest ``ord``) and drops keys already
     stored by earlier batches (anti join with the sink, written per ``batch_id`` so a retried
     batch overwrites itself). With links arriving in ``ord`` order the result equals the batch
-    ``discover_pages``.
+    ``discover_pages``. ``max_files`` bounds the files of a micro-batch; by default it takes all
+    that have arrived.
     """
-    links = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    prepared = frontier.prepare_frontier(links)
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    prepared = frontier.prepare_frontier(reader.parquet(source))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         first = frontier.dedupe_links(batch)
-        try:
-            seen = batch.sparkSession.read.parquet(sink).filter(F.col("batch_id") < batch_id).select(
-                "course_id", "canonical")
+        earlier = [path for number, path in batches_of(batch.sparkSession, sink) if number < batch_id]
+        if earlier:
+            seen = batch.sparkSession.read.parquet(*earlier).select("course_id", "canonical")
             first = first.join(seen, ["course_id", "canonical"], "left_anti")
-        except Exception:  # noqa: BLE001 - no earlier batch written yet
-            pass
-        (first.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+        first.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     writer = prepared.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")
     return writer.start()
 
 
+def batches_of(spark: SparkSession, sink: str) -> list[tuple[int, str]]:
+    """(number, folder) of the completely written batches of a sink, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(sink).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.globStatus(path(f"{sink}/batch_id=*"))]
+    return sorted((int(p.getName().split("=")[1]), p.toString()) for p in found if fs.exists(path(p, "_SUCCESS")))
+
+
+def read_progress(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest complete snapshot of ``stream_progress``."""
+    return spark.read.parquet(batches_of(spark, sink)[-1][1])
+
+
 def discovered_from_stream(spark: SparkSession, sink: str, courses: DataFrame) -> DataFrame:
     """Pages from the stream's first-per-key table: relevance filter and classification."""
     firsts = spark.read.parquet(sink).drop("batch_id")
@@ -73,7 +87,8 @@ def discovered_from_stream(spark: SparkSession, sink: str, courses: DataFrame) -
 
 def stream_progress(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str,
                     available_now: bool = True):
-    """Live counters per job (``complete`` mode); each trigger replaces the snapshot table."""
+    """Live counters per job (``complete`` mode); each trigger writes a snapshot of its own, and
+    ``read_progress`` reads the newest that is complete, so a reader never sees half of one."""
     events = spark.readStream.schema(schema).parquet(source)
     ev = F.col("event")
     counters = events.groupBy("job_id", "course_id").agg(
@@ -85,7 +100,7 @@ def stream_progress(spark: SparkSession, source: str, schema: str, sink: str, ch
     )
 
     def snapshot(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     writer = (counters.writeStream.outputMode("complete").foreachBatch(snapshot)
                 .option("checkpointLocation", checkpoint))

@@ -30,3 +30,25 @@ def test_limit_frontier_keeps_first_n(spark):
     links = spark.range(0, 50).select(F.lit("c").alias("course_id"), F.col("id").alias("ord"),
                                       F.concat(F.lit("https://s/"), F.col("id").cast("string")).alias("url"))
     assert sorted(r[0] for r in frontier.limit_frontier(links, 7).select("ord").collect()) == list(range(7))
+
+
+def test_all_anchor_forms(spark):
+    from sitelore.sources import html
+    page = ("<a href=\"/d\">double</a> <A class=x HREF='s?a=1'>sin<b>gle</b></A> <a href=bare>bare</a> "
+            "<a data-href='no' href = \"https://o.org/x\" title=t><img src=i> <span>in side</span></a>"
+            "<a href=\"//c.org/\"></a><a name=n>none</a><abbr href='q'>not</abbr>")
+    df = spark.createDataFrame([(7, "https://www.s.edu/p", page)], "page_id bigint, url string, html string")
+    got = [tuple(r) for r in html.extract_links(df).orderBy("pos").collect()]
+    assert got == [("s.edu", 7, 0, "https://www.s.edu/d", "double"), ("s.edu", 7, 1, "https://www.s.edu/s?a=1", "single"),
+                   ("s.edu", 7, 2, "https://www.s.edu/bare", "bare"), ("s.edu", 7, 3, "https://o.org/x", "in side"),
+                   ("s.edu", 7, 4, "https://c.org/", None)]
+
+
+def test_failed_payloads_stay_as_rows(spark):
+    from sitelore.sources import payloads
+    df = spark.createDataFrame([(1, '{"links":["u"]}'), (2, "oops"), (3, '{"links":[]}'), (4, None)], "ord bigint, payload string")
+    got = {r["ord"]: (r["url"], r["success"], r["error"]) for r in payloads.normalize_links(df).collect()}
+    assert got == {1: ("u", True, None), 2: (None, False, payloads.NO_LINKS), 3: (None, True, None), 4: (None, False, payloads.NO_LINKS)}
+    crawl = spark.createDataFrame([(1, '{"data":[{"url":"u"}]}'), (2, "oops"), (3, '{"x":1}')], "ord bigint, payload string")
+    got = {r["ord"]: (r["url"], r["success"]) for r in payloads.normalize_crawl_payload(crawl).collect()}
+    assert got == {1: ("u", True), 2: ("", False), 3: ("", False)}

@@ -46,3 +46,16 @@ def test_raw_roundtrip_keeps_metadata(spark):
     row = back.filter(F.col("page_id") == 1).first()
     assert row["metadata"]["url"].startswith("https://site1.example.edu/p/")
     assert len(row["metadata"]["content_hash"]) == 64
+
+
+def test_second_write_keeps_the_first(spark):
+    rows = [("a", 1, "u1", "one", "h1"), ("a", 2, "u2", "two", "h2"), ("a", 1, "u1", "new", "h3")]
+    path, done = scratch_path(spark, "test-raw-twice"), scratch_path(spark, "test-processed-twice")
+    for r in rows:
+        df = spark.createDataFrame([r], "course_id string, page_id bigint, url string, markdown string, content_hash string")
+        files.write_raw(df, path)
+        files.write_processed(df.select("course_id", "page_id", F.struct(F.col("markdown").alias("title")).alias("structured")), done)
+    back = {r["page_id"]: r["metadata"]["content_hash"] for r in files.read_raw(spark, path).collect()}
+    assert back == {1: "h3", 2: "h2"}
+    records = files.read_processed(spark, done, "struct<title:string>").collect()
+    assert {r["page_id"]: r["structured"]["title"] for r in records} == {1: "new", 2: "two"}

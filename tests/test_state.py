@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitelore.operators import state
@@ -45,3 +46,24 @@ def test_prefix_over_matches_window(spark):
         exp.append((k, o, n, s + v))
         acc[k] = (n + 1, s + v)
     assert rows == sorted(exp)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_prefix_over_with_payload_equals_window(spark, adaptive):
+    from pyspark.sql import Window
+    from sitelore.operators.ordering import prefix_over
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        # 40 % of the rows in one key, NULL keys, a payload, many partitions
+        df = spark.range(60_000).select(
+            F.when(F.col("id") % 10 < 4, "hot").when(F.col("id") % 10 < 9, F.concat(F.lit("k"), F.col("id") % 97)).alias("k"),
+            F.xxhash64("id").alias("o"), "id", F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("payload"),
+            (F.col("id") % 7).alias("v")).repartition(9)
+        out = prefix_over(df, ["k"], ["o", "id"], "idx", sums={"run": F.col("v")})
+        w = Window.partitionBy("k").orderBy("o", "id")
+        want = df.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint")).withColumn(
+            "run", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        assert out.columns == want.columns and out.count() == 60_000
+        assert out.exceptAll(want).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -59,13 +59,47 @@ def test_extractive_provider(spark):
     assert s["important_formulas"] == ["E=mc^2"]
 
 
+ENRICHED = ("course_id string, page_id bigint, markdown string, title string, course_name string, module_name string, "
+            "url string, content_type string, ok boolean")
+
+
 def test_provider_hook_runs_in_map_in_pandas(spark):
-    df = spark.createDataFrame([(1, "text", "T", "C", "M", "u", "lecture", True)],
-                               "page_id bigint, markdown string, title string, course_name string, module_name string, "
-                               "url string, content_type string, ok boolean")
+    df = spark.createDataFrame([("a", 1, "text", "T", "C", "M", "u", "lecture", True), ("b", 1, "", "T", "C", "M", "u", "quiz", False)],
+                               ENRICHED)
 
     def provider(pdf):
         return ['```json\n{"summary": "from model", "content_type": "quiz"}\n```' for _ in range(len(pdf))]
 
-    s = structure.structure_content(df, provider=provider, partitions=2).first()
+    got = {r["course_id"]: r for r in structure.structure_content(df, provider=provider, partitions=2).collect()}
+    s = got["a"]
     assert s["ok"] and s["structured"]["summary"] == "from model" and s["structured"]["content_type"] == "quiz"
+    assert not got["b"]["ok"] and got["b"]["error"] == "empty content" and len(got) == 2
+
+
+def test_requests_cover_whole_text_and_parts_merge(spark):
+    text = "".join(f"word{i} " for i in range(3000))
+    df = spark.createDataFrame([("a", 1, text, "T", "C", "M", "u", "lecture", True)], ENRICHED)
+    prompts = [r["prompt"] for r in structure.build_llm_requests(df, "structure").orderBy("part").collect()]
+    assert len(prompts) == 3 and "".join(p.split("\n\nContent:\n")[1].removesuffix("\n") for p in prompts) == text
+    assert structure.build_llm_requests(df, "structure", limit=100).count() == 1
+
+    def provider(pdf):
+        return ['{"summary": "s%d", "key_concepts": ["k", "k%d"], "content_type": "quiz"}' % (p, p) for p in pdf["part"]]
+
+    s = structure.structure_content(df, provider=provider).first()["structured"]
+    assert s["summary"] == "s0 s1 s2" and s["key_concepts"] == ["k", "k0", "k1", "k2"]
+
+
+def test_sites_may_share_page_ids(spark):
+    content = spark.createDataFrame([("a", 1, "text a", "ua"), ("b", 1, "text b", "ub")],
+                                    "course_id string, page_id bigint, markdown string, url string")
+    pages = spark.createDataFrame([("a", 1, "A", "pa", "quiz", "m"), ("b", 1, "B", "pb", "lab", "m")],
+                                  "course_id string, page_id bigint, title string, url string, content_type string, module_id string")
+    modules = spark.createDataFrame([("a", "m", "MA"), ("b", "m", "MB")], "course_id string, module_id string, module_title string")
+    courses = spark.createDataFrame([("a", "CA"), ("b", "CB")], "course_id string, name string")
+    got = structure.enrich_context(content, pages, modules, courses)
+    assert sorted((r.course_id, r.title, r.module_name, r.url) for r in got.collect()) == [
+        ("a", "A", "MA", "pa"), ("b", "B", "MB", "pb")]
+    typed = structure.resolve_ambiguous(pages.withColumn("content_type", F.lit("other")),
+                                        got.select("course_id", "page_id", F.col("title").alias("cls_content_type")))
+    assert sorted((r.course_id, r.content_type) for r in typed.collect()) == [("a", "A"), ("b", "B")]
