@@ -15,7 +15,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame  # noqa: E402
+from pyspark.sql import DataFrame, Observation  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from sitelore.operators import frontier, hierarchy, state, structure  # noqa: E402
 from sitelore.plans import catalog  # noqa: E402
@@ -24,8 +25,11 @@ from sitelore.sources import html  # noqa: E402
 from sitelore.sources.fixtures import tables  # noqa: E402
 
 
-def run(df: DataFrame) -> None:
-    df.write.format("noop").mode("overwrite").save()
+def run(df: DataFrame) -> int:
+    """Force ``df`` with the ``noop`` sink; the rows are counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return seen.get["n"]
 
 
 def main() -> None:
@@ -60,15 +64,18 @@ def main() -> None:
     }
     # warm-up: JVM start and first parquet reads are not part of any job
     run(t()["links"])
-    times = {}
+    times, rows = {}, {}
     for name, build in jobs.items():
         catalog.reset_stages()
         t0 = time.time()
-        run(build())
+        rows[name] = run(build())
         times[name] = round(time.time() - t0, 3)
+    events = t()["job_events"].count()
+    if rows["running_progress"] != events:
+        raise SystemExit(f"running_progress: {rows['running_progress']} rows of {events} events")
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_job_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf.group(1)) if sf else sf_dir, "cpus": int(cpus)}))
+                      "queries": times, "rows": rows, "sf": float(sf.group(1)) if sf else sf_dir, "cpus": int(cpus)}))
 
 
 if __name__ == "__main__":
