@@ -33,3 +33,37 @@ def test_stream_progress_equals_batch(spark):
     batch = state.job_summary(t["job_events"])
     cols = ["job_id", "pages_discovered", "pages_scraped", "pages_failed", "pages_processed", "files_generated"]
     assert _set(streamed, cols) == _set(batch, cols)
+
+
+def _arrive(spark, path, batches):
+    schema = "course_id string, ord bigint, url string, title string"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return schema
+
+
+def test_first_link_is_the_first_to_arrive(spark):
+    from sitelore.session import scratch_path
+    from sitelore.streaming import jobs
+    src, sink, ckpt = (scratch_path(spark, f"test-arrival-{x}") for x in ("in", "out", "ckpt"))
+    # position 9 arrives before position 1 of the same page; a later file repeats both
+    schema = _arrive(spark, src, [[("a", 9, "https://s.edu/x", "late position")],
+                                  [("a", 1, "https://s.edu/x/", "early position"), ("a", 2, "https://s.edu/y", "y")],
+                                  [("a", 1, "https://s.edu/x", "again"), ("b", 1, "https://s.edu/x", "other site")]])
+    courses = spark.createDataFrame([("a", "https://s.edu"), ("b", "https://s.edu")], "course_id string, url string")
+    jobs.stream_discover(spark, src, schema, courses, sink, ckpt, max_files=1).awaitTermination()
+    got = jobs.discovered_from_stream(spark, sink, courses).collect()
+    assert sorted((r["course_id"], r["page_id"], r["title"]) for r in got) == [
+        ("a", 2, "y"), ("a", 9, "late position"), ("b", 1, "other site")]
+    assert [n for n, _ in jobs.batches_of(spark, sink)] == [0, 1, 2]
+
+
+def test_half_written_batches_are_not_read(spark, tmp_path):
+    from sitelore.streaming import jobs
+    sink = str(tmp_path / "snapshots")
+    spark.range(3).write.parquet(f"{sink}/batch_id=3")
+    spark.range(5).write.parquet(f"{sink}/batch_id=4")
+    (tmp_path / "snapshots" / "batch_id=4" / "_SUCCESS").unlink()
+    assert jobs.read_progress(spark, sink).count() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{sink}/batch_id=4")  # the batch is tried again
+    assert jobs.read_progress(spark, sink).count() == 5
