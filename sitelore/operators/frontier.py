@@ -67,10 +67,13 @@ def classify_links(df: DataFrame) -> DataFrame:
     })
 
 
-def discover_pages(links: DataFrame, courses: DataFrame, filter_first: bool = False) -> DataFrame:
+def discover_pages(links: DataFrame, courses: DataFrame, filter_first: bool = False,
+                   stable_ids: bool = False) -> DataFrame:
     """Frontier → classified pages: ``course_id, page_id, url, canonical, title, content_type``.
 
-    ``page_id`` is the ``ord`` of the surviving link (deterministic, so re-runs are idempotent).
+    ``page_id`` is the ``ord`` of the surviving link, unique within its site. ``stable_ids=True``
+    takes a 63-bit hash of site and canonical URL instead, which a frontier whose positions have
+    shifted keeps.
     ``filter_first=True`` applies the relevance filter before deduplication instead of after.
     """
     prepared = prepare_frontier(links)
@@ -81,7 +84,8 @@ def discover_pages(links: DataFrame, courses: DataFrame, filter_first: bool = Fa
         deduped = with_course_base(dedupe_links(prepared), courses)
         kept = deduped.filter(relevance_flag(deduped))
     pages = classify_links(kept)
-    return pages.select("course_id", F.col("ord").alias("page_id"), "url", "canonical", "title", "content_type")
+    page_id = F.shiftrightunsigned(F.xxhash64("course_id", "canonical"), 1) if stable_ids else F.col("ord")
+    return pages.select("course_id", page_id.alias("page_id"), "url", "canonical", "title", "content_type")
 
 
 def discovery_stats(links: DataFrame, courses: DataFrame) -> DataFrame:

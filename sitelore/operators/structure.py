@@ -213,8 +213,19 @@ def _sentences(text: Column) -> Column:
     return F.regexp_extract_all(flat, F.lit(SENTENCE), 0)
 
 
-def summarize(df: DataFrame, text_col: str = "markdown") -> DataFrame:
-    """Extractive summary: the first three sentences ('' when there is no text)."""
+def summarize(df: DataFrame, text_col: str = "markdown", provider: Callable | None = None,
+              partitions: int | None = None) -> DataFrame:
+    """Extractive summary: the first three sentences ('' when there is no text).
+
+    A ``provider`` (see ``structure_content``) writes one for each part of an enriched page; they
+    are joined in order, and a failed part adds nothing.
+    """
+    if provider is not None:
+        key = ["course_id", "page_id"]
+        parts = provider_responses(df.filter("ok"), "summarize", provider, partitions)
+        joined = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("part", "response"))).alias("_p")).select(
+            *key, F.array_join(F.filter(F.transform("_p.response", urls.py_strip), lambda x: x != ""), " ").alias("summary"))
+        return df.join(joined, key, "left").withColumn("summary", F.coalesce("summary", F.lit("")))
     return df.withColumn("summary", urls.py_strip(F.array_join(F.slice(_sentences(F.col(text_col)), 1, 3), "")))
 
 
@@ -261,7 +272,19 @@ def structure_content(df: DataFrame, provider: Callable | None = None, partition
     """
     if provider is None:
         return structure_extractive(df)
-    requests = build_llm_requests(df.filter("ok"), "structure")
+    key = ["course_id", "page_id"]
+    responses = provider_responses(df.filter("ok"), "structure", provider, partitions)
+    context = df.select(*key, "course_name", "module_name", "title", "url")
+    parsed = parse_structured(extract_llm_json(responses.join(context, key), "response"))
+    merged = merge_parts(parsed).withColumn("_answered", F.lit(True))
+    out = df.drop("ok", "error", "structured").join(merged, key, "left")
+    return out.withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn(
+        "error", F.when(F.col("_answered"), F.col("error")).otherwise(F.lit("empty content"))).drop("_answered")
+
+
+def provider_responses(df: DataFrame, task: str, provider: Callable, partitions: int | None = None) -> DataFrame:
+    """``course_id, page_id, part, response`` of a user provider for every request of a task."""
+    requests = build_llm_requests(df, task)
     if partitions:
         requests = requests.repartition(partitions)
 
@@ -274,14 +297,7 @@ def structure_content(df: DataFrame, provider: Callable | None = None, partition
                 out = [None] * len(pdf)
             yield pd.DataFrame({"course_id": pdf["course_id"], "page_id": pdf["page_id"], "part": pdf["part"], "response": out})
 
-    key = ["course_id", "page_id"]
-    responses = requests.mapInPandas(run, "course_id string, page_id bigint, part int, response string")
-    context = df.select(*key, "course_name", "module_name", "title", "url")
-    parsed = parse_structured(extract_llm_json(responses.join(context, key), "response"))
-    merged = merge_parts(parsed).withColumn("_answered", F.lit(True))
-    out = df.drop("ok", "error", "structured").join(merged, key, "left")
-    return out.withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn(
-        "error", F.when(F.col("_answered"), F.col("error")).otherwise(F.lit("empty content"))).drop("_answered")
+    return requests.mapInPandas(run, "course_id string, page_id bigint, part int, response string")
 
 
 def merge_parts(parsed: DataFrame) -> DataFrame:
@@ -304,8 +320,20 @@ def merge_parts(parsed: DataFrame) -> DataFrame:
     return pages.select("course_id", "page_id", "ok", "error", F.when(F.col("ok"), record).alias("structured"))
 
 
-def classify_content(df: DataFrame) -> DataFrame:
-    """Default classifier: title rules over the title and the whole content."""
+def classify_content(df: DataFrame, provider: Callable | None = None, partitions: int | None = None) -> DataFrame:
+    """Default classifier: title rules over the title and the whole content.
+
+    A ``provider`` (see ``structure_content``) types each part of an enriched page; the surest
+    part decides, the earlier one of equals.
+    """
+    if provider is not None:
+        key = ["course_id", "page_id"]
+        parts = parse_classification(extract_llm_json(
+            provider_responses(df.filter("ok"), "classify", provider, partitions)))
+        best = parts.groupBy(*key).agg(F.max_by(
+            F.struct("cls_content_type", "cls_confidence", "cls_reasoning"),
+            F.struct("cls_confidence", -F.col("part"))).alias("_b")).select(*key, "_b.*")
+        return df.join(best, key, "left")
     text = F.concat_ws(" ", F.col("title"), F.coalesce(F.col("markdown"), F.lit("")))
     ctype = rules.classify_content_type(F.lit(""), text, F.lit(""))
     return df.withColumn("cls_content_type", ctype).withColumn(

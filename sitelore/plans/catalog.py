@@ -52,12 +52,23 @@ REUSE_STAGES = True
 def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A pipeline stage table: built by Spark once, written to the shared checkpoint folder, and
     read back by every later query of the same session (like a stored table between jobs)."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = _stage_key(spark, sf_dir, name)
     if not REUSE_STAGES or key not in _STAGES:
         _STAGES[key] = cut_lineage(build(), spark, name=name)
     return _STAGES[key]
 
 
+def _stage_key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """A stage belongs to one application and one state of the input files (paths, sizes, times)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    state = []
+    while files.hasNext():
+        f = files.next()
+        state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return spark.sparkContext.applicationId, sf_dir, hash(tuple(sorted(state))), name
+
+
 def reset_stages() -> None:
     _STAGES.clear()
 
@@ -335,12 +346,10 @@ def hierarchy_tables(spark, sf_dir):
     def build():
         return hierarchy.build_modules_and_assignments(pages, cut_lineage)
 
-    if (spark.sparkContext.applicationId, sf_dir, "modules") not in _STAGES or not REUSE_STAGES:
-        modules, assigned = build()
-        _STAGES[(spark.sparkContext.applicationId, sf_dir, "modules")] = modules
-        _STAGES[(spark.sparkContext.applicationId, sf_dir, "assigned")] = assigned
-    key = (spark.sparkContext.applicationId, sf_dir)
-    return pages, _STAGES[key + ("modules",)], _STAGES[key + ("assigned",)]
+    keys = _stage_key(spark, sf_dir, "modules"), _stage_key(spark, sf_dir, "assigned")
+    if keys[0] not in _STAGES or not REUSE_STAGES:
+        _STAGES[keys[0]], _STAGES[keys[1]] = build()
+    return pages, _STAGES[keys[0]], _STAGES[keys[1]]
 
 
 @register("replace_modules")
@@ -353,13 +362,31 @@ def q_replace_modules(spark, sf_dir):
     return state.replace_modules(modules, new)
 
 
-@register("delete_courses")
-def q_delete_courses(spark, sf_dir):
+@register("replace_modules_pages")
+def q_replace_modules_pages(spark, sf_dir):
+    pages, modules, assigned = hierarchy_tables(spark, sf_dir)
+    new = tables(spark, sf_dir)["courses"].filter(F.substring("course_id", 2, 20).cast("bigint") % 2 == 0).select(
+        "course_id", F.concat("course_id", F.lit("/replaced")).alias("module_id"),
+        F.lit("Replaced").alias("module_title"), F.lit(0).cast("bigint").alias("order_index"))
+    _, fixed = state.replace_modules(modules, new, hierarchy.store_pages(pages, assigned))
+    return fixed.select("course_id", "page_id", "module_id")
+
+
+def _without_deleted(spark, sf_dir) -> dict[str, DataFrame]:
     t = tables(spark, sf_dir)
     ids = t["courses"].filter(F.substring("course_id", 2, 20).cast("bigint") % 4 == 1).select("course_id")
-    out = state.delete_courses({"pages": discovered(spark, sf_dir),
-                                "content": t["page_content"].select("page_id", "url")}, ids)
-    return out["content"]
+    return state.delete_courses({"pages": discovered(spark, sf_dir),
+                                 "content": t["page_content"].select("page_id", "url")}, ids)
+
+
+@register("delete_courses")
+def q_delete_courses(spark, sf_dir):
+    return _without_deleted(spark, sf_dir)["content"]
+
+
+@register("delete_courses_pages")
+def q_delete_courses_pages(spark, sf_dir):
+    return _without_deleted(spark, sf_dir)["pages"].select("course_id", "page_id", "url")
 
 
 @register("toggle_pages")
@@ -395,6 +422,12 @@ def q_list_courses(spark, sf_dir):
     return ordered
 
 
+@register("list_courses_total")
+def q_list_courses_total(spark, sf_dir):
+    _, total = state.list_courses(tables(spark, sf_dir)["courses"])
+    return total
+
+
 @register("eligible_courses")
 def q_eligible_courses(spark, sf_dir):
     courses = tables(spark, sf_dir)["courses"]

@@ -347,6 +347,12 @@ SELECT course_id, page_id FROM hassigned UNION SELECT course_id, page_id FROM hu
 ORACLE["select_pages"] = with_(HW + ["selection"], FRONTIER) + """
 SELECT * FROM dpages WHERE page_id IN (SELECT page_id FROM selection)"""
 ORACLE["list_courses"] = with_(["courses"]) + "SELECT * FROM courses"
+ORACLE["list_courses_total"] = with_(["courses"]) + "SELECT count(*) AS total FROM courses"
+ORACLE["delete_courses_pages"] = with_(HW, FRONTIER) + """
+SELECT course_id, page_id, url FROM dpages WHERE CAST(substring(course_id, 2) AS BIGINT) % 4 <> 1"""
+ORACLE["replace_modules_pages"] = with_(HW, FRONTIER, HIER) + """
+SELECT course_id, page_id, CASE WHEN CAST(substring(course_id, 2) AS BIGINT) % 2 <> 0 THEN module_id END AS module_id
+FROM stored"""
 _elig = " UNION ALL ".join(
     f"SELECT course_id, '{a}' AS action FROM courses WHERE status IN ({', '.join(repr(s) for s in v)})"
     for a, v in rules.ELIGIBLE_STATUSES.items())

@@ -52,3 +52,13 @@ def test_failed_payloads_stay_as_rows(spark):
     crawl = spark.createDataFrame([(1, '{"data":[{"url":"u"}]}'), (2, "oops"), (3, '{"x":1}')], "ord bigint, payload string")
     got = {r["ord"]: (r["url"], r["success"]) for r in payloads.normalize_crawl_payload(crawl).collect()}
     assert got == {1: ("u", True), 2: ("", False), 3: ("", False)}
+
+
+def test_stable_ids_survive_shifted_positions_and_differ_by_site(spark):
+    courses = spark.createDataFrame([("a", "https://s.edu"), ("b", "https://s.edu")], "course_id string, url string")
+    schema = "course_id string, ord bigint, url string, title string"
+    first = spark.createDataFrame([("a", 0, "https://s.edu/x", None), ("b", 0, "https://s.edu/x", None)], schema)
+    later = spark.createDataFrame([("a", 0, "https://s.edu/new", None), ("a", 5, "https://S.edu/x/", None)], schema)
+    ids = {(r["course_id"], r["canonical"]): r["page_id"] for r in frontier.discover_pages(first, courses, stable_ids=True).collect()}
+    again = {(r["course_id"], r["canonical"]): r["page_id"] for r in frontier.discover_pages(later, courses, stable_ids=True).collect()}
+    assert len(set(ids.values())) == 2 and again["a", "https://s.edu/x"] == ids["a", "https://s.edu/x"] >= 0

@@ -80,14 +80,14 @@ def test_requests_cover_whole_text_and_parts_merge(spark):
     text = "".join(f"word{i} " for i in range(3000))
     df = spark.createDataFrame([("a", 1, text, "T", "C", "M", "u", "lecture", True)], ENRICHED)
     prompts = [r["prompt"] for r in structure.build_llm_requests(df, "structure").orderBy("part").collect()]
-    assert len(prompts) == 3 and "".join(p.split("\n\nContent:\n")[1].removesuffix("\n") for p in prompts) == text
+    assert len(prompts) == 4 and "".join(p.split("\n\nContent:\n")[1].removesuffix("\n") for p in prompts) == text
     assert structure.build_llm_requests(df, "structure", limit=100).count() == 1
 
     def provider(pdf):
         return ['{"summary": "s%d", "key_concepts": ["k", "k%d"], "content_type": "quiz"}' % (p, p) for p in pdf["part"]]
 
     s = structure.structure_content(df, provider=provider).first()["structured"]
-    assert s["summary"] == "s0 s1 s2" and s["key_concepts"] == ["k", "k0", "k1", "k2"]
+    assert s["summary"] == "s0 s1 s2 s3" and s["key_concepts"] == ["k", "k0", "k1", "k2", "k3"]
 
 
 def test_sites_may_share_page_ids(spark):
@@ -103,3 +103,17 @@ def test_sites_may_share_page_ids(spark):
     typed = structure.resolve_ambiguous(pages.withColumn("content_type", F.lit("other")),
                                         got.select("course_id", "page_id", F.col("title").alias("cls_content_type")))
     assert sorted((r.course_id, r.content_type) for r in typed.collect()) == [("a", "A"), ("b", "B")]
+
+
+def test_providers_classify_and_summarize_whole_texts(spark):
+    df = spark.createDataFrame([("a", 1, "x" * 7000, "T", "C", "M", "u", "other", True), ("a", 2, "", "T", "C", "M", "u", "other", False)],
+                               ENRICHED)
+
+    def typed(pdf):
+        return ['{"content_type": "%s", "confidence": %s}' % (("quiz", 0.9) if p == 2 else ("lab", 0.3)) for p in pdf["part"]]
+
+    got = {r["page_id"]: r["cls_content_type"] for r in structure.classify_content(df, provider=typed).collect()}
+    assert got == {1: "quiz", 2: None}
+    got = {r["page_id"]: r["summary"] for r in structure.summarize(
+        df, provider=lambda pdf: [f" part {p} " for p in pdf["part"]]).collect()}
+    assert got == {1: "part 0 part 1", 2: ""}
