@@ -7,8 +7,7 @@ text; a bounded cache of words then does most of the work.
 from __future__ import annotations
 
 import os
-
-import numpy as np
+import struct
 
 _loaded: dict[str, "WordIds"] = {}
 
@@ -18,10 +17,14 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII that is neither letter, digit, white space nor the apostrophe of contractions
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    LARGEST_CACHE = 400_000  # words; then it starts anew
+    LARGEST_CACHE = 1_000_000  # words; then it starts anew
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,21 +32,34 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.cache)
-        if not new:
-            return
-        if len(self.cache) + len(new) > self.LARGEST_CACHE:
-            self.cache = {}
-            new = words
-        batch = list(new)
+    def encode(self, words: set[bytes]) -> None:
+        batch = list(words.difference(self.cache))
         for at in range(0, len(batch), 20_000):
             part = batch[at:at + 20_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+            self.cache.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(part, found))
+
+    def learn(self, words: set[bytes]) -> None:
+        new = words.difference(self.cache)
+        if len(self.cache) + 2 * len(new) > self.LARGEST_CACHE:
+            self.cache, new = {}, words
+        # a word and the marks behind it are separate tokens, so "word," is "word" and ","
+        whole, composed = set(), []
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
+                composed.append((w, stem, w[len(stem):]))
+                whole.add(stem)
+                whole.add(w[len(stem):])
+            else:
+                whole.add(w)
+        self.encode(whole)
+        cache = self.cache
+        cache.update((w, cache[stem] + cache[tail]) for w, stem, tail in composed)
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
+        # the vocabulary knows lower case only; but a special token's name is one only as written
+        words = (text if b"<|" in text else text.lower()).split()
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
