@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, quantile: float = QUANTILE, block_shingles:
         F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("own")))
     tasks = chunked.select("doc_id", "block", "own", F.explode(other).alias("o")).select(
         "doc_id", "block", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    texts = id_and_text(docs).join(tasks, "doc_id").select("block", "i", "j", F.col("doc_id").alias("doc"), "text")
+    # the number of documents with candidates grows with the corpus: no broadcast, at any size
+    texts = id_and_text(docs).join(tasks.hint("merge"), "doc_id").select("block", "i", "j", F.col("doc_id").alias("doc"), "text")
     found = cut_lineage(search(texts), name="op10-found")
     if chunked.where("chunks > 1").limit(1).count():  # a document was searched in several tasks
         found = connected_components(found).select(F.col("node").alias("doc"), F.col("component").alias("first"))
