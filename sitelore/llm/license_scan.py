@@ -1,6 +1,7 @@
 """License scans by diagonal voting: rolling word k-gram hashes are joined to template positions and vote for their
 offset diagonal (document position - template position); neighbouring diagonals merge into one span, which is verified
-against the document's words. Only built-in expressions.
+by the longest common subsequence of the template and the words its hits cover. A span whose words are all words of a
+span of another label that holds more of its own template is not reported. Only built-in expressions.
 
 Words are runs of ASCII letters and digits and of all other characters than ASCII, A-Z lower-cased. Defined results:
 null text is empty; a null doc_id has its own base result, but no spans; rows that share a doc_id share the labels
@@ -14,7 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .texts import NON_ALNUM, grams_of, id_and_text, lower_ascii, words_of
 
 # fixed values: base phrases and labels
@@ -70,38 +70,65 @@ def base_scan(docs: DataFrame) -> DataFrame:
                          F.array_max(every).cast("long").alias("last_word"), labels.alias("base"))
 
 
+def _masks(phrase: str) -> list[int]:
+    """For each word of a phrase, the places of that word as bits."""
+    words = phrase.split()
+    assert len(words) < 63, "a place is a bit of a long"
+    return [sum(1 << i for i, w in enumerate(words) if w == word) for word in words]
+
+
+def _covered(hits: Column, masks: Column, k: int) -> Column:
+    """Document places and word masks under the k-grams of ``hits`` (at, t_at), each place once, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.array(*[
+        F.struct((h["at"] + j).alias("at"), F.get(masks, h["t_at"] + j).alias("mask")) for j in range(k)])))))
+
+
+def _in_order(covered: Column, size: Column) -> Column:
+    """Longest common subsequence of a template of ``size`` words and the covered words: the zero bits that are left."""
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), size) - F.lit(1).cast("long")
+    left = F.aggregate(covered, full, lambda v, c: (v + v.bitwiseAND(c["mask"])).bitwiseOR(v - v.bitwiseAND(c["mask"]))
+                       .bitwiseAND(full))
+    return size - F.bit_count(left)
+
+
+def _strongest(spans: Column) -> Column:
+    """The spans whose words are not all found by a span of another label that holds more of its template."""
+    return F.filter(spans, lambda a: ~F.exists(spans, lambda b: (
+        (b["label"] != a["label"]) & (b["start"] <= a["start"]) & (a["end"] <= b["end"])
+        & ((b["held"] > a["held"]) | ((b["held"] == a["held"]) & (b["share"] > a["share"])))
+        & (F.size(F.array_except(a["places"], b["places"])) == 0))))
+
+
 def find_spans(docs: DataFrame, k: int = GRAM) -> DataFrame:
     """doc_id, template, label, start, end (words), share: verified spans."""
     spark = docs.sparkSession
-    given = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(TEMPLATES)],
-                                  "template int, label string, phrase string").withColumn("wanted", scan_words(F.col("phrase")))
+    given = spark.createDataFrame([(i, label, text, _masks(text)) for i, (label, text) in enumerate(TEMPLATES)],
+                                  "template int, label string, phrase string, masks array<bigint>").withColumn(
+                                      "wanted", scan_words(F.col("phrase")))
     grams = given.select("template", F.posexplode(grams_of(F.col("wanted"), k)).alias("t_at", "gram"))
-    texts = id_and_text(docs).where("doc_id IS NOT NULL")
-    hits = (texts.select("doc_id", F.posexplode(grams_of(scan_words(F.col("text")), k)).alias("at", "gram"))
+    texts = id_and_text(docs).where("doc_id IS NOT NULL").withColumn("version", F.xxhash64("text"))
+    hits = (texts.select("doc_id", "version", F.posexplode(grams_of(scan_words(F.col("text")), k)).alias("at", "gram"))
             .join(F.broadcast(grams), "gram"))
-    votes = hits.groupBy("doc_id", "template", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    key = ["doc_id", "version", "template"]
+    votes = hits.groupBy(*key, (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
+        F.collect_set(F.struct("at", "t_at")).alias("hits"))
+    order = Window.partitionBy(*key).orderBy("diagonal")
     merged = (votes.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS).cast("int"),
                                                  F.lit(1)))
               .withColumn("span", F.sum("new").over(order))
-              .groupBy("doc_id", "template", "span").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"),
-                                                         (F.max("hi") + k).alias("hi")))
-    # what a span can hold at most: each vote is a k-gram, so votes + k - 1 words
-    sizes = given.select("template", "label", "wanted", F.size("wanted").alias("size"))
-    likely = merged.join(F.broadcast(sizes), "template").where((F.col("votes") * k) * 100 >= VERIFIED * F.col("size"))
-    likely = cut_lineage(likely.groupBy("doc_id").agg(
-        F.collect_list(F.struct("template", "label", "wanted", "size", "lo", "hi")).alias("spans")), name="op7-spans")
-    # verified: template words that stand in the span in order, counted greedily
-    span_words = F.slice("words", F.greatest(F.col("s.lo") + 1, F.lit(1)), F.col("s.hi") - F.col("s.lo"))
-    held = F.aggregate(
-        span_words, F.lit(0), lambda at, w: F.when(F.get(F.col("s.wanted"), at) == w, at + 1)
-        .when(F.get(F.col("s.wanted"), at + 1) == w, at + 2).otherwise(at))
-    return (texts.join(likely, "doc_id").select("doc_id", scan_words(F.col("text")).alias("words"), "spans")
-            .select("doc_id", "words", F.explode("spans").alias("s"))
-            .select("doc_id", "s.template", "s.label", F.col("s.lo").alias("start"), F.col("s.hi").alias("end"),
-                    (held / F.col("s.size")).alias("share"))
-            .where(F.col("share") * 100 >= VERIFIED))
+              .groupBy(*key, "span").agg(F.flatten(F.collect_list("hits")).alias("hits")))
+    # what a span can hold at most: each vote is a k-gram, so k words
+    sizes = given.select("template", "label", "masks", F.size("masks").alias("size"))
+    likely = merged.join(F.broadcast(sizes), "template").where(F.size("hits") * k * 100 >= VERIFIED * F.col("size"))
+    held = (likely.withColumn("covered", _covered(F.col("hits"), F.col("masks"), k))
+            .withColumn("held", _in_order(F.col("covered"), F.col("size")))
+            .where(F.col("held") * 100 >= VERIFIED * F.col("size"))
+            .withColumn("places", F.col("covered.at")))
+    spans = held.groupBy("doc_id", "version").agg(F.collect_list(F.struct(
+        "template", "label", F.array_min("places").alias("start"), (F.array_max("places") + 1).alias("end"),
+        (F.col("held") / F.col("size")).alias("share"), "held", "places")).alias("spans"))
+    return (spans.select("doc_id", F.explode(_strongest(F.col("spans"))).alias("s"))
+            .select("doc_id", "s.template", "s.label", "s.start", "s.end", "s.share"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

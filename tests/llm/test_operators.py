@@ -221,6 +221,29 @@ def test_op7_spans_and_odd_inputs(spark):
     assert license_scan.scan(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_op7_notices_with_gaps_and_cut_ends(spark):
+    lgpl, gpl, bsd = (next(t for label, t in license_scan.TEMPLATES if label == x and len(t) > 80).split()
+                      for x in ("lgpl", "gpl", "bsd"))
+    twice = lgpl[:12] + ["x", "y"] + lgpl[14:]
+    rows = [(1, "Photo licensed under a Creative Commons Attribution 4.0 International License."),
+            (2, "Foo Tools " + " ".join(lgpl[2:])),
+            (3, " ".join(twice)),
+            (4, "one two three " + " ".join(bsd[3:])),
+            (5, " ".join(gpl) + " . " + " ".join(lgpl)),
+            (6, "Foo " + " ".join(gpl[2:])),
+            (7, "Licensed under CC BY 4.0. " * 12),
+            (8, " ".join(gpl[14:] + gpl[:14])),
+            (9, " ".join(lgpl[:15])), (9, " ".join(lgpl[15:])),
+            (10, "Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.")]
+    spans = {}
+    for r in license_scan.find_spans(frame(spark, rows)).collect():
+        spans.setdefault(r.doc_id, {})[r.label] = round(r.share, 3)
+    assert spans == {1: {"cc-by": round(10 / 13, 3)}, 2: {"lgpl": round((len(lgpl) - 2) / len(lgpl), 3)},
+                     3: {"lgpl": round((len(lgpl) - 2) / len(lgpl), 3)}, 4: {"bsd": round((len(bsd) - 3) / len(bsd), 3)},
+                     5: {"gpl": 1.0, "lgpl": 1.0}, 6: {"gpl": round((len(gpl) - 2) / len(gpl), 3)},
+                     10: {"cc-by-nc": 1.0, "cc-by-sa": 1.0}}
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 def check_packing(rows, texts, capacity=4096):
     from tokenizers import Tokenizer
