@@ -113,10 +113,22 @@ FROM @documents@
 
 # ---------------------------------------------------------------- F3 page_content
 def page_content_sql(dialect: str) -> str:
-    return """
-SELECT l.course_id, l.ord AS page_id, l.url, d.text AS markdown
-FROM @links@ l JOIN @documents@ d ON d.doc_id = CAST(floor(l.ord / 8) AS BIGINT)
-WHERE l.ord % 8 = 0 AND d.doc_id % 9 <> 0
+    """Every document stands on a stored page (kinds 6 to 8 can be rejected and get a copy beside it); a page holds
+    the whole texts of its documents."""
+    texts = ("listagg(text, concat(chr(10), chr(10))) WITHIN GROUP (ORDER BY doc_id)" if dialect == "spark"
+             else "string_agg(text, concat(chr(10), chr(10)) ORDER BY doc_id)")
+    return f"""
+WITH k AS (
+  SELECT course_id, ord, url, CAST(floor(ord / 96) AS BIGINT) AS dozen, CAST(floor(ord / 8) AS BIGINT) % 12 AS kind
+  FROM @links@ WHERE ord % 8 = 0),
+places AS (
+  SELECT course_id, ord, url, kind BETWEEN 6 AND 8 AS beside,
+         dozen * 9 + kind - CASE WHEN kind > 8 THEN 3 WHEN kind > 5 THEN 6 ELSE 0 END AS place
+  FROM k),
+d AS (
+  SELECT doc_id, text, doc_id % (SELECT count(*) FROM places WHERE NOT beside) AS place FROM @documents@),
+t AS (SELECT place, {texts} AS markdown FROM d GROUP BY place)
+SELECT p.course_id, p.ord AS page_id, p.url, t.markdown FROM places p JOIN t ON t.place = p.place
 """
 
 

@@ -5,6 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sitelore.operators import documents as docs
+from sitelore.plans import catalog
+from sitelore.sources.fixtures import tables
 
 STRUCT = ("struct<title:string,course:string,module:string,content_type:string,learning_objectives:array<string>,"
           "key_concepts:array<string>,definitions:array<struct<term:string,definition:string>>,examples:array<string>,"
@@ -76,3 +78,18 @@ def test_render_blocks_concatenate_to_document(spark):
     assert {r["files_generated"] for r in manifest} == {7}
     assert [r["file_type"] for r in manifest] == ["overview", "source", "knowledge", "quiz", "assignment",
                                                   "glossary", "source"]
+
+
+def test_stored_pages_hold_every_document(spark):
+    sf = "/root/testdata/sf0.001"
+    held = [r.markdown for r in catalog.q_page_content(spark, sf).where("scraped").collect()]
+    texts = [r.text for r in tables(spark, sf)["documents"].collect()]
+    assert len(texts) == 200 and sum(any(t in m for m in held) for t in texts) == 200
+
+
+def test_page_without_content_is_not_scraped(spark):
+    pages = spark.createDataFrame([("c", 1), ("c", 2)], "course_id string, page_id bigint")
+    scraped = spark.createDataFrame([("c", 1, "text", dt.datetime(2024, 1, 1))],
+                                    "course_id string, page_id bigint, markdown string, retrieved_at timestamp_ntz")
+    got = {r.page_id: (r.scraped, r.markdown) for r in docs.page_content(pages, scraped).collect()}
+    assert got == {1: (True, "text"), 2: (False, None)}
