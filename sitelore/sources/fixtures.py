@@ -106,7 +106,7 @@ def content_sql(dialect: str) -> str:
     return f"""
 SELECT doc_id AS page_id, concat('c', CAST(doc_id % 10 AS VARCHAR(20))) AS course_id,
        concat('https://site', CAST(doc_id % 10 AS VARCHAR(20)), '.example.edu/p/', CAST(doc_id % 70 AS VARCHAR(20))) AS url,
-       CASE WHEN doc_id % 25 = 0 THEN '' ELSE text END AS markdown, {ts} AS retrieved_at
+       text AS markdown, {ts} AS retrieved_at
 FROM @documents@
 """
 

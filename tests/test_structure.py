@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from sitelore.operators import structure
+from sitelore.operators import content, structure
+from sitelore.sources.fixtures import tables
 
 CTX = "page_id bigint, response string, title string, course_name string, module_name string, url string"
 
@@ -117,3 +118,18 @@ def test_providers_classify_and_summarize_whole_texts(spark):
     got = {r["page_id"]: r["summary"] for r in structure.summarize(
         df, provider=lambda pdf: [f" part {p} " for p in pdf["part"]]).collect()}
     assert got == {1: "part 0 part 1", 2: ""}
+
+
+def test_content_holds_every_text(spark):
+    t = tables(spark, "/root/testdata/sf0.001")
+    got = {(r.page_id, r.markdown) for r in t["content"].collect()}
+    assert len(got) == 200 and got == {(r.doc_id, r.text) for r in t["documents"].collect()}
+
+
+def test_empty_markdown(spark):
+    df = spark.createDataFrame([(1, "u", "", None), (2, "u", "One. Two.", None)],
+                               "page_id bigint, url string, markdown string, title string")
+    assert {r.page_id: r.summary for r in structure.summarize(df).collect()} == {1: "", 2: "One. Two."}
+    assert {r.page_id: r.cls_content_type for r in structure.classify_content(df).collect()}[1] == "other"
+    hashes = {r.page_id: r.content_hash for r in content.content_fingerprint(df).collect()}
+    assert hashes[1] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855" != hashes[2]
