@@ -140,6 +140,19 @@ def test_op4_odd_inputs(spark, monkeypatch):
     assert decontaminate.find_leaks(df.limit(0), bench).collect() == decontaminate.find_leaks(df, bench.limit(0)).collect() == []
 
 
+def test_op4_short_items_and_texts_of_one_item(spark, monkeypatch):
+    long_text, other = "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10", "b1 b2 b3 b4 b5 b6 b7"
+    docs = [(1, "x Only FOUR words, here y"), (2, "four only words here"), (3, "z 東京 z"), (4, "one two"), (5, other + " c"),
+            (6, "q " + long_text), (7, "one x two"), (8, "paris"), (8, "london")]
+    items = [(1, "only four words here"), (2, "東京"), (3, "one two"), (4, long_text), (4, other), (5, "Paris"), (6, "...")]
+    df, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+        got = sorted((r.doc_id, r.item_id, r.n_item_shingles, r.n_common) for r in decontaminate.find_leaks(df, bench).collect())
+        assert got == [(1, 1, 1, 1), (3, 2, 1, 1), (4, 3, 1, 1), (5, 4, 3, 3), (6, 4, 6, 6), (8, 5, 1, 1)]
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {2, 7}
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 def test_op5_separates_good_from_bad(spark):
     out = queries.op5_importance_resampling(spark, "/root/testdata/sf0.01").collect()
