@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage: op1 to op10, each over its whole table, the pipeline, and their SQL."""
+"""Registered queries of this subpackage: op1 to op13, each over its whole table, the pipeline, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import (decontaminate, importance, jaccard_join, license_scan, packing, quality_rules, substring_dedup,
-               suffix_dedup, token_counts, url_filter)
+from . import (alignment, decontaminate, importance, jaccard_join, license_scan, merkle, packing, quality_rules,
+               substring_dedup, suffix_dedup, token_counts, toxicity, url_filter)
 from .sql import ORACLE  # noqa: F401  (beside QUERIES for the entry module)
 
 
@@ -58,6 +58,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -66,5 +78,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_url_filter, op4_decontaminate,
                             op5_importance_resampling, op6_substring_dedup, op7_license_scan, op8_packing,
-                            op9_quality_rules, op10_jaccard_join, pipeline)
+                            op9_quality_rules, op10_jaccard_join, op11_cross_tokenizer_alignment,
+                            op12_merkle_manifest, op13_toxicity, pipeline)
 }
