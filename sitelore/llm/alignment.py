@@ -7,10 +7,10 @@ first cut into *units*, before a space that follows no white space: neither voca
 (checked when the files are read), so both tokenizers give a unit the ids it has in its text, and every unit ends a
 group. Tasks keep the alignment of units in a bounded cache.
 
-Two passes over the texts: the first counts, for each id pair, the documents that hold it linked (summed in tasks
-before the shuffle); the second reads those counts. They are broadcast after their number is read (at most
-``most_pairs``); beyond that, links are written and joined with the counts, ids that many documents hold being spread
-by salt.
+Texts are read once: every row's numbers, digest and distinct links (a blob of id pairs and how often each occurs) are
+written, id pairs are counted by document from the blobs (summed in tasks before the shuffle), and a last pass over
+the blobs reads the counts. They are broadcast after their number is read (at most ``most_pairs``); beyond that, links
+are joined with the counts, pairs that many documents hold being spread by salt.
 
 Defined results: null and empty texts, and those whose joined token bytes differ from space + text, have no tokens
 (zeros, empty digest); a null doc_id and repeated rows are documents of their own; an empty table gives no rows.
@@ -19,11 +19,11 @@ Defined results: null and empty texts, and those whose joined token bytes differ
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain, count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +34,16 @@ from ..session import cut_lineage
 from .texts import byte_columns, id_and_text, slices
 
 #: characters of Unicode's White_Space property, as the byte-level pre-tokenizer knows them
-WHITE = ("\t\n\x0b\x0c\r \x85\xa0              "
-         "  　")
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 SLICE_BYTES = 4 << 20
 MOST_PAIRS = 4_000_000  # 17 bytes each when broadcast
 HELD_PAIRS = 1_000_000  # in a task's partial counts
 SALTS = 16
 _white_then_space = re.compile(f"^ | $|[{WHITE}] ")
+# fixed value: how a byte-level vocabulary cuts a text before it merges bytes
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CHUNK_UNITS = 20_000
+_marks_behind_letters = re.compile(r"( [^\W\d_]+)([.,;:!?]+)", re.ASCII)
 
 
 def default_paths() -> tuple[str, str]:
@@ -74,15 +77,6 @@ def units_of(text: str) -> list[str]:
     return units
 
 
-def common_slices(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first, last + 1) of A tokens and of B tokens for each group."""
-    at_a, at_b = dict(zip(ends_a, count())), dict(zip(ends_b, count()))
-    out, i, j = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        out.append((i, i := at_a[end] + 1, j, j := at_b[end] + 1))
-    return out
-
-
 def overlaps(ends_a: list[int], ends_b: list[int], part: tuple[int, int, int, int]) -> list[tuple[int, int]]:
     """Index pairs of a slice's tokens whose byte ranges overlap (inside a slice no two ends are equal)."""
     i, to_i, j, to_j = part
@@ -96,11 +90,37 @@ def overlaps(ends_a: list[int], ends_b: list[int], part: tuple[int, int, int, in
     return out
 
 
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Token bytes and ids of a byte-level file whose merges make the ids in order, without other steps; else None. Such
+    a vocabulary has the same ids when merged by rank."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, before, alphabet = file["model"], file["pre_tokenizer"] or {}, byte_alphabet()
+    plain = (file["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout")
+             and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+             and not model.get("ignore_merges") and before.get("type") == "ByteLevel"
+             and not before.get("add_prefix_space") and before.get("use_regex", True))
+    if not plain:
+        return None
+    added = {t["content"] for t in file.get("added_tokens", [])}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+    if any(c not in alphabet for t in vocab for c in t):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocab.get(x + y) != 256 + k for k, (x, y) in enumerate(pairs)):
+        return None
+    return {bytes(alphabet[c] for c in t): i for t, i in vocab.items()}
+
+
+Entry = tuple[int, int, int, int, str, bytes]
+
+
 class Aligner:
     """Both tokenizers of a worker and its cache of aligned units: (A tokens, B tokens, groups, links, digest text, link
-    keys), or None where a tokenizer's bytes are not the unit's."""
+    keys), or None where a tokenizer's bytes are not the unit's. The cache has two generations: when the young one is
+    full it becomes the old one, from which units still in use come back."""
 
-    LARGEST_CACHE = 300_000
+    LARGEST_CACHE = 300_000  # units of a generation
     LONGEST_CACHED = 64
 
     def __init__(self, path_a: str, path_b: str):
@@ -121,208 +141,274 @@ class Aligner:
             if self.b.is_byte(i):
                 self.bytes_b.append(bytes([int(piece[3:5], 16)]))
                 continue
-            if "▁" in piece.lstrip("▁"):
-                raise ValueError("a piece holds a space behind another character: units would not be exact")
+            if "▁" in piece.lstrip("▁") or _marks_behind_letters.search(" " + piece.lstrip("▁")):
+                raise ValueError("a piece goes on behind the end of a word: units would not be exact")
             self.bytes_b.append(piece.replace("▁", " ").encode())
         self.width = len(self.bytes_b)
-        self.text_a, self.text_b = list(map(str, range(len(self.bytes_a)))), list(map(str, range(self.width)))
-        self.cache: dict[str, tuple | None] = {}
-
-    def align(self, units: list[str], with_text: bool) -> list[tuple[str, tuple | None]]:
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        ids_b = self.b.encode([u[1:] for u in units], num_threads=1)  # the model adds the space
-        bytes_a, bytes_b, width = self.bytes_a.__getitem__, self.bytes_b.__getitem__, self.width
-        text_a, text_b, out = self.text_a.__getitem__, self.text_b.__getitem__, []
-        for unit, a, b in zip(units, ids_a, ids_b):
-            parts_a, parts_b, raw = list(map(bytes_a, a)), list(map(bytes_b, b)), unit.encode()
-            if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-                out.append((unit, None))
-                continue
-            ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-            groups, keys = [], []
-            for part in common_slices(ends_a, ends_b):
-                i, to_i, j, to_j = part
-                if to_i - i == 1:
-                    first = a[i] * width
-                    keys += [first + y for y in b[j:to_j]]
-                elif to_j - j == 1:
-                    last = b[j]
-                    keys += [x * width + last for x in a[i:to_i]]
-                else:
-                    keys += [a[x] * width + b[y] for x, y in overlaps(ends_a, ends_b, part)]
-                if with_text:
-                    groups.append(",".join(map(text_a, a[i:to_i])) + "|" + ",".join(map(text_b, b[j:to_j])))
-                else:
-                    groups.append("")
-            out.append((unit, (len(a), len(b), len(groups), len(keys), ";".join(groups) if with_text else "",
-                               array("q", keys).tobytes())))
+        if len(self.bytes_a) * self.width >= 1 << 32:
+            raise ValueError("an id pair does not fit into 32 bits")
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # an id in the digest text, by what follows it: another id, the other tokenizer's ids, the next group
+        self.texts_a, self.texts_b = ([np.array([f"{i}{mark}" for i in range(len(x))], object) for mark in marks]
+                                      for x, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
+        ranks = merge_ranks(path_a)
+        self.by_rank = None
+        if ranks:
+            import tiktoken
+            self.by_rank = tiktoken.Encoding("by_rank", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.young: dict[str, Entry | None] = {}
+        self.old: dict[str, Entry | None] = {}
+        self.tails: dict[str, Entry | None] = {}
+
+    def ids_of(self, text: str) -> tuple[list[int], list[int]]:
+        """A and B ids of a text that begins with a space."""
+        if self.by_rank and len(text) - max(text.rfind(" "), 0) <= self.LONGEST_CACHED:
+            a = self.by_rank.encode_ordinary(text)
+        else:
+            a = self.a.encode(text, add_special_tokens=False).ids
+        return a, self.b.encode(text[1:])  # the model adds the space
+
+    def align(self, units: list[str]) -> list[Entry | None]:
+        """Entries of units that begin with a space. Where the next one follows a space after no white space, the ids of
+        the joined units are theirs one after another."""
+        if not units:
+            return []
+        if len(units) > 1 and any(len(u) > self.LONGEST_CACHED or u[-1] in WHITE for u in units):
+            alone = {u: self.align([u])[0] for u in units if len(u) > self.LONGEST_CACHED or u[-1] in WHITE}
+            rest = [u for u in units if u not in alone]
+            found = dict(zip(rest, self.align(rest))) | alone
+            return [found[u] for u in units]
+        out = self.entries(units, *self.ids_of("".join(units)))
+        if out is None:  # some unit's bytes are lost: halves find it
+            half = len(units) // 2
+            return self.align(units[:half]) + self.align(units[half:]) if half else [None]
         return out
 
-    def __call__(self, texts: list[str], value=lambda entries: entries, with_text: bool = True) -> list[list[tuple] | None]:
-        """For each text its units' entries, or None if it has no tokens. ``value`` maps a list of (unit, entry) to what
-        is kept of them; a worker uses one ``value`` for one pass. ``with_text``: with the groups' digest text."""
+    def tail(self, marks: str) -> Entry | None:
+        """The entry of marks behind a letter: the model's own space and a letter are taken off."""
+        if marks not in self.tails:
+            ids_a, ids_b = self.a.encode(marks, add_special_tokens=False).ids, self.b.encode("a" + marks)
+            found = self.entries([marks], ids_a, ids_b[len(self.b.encode("a")):])
+            self.tails[marks] = found[0] if found else None
+        return self.tails[marks]
+
+    def entries(self, units: list[str], ids_a: list[int], ids_b: list[int]) -> list[Entry] | None:
+        """Entries of units by the ids of all of them, one after another; None if the bytes differ."""
+        raw = [u.encode() for u in units]
+        whole = b"".join(raw)
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != whole or b"".join(map(self.bytes_b.__getitem__, ids_b)) != whole:
+            return None
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = self.length_a[a].cumsum().tolist(), self.length_b[b].cumsum().tolist()
+        at_a, at_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
+        ends = sorted(at_a.keys() & at_b.keys())
+        # group g has the A tokens from cut_a[g] to cut_a[g + 1] and the B tokens from cut_b[g] to cut_b[g + 1]
+        cut_a, cut_b = (np.array([0, *map(at.__getitem__, ends)], np.int64) for at in (at_a, at_b))
+        n_a, n_b = np.diff(cut_a), np.diff(cut_b)
+        # links, slice by slice: with one token on a side it meets all of the other's, else neighbours overlap
+        links = n_a + n_b - 1
+        cut_links = np.concatenate([[0], links.cumsum()])
+        group = np.repeat(np.arange(len(links)), links)
+        nth = np.arange(cut_links[-1]) - cut_links[group]
+        of_a, of_b = cut_a[group] + nth * (n_b[group] == 1), cut_b[group] + nth * (n_a[group] == 1)
+        for g in np.flatnonzero((n_a > 1) & (n_b > 1)).tolist():
+            pairs = overlaps(ends_a, ends_b, (int(cut_a[g]), int(cut_a[g + 1]), int(cut_b[g]), int(cut_b[g + 1])))
+            of_a[cut_links[g]:cut_links[g + 1]], of_b[cut_links[g]:cut_links[g + 1]] = zip(*pairs)
+        keys = (a[of_a] * self.width + b[of_b]).astype("<u4").tobytes()
+        # the digest text has a group's A ids before its B ids
+        text = np.empty(len(a) + len(b), object)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[cut_a[1:] - 1], last_b[cut_b[1:] - 1] = True, True
+        text[np.arange(len(a)) + np.repeat(cut_b[:-1], n_a)] = np.where(last_a, self.texts_a[1][a], self.texts_a[0][a])
+        text[np.arange(len(b)) + np.repeat(cut_a[1:], n_b)] = np.where(last_b, self.texts_b[1][b], self.texts_b[0][b])
+        words = text.tolist()
+        # every unit ends a group
+        stop = np.searchsorted(ends, np.cumsum([len(r) for r in raw])) + 1
+        cuts = [np.concatenate([[0], c[stop]]) for c in (cut_a, cut_b, np.arange(len(ends) + 1), cut_links)]
+        counts = [np.diff(c).tolist() for c in cuts]
+        words_at, keys_at = (cuts[0] + cuts[1]).tolist(), (4 * cuts[3]).tolist()
+        texts = ["".join(words[x:y])[:-1] for x, y in zip(words_at, words_at[1:])]
+        return list(zip(*counts, texts, [keys[x:y] for x, y in zip(keys_at, keys_at[1:])]))
+
+    def learn(self, asked: set[str]) -> None:
+        """Entries of all units of a slice are in ``young``, long ones too until the slice is done."""
+        young, old = self.young, self.old
+        new = asked - young.keys()
+        if len(young) + len(new) > self.LARGEST_CACHE:
+            self.old = old = young
+            self.young = young = {u: old[u] for u in asked & old.keys()}
+        else:
+            again = new & old.keys()
+            young.update((u, old[u]) for u in again)
+            new -= again
+        marked = {}
+        for u in [u for u in new if u[-1] in ".,;:!?"]:
+            m = _marks_behind_letters.fullmatch(u)
+            if m:
+                marked[u] = m.groups()
+                new.discard(u)
+        new.update(stem for stem, _ in marked.values() if stem not in young)
+        new = list(new)
+        for at in range(0, len(new), CHUNK_UNITS):
+            part = new[at:at + CHUNK_UNITS]
+            young.update(zip(part, self.align(part)))
+        for u, (stem, marks) in marked.items():
+            x, y = young[stem], self.tail(marks)
+            young[u] = x and y and (x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + ";" + y[4], x[5] + y[5])
+
+    def __call__(self, texts: list[str | None]) -> list[list[Entry] | None]:
+        """For each text its units' entries, or None if it has no tokens."""
         split = [units_of(t) if t else [] for t in texts]
         asked = set(chain.from_iterable(split))
-        cache = self.cache
-        new = [u for u in asked if u not in cache]
-        if len(cache) + len(new) > self.LARGEST_CACHE:  # what this slice uses stays
-            self.cache = cache = {u: cache[u] for u in asked if u in cache}
-        long: dict[str, tuple | None] = {}
-        for at in range(0, len(new), 20_000):
-            for unit, entry in value(self.align(new[at:at + 20_000], with_text)):
-                (cache if len(unit) <= self.LONGEST_CACHED else long)[unit] = entry
-        get = cache.__getitem__
-        out: list[list[tuple] | None] = []
+        self.learn(asked)
+        get = self.young.__getitem__
+        out: list[list[Entry] | None] = []
         for units in split:
-            got = [long[u] if u in long else get(u) for u in units] if long else list(map(get, units))
+            got = list(map(get, units))
             out.append(None if not got or None in got else got)
+        for u in [u for u in asked if len(u) > self.LONGEST_CACHED]:
+            del self.young[u]
         return out
 
 
 _aligners: dict[tuple, Aligner] = {}
 
 
-def aligner(path_a: str, path_b: str, purpose: object) -> Aligner:
-    """This worker's tokenizers; a new purpose (pass) starts with an empty cache."""
-    held = _aligners.get((path_a, path_b))
-    if held is None:
-        held = _aligners[path_a, path_b] = Aligner(path_a, path_b)
-    if getattr(held, "purpose", None) != purpose:
-        held.purpose, held.cache = purpose, {}
-    return held
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """This worker's tokenizers and cache."""
+    if (path_a, path_b) not in _aligners:
+        _aligners[path_a, path_b] = Aligner(path_a, path_b)
+    return _aligners[path_a, path_b]
 
 
-def texts_by_slice(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str]]]:
-    _, offsets = byte_columns(batch.column(column))
-    for at, to in slices(offsets, SLICE_BYTES):
-        yield at, to, batch.column(column).slice(at, to - at).to_pylist()
+def packed(entries: list[Entry]) -> bytes:
+    """A document's distinct links: their keys (4 bytes each), then how often each occurs (1 byte each; a link found more
+    than 255 times is listed again)."""
+    keys, times = np.unique(np.frombuffer(b"".join([e[5] for e in entries]), "<u4"), return_counts=True)
+    if len(times) and times.max() > 255:
+        lists = -(-times // 255)
+        keys, rest = np.repeat(keys, lists), np.repeat(times, lists)
+        nth = np.arange(len(keys)) - np.repeat(np.cumsum(lists) - lists, lists)
+        times = np.minimum(rest - 255 * nth, 255)
+    return keys.astype("<u4").tobytes() + times.astype(np.uint8).tobytes()
 
 
-def linked_pairs(docs: DataFrame, paths: tuple[str, str], purpose: str) -> DataFrame:
-    """pair, n: an id pair (A id * number of B ids + B id) and how many documents hold it linked."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(*paths, purpose + "-count")
-        held, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, times, number of links of each row) of blobs."""
+    data, offsets = byte_columns(column)
+    n = np.diff(offsets) // 5
+    row_start = np.repeat(offsets[:-1] - offsets[0], n)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    data = data[offsets[0]:offsets[-1]]
+    at = row_start + 4 * nth
+    keys = np.zeros(len(at), np.int64)
+    for k in range(4):
+        keys |= data[at + k].astype(np.int64) << (8 * k)
+    return keys, data[row_start + 4 * np.repeat(n, n) + nth].astype(np.int64), n
+
 
-        def emitted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], names=["pair", "n"])
+WRITTEN = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, links binary"
 
+
+def with_links(docs: DataFrame, paths: tuple[str, str], with_groups: bool) -> DataFrame:
+    """Every row's numbers, digest, groups (if asked for) and links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        align = aligner(*paths)
         for batch in batches:
-            for _, _, texts in texts_by_slice(batch, 1):
-                found = [np.unique(np.frombuffer(b"".join(entries), np.int64)) for entries in align(
-                    texts, lambda es: [(u, e and e[5]) for u, e in es], False) if entries]
-                keys, at = np.unique(np.concatenate([held, *found]), return_inverse=True)
-                weight = np.concatenate([counts, np.ones(sum(map(len, found)), np.int64)])
-                counts = np.bincount(at, weights=weight, minlength=len(keys)).astype(np.int64)
-                held = keys
-                if len(held) > HELD_PAIRS:
-                    yield emitted()
-                    held, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        yield emitted()
-
-    return (docs.select("doc_id", "text").mapInArrow(run, "pair long, n long")
-            .groupBy("pair").agg(F.sum("n").alias("n")))
-
-
-def pair_counts(docs: DataFrame, paths: tuple[str, str], width: int, purpose: str) -> DataFrame:
-    """pair, n and best (n is the A id's highest)."""
-    pairs = linked_pairs(docs, paths, purpose).withColumn("a", F.expr(f"pair div {int(width)}"))
-    return pairs.select("pair", "n", (F.col("n") == F.max("n").over(Window.partitionBy("a"))).alias("best"))
+            _, offsets = byte_columns(batch.column(1))
+            for at, to in slices(offsets, SLICE_BYTES):
+                rows: list[tuple] = []
+                for entries in align(batch.column(1).slice(at, to - at).to_pylist()):
+                    if entries is None:
+                        rows.append((0, 0, 0, 0, "", "" if with_groups else None, b""))
+                        continue
+                    a, b, groups, links, texts, _ = zip(*entries)
+                    text = ";".join(texts)
+                    rows.append((sum(a), sum(b), sum(groups), sum(links), hashlib.sha256(text.encode()).hexdigest(),
+                                 text if with_groups else None, packed(entries)))
+                kinds = (pa.int64(),) * 4 + (pa.string(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, to - at), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]],
+                    names=[c.split()[0] for c in WRITTEN.split(", ")])
+
+    return docs.mapInArrow(run, WRITTEN)
 
 
-ROW = "doc_id long, n_a long, n_b long, n_groups long, n_links long, {}groups_sha256 string{}"
+def pair_counts(rows: DataFrame, width: int) -> DataFrame:
+    """pair (A id * width + B id), n (documents that hold it linked) and best (n is the A id's highest)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            _, offsets = byte_columns(batch.column(0))
+            for at, to in slices(offsets, SLICE_BYTES):
+                keys, _, n = unpacked(batch.column(0).slice(at, to - at))
+                first = np.ones(len(keys), bool)  # a link listed again counts once in its document
+                first[1:] = keys[1:] != keys[:-1]
+                first[(np.cumsum(n) - n)[n > 0]] = True
+                found, times = np.unique(keys[first], return_counts=True)
+                merged, place = np.unique(np.concatenate([held, found]), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate([counts, times]), minlength=len(merged)).astype(np.int64)
+                held = merged
+            if len(held) > HELD_PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], names=["pair", "n"])
+                held, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], names=["pair", "n"])
+
+    pairs = (rows.select("links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+             .withColumn("a", F.expr(f"pair div {int(width)}")))
+    return pairs.select("pair", "n", (F.col("n") == F.max("n").over(Window.partitionBy("a"))).alias("best"))
 
 
 def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, most_pairs: int = MOST_PAIRS,
             with_groups: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row, and with ``with_groups`` the
     groups themselves as text (``a1,a2|b1;a3|b2,b3``)."""
-    paths = tuple(given or own for given, own in zip((path_a, path_b), default_paths()))
-    docs = id_and_text(docs)
-    width = aligner(*paths, None).width
-    counts = cut_lineage(pair_counts(docs, paths, width, (purpose := os.urandom(8).hex())), name="op11-pairs")
-    if counts.count() <= most_pairs:
-        return by_broadcast(docs, counts, paths, purpose, with_groups)
-    return by_join(docs, counts, paths, purpose, with_groups)
-
-
-def digest_of(entries: list[tuple], with_groups: bool) -> tuple[str, str | None]:
-    text = ";".join([e[4] for e in entries])
-    return hashlib.sha256(text.encode()).hexdigest(), text if with_groups else None
+    own_a, own_b = default_paths()
+    paths = path_a or own_a, path_b or own_b
+    rows = cut_lineage(with_links(id_and_text(docs), paths, with_groups), name="op11-links")
+    counts = cut_lineage(pair_counts(rows, aligner(*paths).width), name="op11-pairs")
+    out = by_broadcast(rows, counts) if counts.count() <= most_pairs else by_join(rows, counts)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256",
+                      *(["groups"] if with_groups else []))
 
 
-def by_broadcast(docs: DataFrame, counts: DataFrame, paths: tuple[str, str], purpose: str,
-                 with_groups: bool) -> DataFrame:
+def by_broadcast(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` with n_best and count_sum."""
     table = counts.orderBy("pair").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(
         c.to_numpy(zero_copy_only=False) for c in (table["pair"], table["n"], table["best"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(*paths, purpose + "-score")
         pair, n, best = shared.value
+        for batch in batches:
+            for at, to in slices(byte_columns(batch.column(7))[1], SLICE_BYTES):
+                part = batch.slice(at, to - at)
+                keys, times, links = unpacked(part.column(7))
+                place, row = np.searchsorted(pair, keys), np.repeat(np.arange(part.num_rows), links)
+                sums = [np.bincount(row, weights=w, minlength=part.num_rows).astype(np.int64)
+                        for w in (times * best[place], times * n[place])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:7], *map(pa.array, sums)],
+                                                 names=[*part.schema.names[:7], "n_best", "count_sum"])
 
-        def score(entries: list[tuple]) -> list[tuple]:
-            """A unit's links become two sums, as the counts no longer change."""
-            some = [(u, e) for u, e in entries if e]
-            if not some:
-                return entries
-            at = np.searchsorted(pair, np.frombuffer(b"".join(e[5] for _, e in some), np.int64))
-            first = np.cumsum([0] + [e[3] for _, e in some])[:-1]
-            sums, bests = np.add.reduceat(n[at], first).tolist(), np.add.reduceat(best[at].astype(np.int64), first).tolist()
-            return [(u, None) for u, e in entries if not e] + [
-                (u, (*e[:5], k, s)) for (u, e), s, k in zip(some, sums, bests)]
+    return rows.mapInArrow(run, WRITTEN.replace("links binary", "n_best long, count_sum long"))
+
+
+def by_join(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same without a broadcast: links are joined with their counts, each count spread over SALTS salts."""
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()), name="op11-rows")
 
-        for batch in batches:
-            for at, to, texts in texts_by_slice(batch, 1):
-                rows = []
-                for entries in align(texts, score):
-                    if entries is None:
-                        rows.append((0, 0, 0, 0, 0, 0, "", "" if with_groups else None))
-                        continue
-                    a, b, groups, links, _, k, s = zip(*entries)
-                    rows.append((sum(a), sum(b), sum(groups), sum(links), sum(k), sum(s),
-                                 *digest_of(entries, with_groups)))
-                columns = list(zip(*rows))
-                out = [batch.column(0).slice(at, to - at), *[pa.array(c, pa.int64()) for c in columns[:6]],
-                       pa.array(columns[6], pa.string())]
-                names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-                if with_groups:
-                    out, names = [*out, pa.array(columns[7], pa.string())], [*names, "groups"]
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return docs.mapInArrow(run, ROW.format("n_best long, count_sum long, ", ", groups string" if with_groups else ""))
-
-
-def by_join(docs: DataFrame, counts: DataFrame, paths: tuple[str, str], purpose: str, with_groups: bool) -> DataFrame:
-    """The same rows without a broadcast: every document's distinct links are written, then joined with the counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(*paths, purpose + "-links")
         for batch in batches:
-            for at, to, texts in texts_by_slice(batch, 1):
-                rows, links = [], []
-                for entries in align(texts):
-                    if entries is None:
-                        rows.append((0, 0, 0, 0, "", "" if with_groups else None))
-                        links.append([])
-                        continue
-                    keys, times = np.unique(np.frombuffer(b"".join([e[5] for e in entries]), np.int64), return_counts=True)
-                    rows.append((*[sum(c) for c in list(zip(*entries))[:4]], *digest_of(entries, with_groups)))
-                    links.append([{"pair": k, "times": t} for k, t in zip(keys.tolist(), times.tolist())])
-                columns = list(zip(*rows))
-                out = [batch.column(0).slice(at, to - at), *[pa.array(c, pa.int64()) for c in columns[:4]],
-                       pa.array(columns[4], pa.string()), pa.array(columns[5], pa.string()),
-                       pa.array(links, pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_a", "n_b", "n_groups", "n_links",
-                                                             "groups_sha256", "groups", "links"])
-
-    rows = cut_lineage(docs.mapInArrow(run, ROW.format("", ", groups string, links array<struct<pair:long,times:long>>"))
-                       .withColumn("row", F.monotonically_increasing_id()), name="op11-links")
-    each = rows.select("row", F.explode("links").alias("l")).select(
-        "row", "l.*", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+            for at, to in slices(byte_columns(batch.column(1))[1], SLICE_BYTES):
+                keys, times, links = unpacked(batch.column(1).slice(at, to - at))
+                row = np.repeat(batch.column(0).slice(at, to - at).to_numpy(), links)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(keys), pa.array(times)],
+                                                 names=["row", "pair", "times"])
+
+    each = rows.select("row", "links").mapInArrow(run, "row long, pair long, times long").withColumn(
+        "salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     sums = (each.join(salted, ["pair", "salt"]).groupBy("row")
             .agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
                  F.sum(F.col("times") * F.col("n")).alias("count_sum")))
-    return rows.join(sums, "row", "left").select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")],
-        "groups_sha256", *(["groups"] if with_groups else []))
+    return rows.join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])

@@ -9,7 +9,8 @@ from sitelore.llm import alignment, queries
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", " ", "   ", "a", "a ", " a", "a  b", "x\n y", "x\n\n  y", "tail   ", "don't  we'll", "<|endoftext|> <s>", "é中😀 ß",
-         "▁", "a▁b", "\x00 \x1c", "12345 6.7", "a\tb\r\nc", "a\xa0 b　 c", "word " * 3000, "z" * 5000, "ab " * 10 + "\n" * 40]
+         "▁", "a▁b", "\x00 \x1c", "12345 6.7", "a\tb\r\nc", "a\xa0 b　 c", "word " * 3000, "z" * 5000, "ab " * 10 + "\n" * 40,
+         "end. No, yes; why?! é. 1, _."]
 COLUMNS = "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
 
 
@@ -113,4 +114,17 @@ def test_op11_bounded_cache_and_partial_counts(odd, monkeypatch):
     want = [e and [x[:5] for x in e] for e in align(texts)]
     for _ in range(2):
         assert [e and [x[:5] for x in e] for t in texts for e in align([t])] == want
-    assert len(align.cache) <= 3 + max(len(alignment.units_of(t)) for t in texts)
+    assert len(align.young) <= 3 + 2 * max(len(set(alignment.units_of(t))) for t in texts)
+
+
+def test_op11_links_listed_more_than_255_times():
+    align = alignment.Aligner(*alignment.default_paths())
+    (entries,) = align(["word " * 3000 + "x, y! zz?"])
+    import numpy as np
+    import pyarrow as pa
+    keys, times, n = alignment.unpacked(pa.array([b"", alignment.packed(entries)]))
+    want = collections.Counter(np.frombuffer(b"".join(e[5] for e in entries), "<u4").tolist())
+    got = collections.Counter()
+    for k, t in zip(keys.tolist(), times.tolist()):
+        got[k] += t
+    assert got == want and n[0] == 0 and times.max() == 255
