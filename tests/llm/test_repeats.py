@@ -143,3 +143,20 @@ def test_deep_shallow_sort_orders_like_python():
         a, b = pad[order[k - 1]], pad[order[k]]
         n = next((i for i in range(104) if a[i] != b[i]), 104)
         assert lcp[k] == (-1 if bucket[order[k]] != bucket[order[k - 1]] else n)
+
+
+def equal_valued_words():
+    """Two different words of 1,024 letters that any polynomial modulo 2 ** 64 takes for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_with_equal_polynomials(spark):
+    """op6 removes nothing and op10 links nothing where only such words differ."""
+    from sitelore.llm import jaccard_join, substring_dedup
+    one, two = equal_valued_words()
+    head = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {two}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.digest(substring_dedup.deduplicate(docs)).collect()] == [0, 0]
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == {1, 2}
