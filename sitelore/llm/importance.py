@@ -99,7 +99,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
         share = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
         share = 1.0 if share is None else share
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    good = texts.join(known.where("good"), "doc_id", "left")
+    # the number of good documents grows with the corpus: no broadcast, at any size
+    good = texts.join(known.where("good").hint("merge"), "doc_id", "left")
     ratios = log_ratios(model_counts(good))
     # a uniform in (0, 1) by the id's hash: the same draw whenever and wherever a task runs
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
