@@ -4,9 +4,10 @@ or more are linked, exactly, and every document gets the smallest id reachable b
 1. Each document's set is hashed; equal sets become one representative.
 2. Candidate blocks. In any one order of all shingles, two linked sets share a shingle among their first
    ``n - ceil(3n/4) + 1``. The order here: shingles in the low QUANTILE of hashes that stand in one document only,
-   then the others of that quantile, then the rest, each by hash. So only the low quantile is shuffled, shingles of
-   one document end there, and a document with enough of its own text has no candidates at all. Each inverted list
-   links its members to its first (a star, not all pairs); the components of these stars are the blocks.
+   then the others of that quantile, by rising number of documents, then the rest by hash. So only the low quantile is
+   shuffled, shingles of one document end there, a document with enough of its own text has no candidates at all, and
+   text that many documents share comes late, where it glues few of them together. Each inverted list links its
+   members to its first (a star, not all pairs); the components of these stars are the blocks.
 3. In a block, T-occurrence search: every document merges the short inverted lists of its shingles by a heap and
    binary-probes the long ones (DivideSkip), and keeps the documents that reach the required overlap. Documents
    already known to be in one component are not probed again. A block heavier than ``BLOCK_SHINGLES`` is cut into
@@ -241,12 +242,14 @@ def near_duplicates(docs: DataFrame, quantile: float = QUANTILE, block_shingles:
     sets = rows.where(F.col("kind") == DOCUMENT).groupBy("doc").agg(F.max("n").alias("n"), F.max("prefix").alias("set"))
     first = sets.where("n > 0").groupBy("set").agg(F.min("doc").alias("rep"), F.max("n").alias("n"))
     tokens = rows.where(F.col("kind") == TOKEN).select("token", "doc", F.col("n").alias("slack"))
-    # the smallest (repeated shingles - those that may be left out) of a document's repeated shingles
-    prefix = (tokens.join(first.select(F.col("rep").alias("doc")), "doc", "left_semi")
-              .groupBy("doc").agg(F.sort_array(F.collect_list("token")).alias("t"), F.max("slack").alias("slack"))
+    # the rarest (repeated shingles - those that may be left out) of a document's repeated shingles
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))  # a row each task and shingle, as rows lie by shingle
+    prefix = (tokens.join(often, "token").join(first.select(F.col("rep").alias("doc")), "doc", "left_semi")
+              .groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"),
+                                  F.max("slack").alias("slack"))
               .where("size(t) > slack")
               .select("doc", F.explode(F.slice("t", F.lit(1), F.greatest(F.size("t") - F.col("slack"), F.lit(0)).cast("int")))
-                      .alias("token")))
+                      .alias("t")).select("doc", "t.token"))
     prefix = cut_lineage(prefix, name="op10-prefix")
     hubs = prefix.groupBy("token").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).where("c > 1")
     blocks = connected_components(prefix.join(hubs, "token").where("doc <> hub").select("doc", "hub"))
