@@ -793,13 +793,24 @@ def q_stream_ingest(spark, sf_dir):
     return spark.read.parquet(sink).select("url", "content_hash")
 
 
+@register("stream_ingest_known")
+def q_stream_ingest_known(spark, sf_dir):
+    """Rows with even ids are stored before the stream starts; the others arrive."""
+    content = tables(spark, sf_dir)["content"]
+    known, new = known_and_new(spark, sf_dir)
+    src = _stream_input(spark, content.filter("page_id % 2 <> 0"), "content", [F.col("page_id") % 4 == k for k in (3, 1)])
+    sink, ckpt = _fresh(spark, "stream-out/ingest"), _fresh(spark, "stream-ckpt/ingest")
+    streams.stream_ingest(spark, src, CONTENT_SCHEMA, sink, ckpt, stored=known).awaitTermination()
+    return spark.read.parquet(sink).select("url", "content_hash")
+
+
 @register("stream_discover")
 def q_stream_discover(spark, sf_dir):
     t = tables(spark, sf_dir)
-    parts = [F.col("ord") % 4 == k for k in range(4)]
+    parts = [F.col("ord") % 4 == k for k in (2, 0, 3, 1)]  # positions arrive out of order
     src = _stream_input(spark, t["links"], "links", parts)
     sink, ckpt = _fresh(spark, "stream-out/discover"), _fresh(spark, "stream-ckpt/discover")
-    streams.stream_discover(spark, src, LINKS_SCHEMA, t["courses"], sink, ckpt).awaitTermination()
+    streams.stream_discover(spark, src, LINKS_SCHEMA, sink, ckpt).awaitTermination()
     return streams.discovered_from_stream(spark, sink, t["courses"])
 
 

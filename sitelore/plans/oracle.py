@@ -811,6 +811,9 @@ SELECT course_id, filename, CAST(sum(1 + len(line) - len(replace(line, chr(10),
 FROM ({_u(_ov, _src, _kn, _quiz, _asg, _gloss, _srcs)}) all_lines GROUP BY course_id, filename"""
 ORACLE["list_exports"] = _exp
 ORACLE["stream_ingest"] = with_(["content"]) + "SELECT DISTINCT url, sha256(markdown) AS content_hash FROM content WHERE coalesce(markdown, '') <> ''"
+ORACLE["stream_ingest_known"] = with_(["content"], FP) + """
+SELECT DISTINCT url, content_hash FROM fp n WHERE page_id % 2 <> 0 AND coalesce(markdown, '') <> '' AND NOT EXISTS
+  (SELECT 1 FROM fp k WHERE k.page_id % 2 = 0 AND k.url = n.url AND k.content_hash = n.content_hash)"""
 ORACLE["stream_discover"] = ORACLE["discover_pages"]
 ORACLE["stream_progress"] = with_(["job_events"], JOBS) + """
 SELECT job_id, course_id, pages_discovered, pages_scraped, pages_failed, pages_processed, files_generated FROM js"""
