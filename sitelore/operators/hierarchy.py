@@ -7,11 +7,16 @@ URL path); any other site gets modules detected from its URL directories.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from sitelore.functions import urls
 from sitelore.operators.ordering import prefix_over
+from sitelore.session import cut_lineage
 
 PAGE_COLS = ["page_id", "url", "title", "content_type"]
 
@@ -40,15 +45,63 @@ def order_module_pages(pages: DataFrame) -> DataFrame:
 def assign_pages_by_prefix(pages: DataFrame, modules: DataFrame) -> DataFrame:
     """Content pages → every explicit module whose path equals the page path or is a '/'-prefix of it.
 
-    Instead of a nested-loop ``startswith`` join, each page emits its own path prefixes (bounded
-    by path depth) and meets the modules in a hash equi-join on ``(course_id, prefix)``.
+    A sweep over nested intervals: modules and pages are range-partitioned and sorted once by site and path segments,
+    where a module's pages follow it without a gap, and a task walks its range with a stack of the modules it is
+    inside of. One row a page is shuffled, whatever its depth, and a hot site is split like any other. The modules that
+    a range starts inside of are ancestors of its first row: those are looked up afterwards, for one row a range, and
+    joined to the range's pages (at most path depth rows a range).
     """
-    content = pages.filter(F.col("content_type") != "module").withColumn(
-        "_cp", F.regexp_replace(urls.url_path(F.col("url")), "/+$", ""))
-    exploded = content.select("course_id", *PAGE_COLS,
-                              F.explode(F.array_distinct(urls.path_prefixes(F.col("_cp")))).alias("module_path"))
-    return exploded.join(modules.select("course_id", "module_id", "module_title", "order_index", "module_path"),
-                         ["course_id", "module_path"]).drop("module_path")
+    content = pages.filter(F.col("content_type") != "module").select(
+        "course_id", *PAGE_COLS, F.regexp_replace(urls.url_path(F.col("url")), "/+$", "").alias("path"),
+        F.lit(1).alias("kind"))
+    heads = modules.select("course_id", "module_id", "module_title", "order_index", F.col("module_path").alias("path"),
+                           F.lit(0).alias("kind"))
+    swept = swept_ranges(content.unionByName(heads, allowMissingColumns=True))
+    module = F.struct("module_id", "module_title", F.col("order_index").cast("bigint").alias("order_index"))
+    own = swept.filter("kind = 1").withColumn("m", F.explode("inside"))
+    # what a range starts inside of: modules of an earlier range on the path of its first row
+    first = swept.groupBy("range").agg(F.min_by(F.struct("course_id", "path"), "at").alias("f")).select(
+        "range", "f.course_id", F.explode(F.array_distinct(urls.path_prefixes(F.col("f.path")))).alias("path"))
+    found = swept.filter("kind = 0").select("course_id", "path", module.alias("m"), F.col("range").alias("of"))
+    carried = first.join(found, ["course_id", "path"]).filter("of < range").select(
+        "range", "course_id", F.col("path").alias("module_path"), "m")
+    below = (F.col("path") == F.col("module_path")) | F.col("path").startswith(F.concat("module_path", F.lit("/")))
+    inherited = swept.filter("kind = 1").join(carried, ["range", "course_id"]).filter(below)
+    columns = ["course_id", *PAGE_COLS, "m.module_id", "m.module_title", "m.order_index"]
+    return own.select(*columns).unionAll(inherited.select(*columns))
+
+
+def swept_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` (course_id, path, kind 0 for modules and 1 for pages) written in ranges of (site, path segments), with
+    ``range``, their place ``at`` and, for pages, the modules of the same range that they are ``inside`` of."""
+    order = [F.col("course_id"), F.split("path", "/"), F.col("kind"), F.col("order_index"), F.col("page_id")]
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33))
+    module = pa.struct([("module_id", pa.string()), ("module_title", pa.string()), ("order_index", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        site, stack = None, []
+        for batch in batches:
+            names = batch.schema.names
+            columns = [batch.column(names.index(c)).to_pylist()
+                       for c in ("course_id", "path", "kind", "module_id", "module_title", "order_index")]
+            inside = []
+            for course, path, kind, *head in zip(*columns):
+                if course != site:
+                    site, stack = course, []
+                while stack and not (path == stack[-1][0] or path.startswith(stack[-1][1])):
+                    stack.pop()
+                if kind == 0:
+                    stack.append((path, path + "/", dict(zip(("module_id", "module_title", "order_index"), head))))
+                    inside.append([])
+                else:
+                    inside.append([m for _, _, m in stack])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside, pa.list_(module))],
+                                             names=[*names, "inside"])
+
+    schema = StructType([*sorted_rows.schema.fields]).add("inside", ArrayType(StructType().add("module_id", "string").add(
+        "module_title", "string").add("order_index", "long")))
+    return cut_lineage(sorted_rows.mapInArrow(run, schema), name="swept")
 
 
 def detect_modules(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -56,3 +56,46 @@ def test_course_counts(spark):
         ("c", 3, "https://s/other", "O", "other")], SCHEMA)
     counts = hierarchy.course_counts(hierarchy.build_hierarchy(pages)).first()
     assert (counts["module_count"], counts["page_count"]) == (1, 3)
+
+
+def test_prefix_sweep_against_all_pairs(spark):
+    """Nested, equal and look-alike module paths; one hot site over many ranges; clashing rows in other sites."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sitelore.operators import hierarchy
+    rng = random.Random(4)
+    names = ["m", "m-1", "m1", "m 2", "a", "b", "é", "z.html"]
+    pages, modules, n = [], [], 0
+    for site, size in (("hot", 900), ("a", 60), ("b", 60), ("none", 5)):
+        for _ in range(size):
+            n += 1
+            path = "/" + "/".join(rng.choice(names) for _ in range(rng.randint(0, 5))) + rng.choice(["", "/"])
+            pages.append((site, n, f"https://{site}.edu{path}", f"t{n}", "lecture"))
+        for k in range(size // 10 if site != "none" else 0):
+            path = "".join("/" + rng.choice(names) for _ in range(rng.randint(0, 3)))
+            modules.append((site, f"{site}-{k}", f"M{k}", k, path))
+    df = spark.createDataFrame(pages, "course_id string, page_id long, url string, title string, content_type string")
+    mods = spark.createDataFrame(modules, "course_id string, module_id string, module_title string, order_index long, module_path string")
+
+    def path_of(url):
+        return "/" + url.split("/", 3)[3].rstrip("/") if url.count("/") > 2 and url.split("/", 3)[3].rstrip("/") else ""
+
+    want = sorted((c, i, m, k) for c, i, u, _, _ in pages for mc, m, _, k, p in modules
+                  if mc == c and (path_of(u) == p or path_of(u).startswith(p + "/")))
+    for partitions in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            out = hierarchy.assign_pages_by_prefix(df, mods)
+            got = sorted((r.course_id, r.page_id, r.module_id, r.order_index) for r in out.collect())
+            swept = hierarchy.swept_ranges(df.select(
+                "*", F.lit("/m").alias("path"), F.lit(1).alias("kind"), F.lit(0).alias("order_index"),
+                F.lit("").alias("module_id"), F.lit("").alias("module_title")))
+            assert swept.count() == len(pages)  # one row a page, and the hot site in several ranges
+            assert partitions == 1 or swept.filter("course_id = 'hot'").select("range").distinct().count() > 3
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert got == want, partitions
