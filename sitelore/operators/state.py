@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelore.functions import rules, urls
 from sitelore.operators.ordering import prefix_over
+from sitelore.sources.store import BucketTable
 
 NO_PAGES_ERROR = "No pages found for the given IDs"  # fixed value
 ALL_FAILED_ERROR = "All pages failed processing"  # fixed value
@@ -144,20 +145,37 @@ def replace_modules(base: DataFrame, new: DataFrame, pages: DataFrame | None = N
 
 
 def delete_courses(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """Remove courses and cascade: every table keyed by ``course_id`` loses their rows; tables
-    keyed only by ``page_id`` (ids that are unique over all sites) lose rows of the removed courses' pages."""
-    out = {}
-    gone_pages = None
-    if "pages" in tables:
-        gone_pages = tables["pages"].join(ids.select("course_id"), "course_id", "left_semi").select("page_id")
-    for name, df in tables.items():
-        if "course_id" in df.columns:
-            out[name] = df.join(ids.select("course_id"), "course_id", "left_anti")
-        elif "page_id" in df.columns and gone_pages is not None:
-            out[name] = df.join(gone_pages, "page_id", "left_anti")
-        else:
-            out[name] = df
-    return out
+    """Remove courses and cascade: every table loses the rows of the removed courses. Page ids are unique only
+    in their site, so a table without ``course_id`` cannot be cascaded to and is an error."""
+    bare = [name for name, df in tables.items() if "course_id" not in df.columns]
+    if bare:
+        raise ValueError(f"tables without course_id: {', '.join(bare)}")
+    gone = ids.select("course_id").distinct()
+    return {name: df.join(gone, "course_id", "left_anti") for name, df in tables.items()}
+
+
+def upsert_stored(table: BucketTable, new: DataFrame) -> None:
+    """``upsert_pages`` in a stored table: only the hash partitions of the new rows are rewritten."""
+    table.upsert(new)
+
+
+def replace_modules_stored(modules: BucketTable, new: DataFrame, pages: BucketTable | None = None) -> None:
+    """``replace_modules`` in stored tables. Applied again it gives the same tables: pages are freed by what the module
+    table holds, not by what a run has removed."""
+    touched = new.select("course_id").distinct()
+    modules.delete(modules.read().join(touched, "course_id", "left_semi").join(
+        new.select("course_id", "module_id"), ["course_id", "module_id"], "left_anti"))
+    modules.upsert(new)
+    if pages is not None:
+        held = pages.read().where("module_id IS NOT NULL").join(touched, "course_id", "left_semi")
+        lost = held.join(modules.read().select("course_id", "module_id"), ["course_id", "module_id"], "left_anti")
+        pages.upsert(lost.withColumn("module_id", F.lit(None).cast("string")))
+
+
+def delete_stored(tables: dict[str, BucketTable], ids: DataFrame) -> None:
+    """``delete_courses`` in stored tables, all of which carry ``course_id``."""
+    for table in tables.values():
+        table.delete(ids, ["course_id"])
 
 
 def toggle_pages(selection: DataFrame, ids: DataFrame) -> DataFrame:

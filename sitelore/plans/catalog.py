@@ -15,6 +15,7 @@ from sitelore.functions import rules, urls
 from sitelore.operators import frontier
 from sitelore.session import cut_lineage, ensure_checkpoint_dir
 from sitelore.sources.fixtures import tables
+from sitelore.sources.store import BucketTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -240,6 +241,18 @@ def known_and_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return c.filter(F.col("page_id") % 2 == 0), c.filter(F.col("page_id") % 2 != 0)
 
 
+def content_store(spark, sf_dir, shared: bool = True) -> contentops.ContentStore:
+    """The store of known content, made once a session unless it is to be changed."""
+    key = _stage_key(spark, sf_dir, "content_store")
+    if not (shared and REUSE_STAGES and key in _STAGES):
+        known, _ = known_and_new(spark, sf_dir)
+        made = contentops.ContentStore.create(known, _fresh(spark, "stores/content"))
+        if not shared:
+            return made
+        _STAGES[key] = made
+    return _STAGES[key]
+
+
 @register("content_fingerprint")
 def q_content_fingerprint(spark, sf_dir):
     return fingerprinted(spark, sf_dir).select("page_id", "url", "content_hash", "file_key")
@@ -247,28 +260,28 @@ def q_content_fingerprint(spark, sf_dir):
 
 @register("cache_split")
 def q_cache_split(spark, sf_dir):
-    known, new = known_and_new(spark, sf_dir)
-    hits, misses = contentops.cache_split(new.select("course_id", "page_id", "url"), known)
-    return hits.withColumn("hit", F.lit(True)).unionByName(misses.withColumn("hit", F.lit(False)))
+    _, new = known_and_new(spark, sf_dir)
+    return content_store(spark, sf_dir).split(new.select("course_id", "page_id", "url"))
 
 
 @register("drop_known_content")
 def q_drop_known_content(spark, sf_dir):
-    known, new = known_and_new(spark, sf_dir)
-    return contentops.drop_known_content(new, known).select("page_id", "url", "content_hash")
+    _, new = known_and_new(spark, sf_dir)
+    return content_store(spark, sf_dir).unknown(new).select("page_id", "url", "content_hash")
 
 
 @register("latest_scrape")
 def q_latest_scrape(spark, sf_dir):
-    c = fingerprinted(spark, sf_dir).select("page_id", "course_id", "url", "retrieved_at", "content_hash")
-    return contentops.latest_scrape(c)
+    every = contentops.ContentStore.create(fingerprinted(spark, sf_dir), _fresh(spark, "stores/content"))
+    return every.latest().select("page_id", "course_id", "url", "retrieved_at", "content_hash")
 
 
 @register("upsert_content")
 def q_upsert_content(spark, sf_dir):
-    known, new = known_and_new(spark, sf_dir)
-    cols = ["page_id", "course_id", "url", "content_hash", "retrieved_at"]
-    return contentops.upsert_content(known.select(*cols), new.select(*cols))
+    _, new = known_and_new(spark, sf_dir)
+    store = content_store(spark, sf_dir, shared=False)
+    store.upsert(new)
+    return store.table.read().select("page_id", "course_id", "url", "content_hash", "retrieved_at")
 
 
 @register("content_timeline")
@@ -337,7 +350,9 @@ def q_upsert_pages(spark, sf_dir):
     pages = discovered(spark, sf_dir).withColumn("status", F.lit("discovered"))
     new = pages.filter(F.col("page_id") % 5 == 0).withColumn("title", F.concat("title", F.lit(" (rev)"))).withColumn(
         "status", F.lit("scraped"))
-    return state.upsert_pages(pages, new)
+    table = BucketTable.create(pages, _fresh(spark, "stores/pages"), ["course_id", "page_id"])
+    state.upsert_stored(table, new)
+    return table.read()
 
 
 def hierarchy_tables(spark, sf_dir):
@@ -359,7 +374,9 @@ def q_replace_modules(spark, sf_dir):
     even = courses.filter(F.substring("course_id", 2, 20).cast("bigint") % 2 == 0)
     new = even.select("course_id", F.concat("course_id", F.lit("/replaced")).alias("module_id"),
                       F.lit("Replaced").alias("module_title"), F.lit(0).cast("bigint").alias("order_index"))
-    return state.replace_modules(modules, new)
+    table = BucketTable.create(modules, _fresh(spark, "stores/modules"), ["course_id", "module_id"])
+    state.replace_modules_stored(table, new)
+    return table.read()
 
 
 @register("replace_modules_pages")
@@ -368,25 +385,30 @@ def q_replace_modules_pages(spark, sf_dir):
     new = tables(spark, sf_dir)["courses"].filter(F.substring("course_id", 2, 20).cast("bigint") % 2 == 0).select(
         "course_id", F.concat("course_id", F.lit("/replaced")).alias("module_id"),
         F.lit("Replaced").alias("module_title"), F.lit(0).cast("bigint").alias("order_index"))
-    _, fixed = state.replace_modules(modules, new, hierarchy.store_pages(pages, assigned))
-    return fixed.select("course_id", "page_id", "module_id")
+    table = BucketTable.create(modules, _fresh(spark, "stores/modules"), ["course_id", "module_id"])
+    stored = BucketTable.create(hierarchy.store_pages(pages, assigned), _fresh(spark, "stores/pages"), ["course_id", "page_id"])
+    state.replace_modules_stored(table, new, stored)
+    return stored.read().select("course_id", "page_id", "module_id")
 
 
-def _without_deleted(spark, sf_dir) -> dict[str, DataFrame]:
-    t = tables(spark, sf_dir)
-    ids = t["courses"].filter(F.substring("course_id", 2, 20).cast("bigint") % 4 == 1).select("course_id")
-    return state.delete_courses({"pages": discovered(spark, sf_dir),
-                                 "content": t["page_content"].select("page_id", "url")}, ids)
+def _deleted_ids(spark, sf_dir) -> DataFrame:
+    courses = tables(spark, sf_dir)["courses"]
+    return courses.filter(F.substring("course_id", 2, 20).cast("bigint") % 4 == 1).select("course_id")
 
 
 @register("delete_courses")
 def q_delete_courses(spark, sf_dir):
-    return _without_deleted(spark, sf_dir)["content"]
+    rows = tables(spark, sf_dir)["page_content"].select("course_id", "page_id", "url")
+    table = BucketTable.create(rows, _fresh(spark, "stores/page_content"), ["course_id", "page_id"])
+    state.delete_stored({"content": table}, _deleted_ids(spark, sf_dir))
+    return table.read().select("page_id", "url")
 
 
 @register("delete_courses_pages")
 def q_delete_courses_pages(spark, sf_dir):
-    return _without_deleted(spark, sf_dir)["pages"].select("course_id", "page_id", "url")
+    table = BucketTable.create(discovered(spark, sf_dir), _fresh(spark, "stores/pages"), ["course_id", "page_id"])
+    state.delete_stored({"pages": table}, _deleted_ids(spark, sf_dir))
+    return table.read().select("course_id", "page_id", "url")
 
 
 @register("toggle_pages")
