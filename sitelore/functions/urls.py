@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitelore.functions.exprs import let
+
 # Fixed values (RFC 3986 appendix B split, scheme restricted to what urlsplit accepts).
 URL_SPLIT_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 # Characters Python's str.strip() removes (str.isspace), written so Java and RE2 both accept it.
@@ -201,3 +203,50 @@ def path_prefixes(path_col: Column | str) -> Column:
     """All strings ``p`` such that ``path == p`` or ``path`` starts with ``p + '/'``."""
     parts = F.split(_c(path_col), "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
+# ---------------------------------------------------------------- references
+# fixed value: the five parts of a reference (scheme, authority, path, query, fragment)
+REFERENCE_RE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _reference_parts(ref: Column) -> Column:
+    """``scheme`` (null without), ``authority`` with its slashes, ``path``, ``query`` and ``fragment`` with their marks."""
+    def part(i: int) -> Column:
+        return F.regexp_extract(ref, REFERENCE_RE, i)
+
+    return F.struct(F.nullif(part(1), F.lit("")).alias("scheme"), part(2).alias("authority"), part(3).alias("path"),
+                    part(4).alias("query"), part(5).alias("fragment"))
+
+
+def remove_dot_segments(path: Column) -> Column:
+    """``/a/./b/../c`` → ``/a/c``: a fold over the segments of an absolute path; ``..`` never leaves the root."""
+    def folded(segments: Column) -> Column:
+        kept = F.aggregate(
+            F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc).when(
+                s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+        tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
+
+    dotted = F.contains(path, F.lit("/."))
+    return F.when(path.startswith("/") & dotted, let(F.split(path, "/"), folded)).otherwise(path)
+
+
+def resolve_reference(ref: Column, base: Column) -> Column:
+    """The URL that a reference in a document with URL ``base`` names (RFC 3986, section 5.2). A reference with a scheme
+    stands for itself."""
+    def resolved(r: Column, b: Column) -> Column:
+        root = F.concat(F.coalesce(F.concat(b["scheme"], F.lit(":")), F.lit("")), b["authority"])
+        # the base path up to its last slash; a host without a path has the root
+        folder = F.when((b["path"] == "") & (b["authority"] != ""), F.lit("/")).otherwise(
+            F.regexp_extract(b["path"], r"(?s)^(.*/)?", 0))
+        merged = F.when(r["path"].startswith("/"), r["path"]).otherwise(F.concat(folder, r["path"]))
+        return (F.when(r["scheme"].isNotNull(), ref)
+                .when(r["authority"] != "", F.concat(F.coalesce(F.concat(b["scheme"], F.lit(":")), F.lit("")), r["authority"],
+                                                     remove_dot_segments(r["path"]), r["query"], r["fragment"]))
+                .when(r["path"] != "", F.concat(root, remove_dot_segments(merged), r["query"], r["fragment"]))
+                .when(r["query"] != "", F.concat(root, b["path"], r["query"], r["fragment"]))
+                .otherwise(F.concat(root, b["path"], b["query"], r["fragment"])))
+
+    return let(F.struct(_reference_parts(ref).alias("r"), _reference_parts(base).alias("b")), lambda p: resolved(p["r"], p["b"]))

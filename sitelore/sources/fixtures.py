@@ -140,21 +140,35 @@ def scraped_sql(dialect: str) -> str:
 
 # ---------------------------------------------------------------- F4 llm_responses and versions
 def llm_responses_sql(dialect: str) -> str:
+    """A response for every document, made of the words at the start, quarters and end of its text; one in four has no
+    JSON, one in four a fence, one in four words around it; every ninth an unknown type."""
     chr10 = "chr(10)"
+    words = ("regexp_extract_all(coalesce(text, ''), '[a-z]{4,12}', 0)" if dialect == "spark"
+             else "regexp_extract_all(coalesce(text, ''), '[a-z]{4,12}')")
+    size = "size(w)" if dialect == "spark" else "len(w)"
+
+    def word(quarter: int) -> str:
+        at = f"CAST(floor({size} * {quarter} / 4) AS INT) - {0 if quarter == 0 else 1}"
+        found = f"get(w, {at})" if dialect == "spark" else f"list_element(w, {at} + 1)"
+        return f"coalesce({found}, 'none')"
+
     return f"""
 SELECT doc_id * 8 AS page_id, concat('c', CAST(CAST(floor(doc_id / 24) AS BIGINT) AS VARCHAR(20))) AS course_id,
  CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN j
    WHEN 1 THEN concat('```json', {chr10}, j, {chr10}, '```')
    WHEN 2 THEN concat('Here it is: ', j, ' done') ELSE 'no json' END AS response
-FROM (SELECT doc_id, concat('{{"title":"T', CAST(doc_id AS VARCHAR(20)), '","content_type":"',
+FROM (SELECT doc_id, concat('{{"title":"The ', w0, ' of ', w4, '","content_type":"',
    CASE WHEN doc_id % 9 = 0 THEN 'bogus' WHEN doc_id % 2 = 0 THEN 'lecture' ELSE 'quiz' END,
-   '","key_concepts":["k', CAST(doc_id % 5 AS VARCHAR(20)), '","K', CAST(doc_id % 3 AS VARCHAR(20)),
-   '"],"definitions":[{{"term":"Term', CAST(doc_id % 13 AS VARCHAR(20)), '","definition":"d', CAST(doc_id AS VARCHAR(20)),
+   '","key_concepts":["', w1, '","', upper(w1), '","', w2,
+   '"],"definitions":[{{"term":"', w2, '","definition":"as in ', w1, ' ', w3, CAST(doc_id AS VARCHAR(20)),
    '"}},{{"term":"","definition":"x"}}],',
-   CASE WHEN doc_id % 3 = 1 THEN '' ELSE concat('"quiz_topics":["q', CAST(doc_id % 4 AS VARCHAR(20)), '"],"learning_objectives":["o',
-     CAST(doc_id % 6 AS VARCHAR(20)), '"],"important_formulas":["f', CAST(doc_id % 5 AS VARCHAR(20)), '"],"prerequisites":["p',
-     CAST(doc_id % 3 AS VARCHAR(20)), '"],"examples":["e', CAST(doc_id % 7 AS VARCHAR(20)), '"],') END, '"summary":"',
-   CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('s', CAST(doc_id AS VARCHAR(20))) END, '"}}') AS j FROM @documents@) t
+   CASE WHEN doc_id % 3 = 1 THEN '' ELSE concat('"quiz_topics":["', w3, '"],"learning_objectives":["know ', w1,
+     '"],"important_formulas":["f', CAST(doc_id % 5 AS VARCHAR(20)), '"],"prerequisites":["', w0, '"],"examples":["', w4, '"],')
+     END, '"summary":"',
+   CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('From ', w0, ' to ', w4, ' by ', w2, ', ', CAST(doc_id AS VARCHAR(20))) END,
+   '"}}') AS j
+  FROM (SELECT doc_id, {word(0)} AS w0, {word(1)} AS w1, {word(2)} AS w2, {word(3)} AS w3, {word(4)} AS w4
+        FROM (SELECT doc_id, {words} AS w FROM @documents@) s) q) t
 """
 
 

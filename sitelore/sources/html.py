@@ -16,6 +16,8 @@ from sitelore.functions import urls
 # What is dropped and how tags map to Markdown (own choices, see README).
 # an anchor with a quoted or bare href: the href as written, and all that stands inside
 ANCHOR_RE = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)[^>]*>(.*?)</a\s*>"""
+BASE_RE = r"""(?is)<base(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+COMMENT_RE = r"(?s)<!--.*?-->"
 QUOTES_RE = r"""^["']|["']$"""
 DROP_BLOCKS_RE = (r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>"
                   r"|<footer\b.*?</footer>|<head\b.*?</head>")
@@ -31,29 +33,31 @@ def decode_entities(col: Column) -> Column:
     return out
 
 
-def resolve_href(href: Column, page_url: Column) -> Column:
-    """Absolute URL for an href: absolute stays, ``//x`` gets the scheme, ``/x`` and ``x`` the page root."""
-    parts = urls.url_parts(page_url)
-    root = F.concat(parts["scheme"], F.lit("://"), parts["netloc"])
-    return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-             .when(href.startswith("//"), F.concat(parts["scheme"], F.lit(":"), href))
-             .when(href.startswith("/"), F.concat(root, href))
-             .otherwise(F.concat(root, F.lit("/"), href)))
+def base_url(html: Column, page_url: Column) -> Column:
+    """What a page's references are relative to: its first ``<base href>``, itself relative to the page, or the page."""
+    href = _href(F.regexp_extract(F.regexp_replace(html, COMMENT_RE, ""), BASE_RE, 1))
+    return F.when(href != "", urls.resolve_reference(href, page_url)).otherwise(page_url)
+
+
+def _href(written: Column) -> Column:
+    """An attribute's value without quotes, entities, outer white space and inner line breaks."""
+    return urls.py_strip(F.translate(decode_entities(F.regexp_replace(written, QUOTES_RE, "")), "\t\r\n", ""))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """One row per anchor: ``course_id`` (site host), ``src_page``, ``pos`` (0-based), ``url``, ``title``."""
+    """One row per anchor: ``course_id`` (site host), ``src_page``, ``pos`` (0-based), ``url`` (resolved against the page
+    or its ``<base>``), ``title``."""
     anchors = pages.select(
         urls.base_domain(F.col("url")).alias("course_id"),
         F.col("page_id").alias("src_page"),
-        F.col("url").alias("page_url"),
+        base_url(F.col("html"), F.col("url")).alias("base"),
         F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR_RE), 0)).alias("pos", "_a"),
     )
-    href = F.regexp_replace(F.regexp_extract("_a", ANCHOR_RE, 1), QUOTES_RE, "")
+    href = _href(F.regexp_extract("_a", ANCHOR_RE, 1))
     text = F.regexp_replace(F.regexp_extract("_a", ANCHOR_RE, 2), r"<[^>]*>", "")
     return anchors.select(
         "course_id", "src_page", F.col("pos").cast("bigint").alias("pos"),
-        resolve_href(decode_entities(href), F.col("page_url")).alias("url"),
+        urls.resolve_reference(href, F.col("base")).alias("url"),
         F.nullif(urls.py_strip(decode_entities(text)), F.lit("")).alias("title"),
     )
 

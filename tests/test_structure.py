@@ -133,3 +133,11 @@ def test_empty_markdown(spark):
     assert {r.page_id: r.cls_content_type for r in structure.classify_content(df).collect()}[1] == "other"
     hashes = {r.page_id: r.content_hash for r in content.content_fingerprint(df).collect()}
     assert hashes[1] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855" != hashes[2]
+
+
+def test_records_follow_the_texts(spark):
+    """The record queries read the documents' texts: more text, more distinct terms."""
+    from sitelore.plans import catalog
+    terms = [catalog.QUERIES["glossary"](spark, f"/root/testdata/{sf}").select("term").distinct().count()
+             for sf in ("sf0.001", "sf0.01")]
+    assert terms[1] > 2 * terms[0]
