@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelore.functions import rules, urls
+from sitelore.sources.store import BucketTable
 
 
 def prepare_frontier(links: DataFrame) -> DataFrame:
@@ -68,13 +69,13 @@ def classify_links(df: DataFrame) -> DataFrame:
 
 
 def discover_pages(links: DataFrame, courses: DataFrame, filter_first: bool = False,
-                   stable_ids: bool = False) -> DataFrame:
+                   stable_ids: bool = False, with_ord: bool = False) -> DataFrame:
     """Frontier → classified pages: ``course_id, page_id, url, canonical, title, content_type``.
 
     ``page_id`` is the ``ord`` of the surviving link, unique within its site. ``stable_ids=True``
     takes a 63-bit hash of site and canonical URL instead, which a frontier whose positions have
     shifted keeps.
-    ``filter_first=True`` applies the relevance filter before deduplication instead of after.
+    ``with_ord`` adds the position. ``filter_first=True`` applies the relevance filter before deduplication instead of after.
     """
     prepared = prepare_frontier(links)
     if filter_first:
@@ -85,7 +86,38 @@ def discover_pages(links: DataFrame, courses: DataFrame, filter_first: bool = Fa
         kept = deduped.filter(relevance_flag(deduped))
     pages = classify_links(kept)
     page_id = F.shiftrightunsigned(F.xxhash64("course_id", "canonical"), 1) if stable_ids else F.col("ord")
-    return pages.select("course_id", page_id.alias("page_id"), "url", "canonical", "title", "content_type")
+    return pages.select("course_id", page_id.alias("page_id"), "url", "canonical", "title", "content_type",
+                        *(["ord"] if with_ord else []))
+
+
+def rediscover(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Difference of two discoveries of the same sites (``discover_pages`` with ``stable_ids``), one row per page of either.
+
+    ``change``: ``added``, ``vanished``, ``moved`` (another position ``ord`` in the frontier), ``changed`` (another URL
+    spelling, title or type; it wins over a move) or ``kept``. Ids come from site and canonical URL, so a page keeps its
+    id whatever happens to its neighbours. Values are those of ``after``, for a vanished page of ``before``.
+    """
+    key, values = ["course_id", "page_id"], ["url", "canonical", "title", "content_type", "ord"]
+    old = before.select(*key, F.struct(*values).alias("_old"))
+    new = after.select(*key, F.struct(*values).alias("_new"))
+    both = old.join(new, key, "full_outer")
+    same = [F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}")) for c in values]
+    change = (F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "vanished")
+              .when(~(same[0] & same[2] & same[3]), "changed").when(~same[4], "moved").otherwise("kept"))
+    return both.select(*key, change.alias("change"),
+                       *[F.coalesce(F.col("_new"), F.col("_old"))[c].alias(c) for c in values if c != "ord"],
+                       F.col("_old.ord").alias("old_ord"), F.col("_new.ord").alias("new_ord"))
+
+
+def store_rediscovery(pages: BucketTable, difference: DataFrame) -> None:
+    """Take a difference over into the stored pages (``course_id, page_id, url, title, content_type, status``): pages added
+    or changed are written, vanished ones stay with the status ``vanished``; all others, and their status, stay."""
+    rows = difference.where("change IN ('added', 'changed', 'vanished')")
+    held = pages.read().select("course_id", "page_id", F.col("status").alias("_status"))
+    status = (F.when(F.col("change") == "vanished", "vanished").when(F.col("_status") == "vanished", "discovered")
+              .otherwise(F.coalesce("_status", F.lit("discovered"))))
+    new = rows.join(held, ["course_id", "page_id"], "left").withColumn("status", status)
+    pages.upsert(new.select(*pages.read().columns))
 
 
 def discovery_stats(links: DataFrame, courses: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ model's would.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelore.functions import rules, urls
 from sitelore.functions.exprs import let
+from sitelore.session import cut_lineage
 
 # ---------------------------------------------------------------- fixed values
 CONTEXT_LIMITS = {"classify": 2000, "structure": 8000, "summarize": 6000}
@@ -87,12 +89,14 @@ def build_llm_requests(df: DataFrame, task: str, limit: int | None = None) -> Da
     defaults = TEMPLATE_DEFAULTS[task]
     size = CONTEXT_LIMITS[task] if limit is None else limit
     text = F.coalesce(F.col("markdown"), F.lit(""))
-    last = F.lit(0) if limit is not None else F.greatest(F.ceil(F.char_length(text) / size) - 1, F.lit(0)).cast("int")
-    df = df.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    # one pass over the text cuts all parts; a text of no characters is one empty part
+    pieces = (F.array(F.substring(text, F.lit(1), F.lit(size))) if limit is not None else
+              F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0)))
+    df = df.select("*", F.posexplode(pieces).alias("part", "_content"))
     parts: list[Column] = []
     for piece in TEMPLATES[task]:
         if piece == "content":
-            parts.append(F.substring(text, F.col("part") * size + 1, F.lit(size)))
+            parts.append(F.col("_content"))
         elif piece in defaults or piece in ("title", "url", "course_name", "module_name"):
             parts.append(F.coalesce(F.col(piece), F.lit(defaults.get(piece, ""))))
         else:
@@ -263,41 +267,106 @@ def structure_extractive(df: DataFrame) -> DataFrame:
         "error", F.when(~F.col("ok"), F.lit("empty content")))
 
 
-def structure_content(df: DataFrame, provider: Callable | None = None, partitions: int | None = None) -> DataFrame:
+def structure_content(df: DataFrame, provider: Callable | None = None, partitions: int | None = None,
+                      log: str | None = None) -> DataFrame:
     """Structured record per enriched page. ``provider=None`` → native extractive default.
 
     A user ``provider(pdf) -> iterable of response strings`` receives pandas batches with
     ``course_id, page_id, part, prompt`` and runs inside ``mapInPandas``; ``partitions`` bounds its
-    parallelism. The records of a page's parts are merged; a failed part fails its page.
+    parallelism and ``log`` names a response log (``provider_responses``). The records of a page's parts are
+    merged; a part that failed or has no valid record fails its page, with its error.
     """
     if provider is None:
         return structure_extractive(df)
     key = ["course_id", "page_id"]
-    responses = provider_responses(df.filter("ok"), "structure", provider, partitions)
+    responses = provider_responses(df.filter("ok"), "structure", provider, partitions, log).withColumnRenamed(
+        "error", "_failed")
     context = df.select(*key, "course_name", "module_name", "title", "url")
     parsed = parse_structured(extract_llm_json(responses.join(context, key), "response"))
+    parsed = parsed.withColumn("error", F.coalesce("_failed", "error"))
     merged = merge_parts(parsed).withColumn("_answered", F.lit(True))
     out = df.drop("ok", "error", "structured").join(merged, key, "left")
     return out.withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn(
         "error", F.when(F.col("_answered"), F.col("error")).otherwise(F.lit("empty content"))).drop("_answered")
 
 
-def provider_responses(df: DataFrame, task: str, provider: Callable, partitions: int | None = None) -> DataFrame:
-    """``course_id, page_id, part, response`` of a user provider for every request of a task."""
-    requests = build_llm_requests(df, task)
-    if partitions:
-        requests = requests.repartition(partitions)
+RESPONSES = "course_id string, page_id bigint, part int, request string, response string, error string"
+
+
+def answers(requests: DataFrame, provider: Callable) -> DataFrame:
+    """``RESPONSES`` of a provider. A batch that fails is asked again row by row, so only failing rows have an error."""
+    def asked(pdf) -> list[tuple[str | None, str | None]]:
+        try:
+            out = list(provider(pdf.drop(columns="request")))
+            if len(out) != len(pdf):
+                raise ValueError(f"{len(out)} responses to {len(pdf)} requests")
+            return [(r, None) for r in out]
+        except Exception as failed:  # noqa: BLE001 - the error goes with its row, the job goes on
+            if len(pdf) == 1:
+                return [(None, f"{type(failed).__name__}: {failed}")]
+            return [asked(pdf.iloc[i:i + 1])[0] for i in range(len(pdf))]
 
     def run(batches):
-        import pandas as pd
         for pdf in batches:
-            try:
-                out = list(provider(pdf))
-            except Exception:  # noqa: BLE001 - a failed batch marks its rows failed, the job goes on
-                out = [None] * len(pdf)
-            yield pd.DataFrame({"course_id": pdf["course_id"], "page_id": pdf["page_id"], "part": pdf["part"], "response": out})
+            found = asked(pdf) if len(pdf) else []
+            yield pdf[["course_id", "page_id", "part", "request"]].assign(
+                response=[r for r, _ in found], error=[e for _, e in found])
+
+    return requests.select("course_id", "page_id", "part", "request", "prompt").mapInPandas(run, RESPONSES)
+
+
+class ResponseLog:
+    """Responses under ``path``, by request (sha256 of task and prompt). Only ever appended to, a folder for each slice of
+    requests that was asked to the end; a failed request is logged with its error and stays open."""
+
+    SCHEMA = "request string, response string, error string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
-    return requests.mapInPandas(run, "course_id string, page_id bigint, part int, response string")
+    def rows(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.globStatus(path(f"{self.path}/asked=*")) or []]
+        done = [p.toString() for p in found if fs.exists(path(p, "_SUCCESS"))]
+        return (self.spark.read.schema(self.SCHEMA).parquet(*done) if done
+                else self.spark.createDataFrame([], self.SCHEMA))
+
+    def answered(self) -> DataFrame:
+        """request, response: one row for each answered request."""
+        return self.rows().where("error IS NULL").groupBy("request").agg(F.min("response").alias("response"))
+
+    def append(self, rows: DataFrame) -> None:
+        rows.select("request", "response", "error").write.parquet(f"{self.path}/asked={uuid.uuid4().hex}")
+
+
+def provider_responses(df: DataFrame, task: str, provider: Callable, partitions: int | None = None,
+                       log: str | None = None, slices: int = 16) -> DataFrame:
+    """``course_id, page_id, part, response, error`` of a user provider for every request of a task.
+
+    With ``log`` (a folder on shared storage) responses are kept by request: what the log answers is not asked
+    again, equal prompts are asked once, and requests go out in ``slices``, each logged when it is done, so a run that
+    dies is continued by the next with at most one slice asked twice.
+    """
+    requests = build_llm_requests(df, task).withColumn("request", F.sha2(F.concat_ws("\n", F.lit(task), "prompt"), 256))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions) if partitions else rows
+
+    columns = ["course_id", "page_id", "part", "response", "error"]
+    if log is None:
+        return answers(spread(requests), provider).select(*columns)
+    kept = ResponseLog(df.sparkSession, log)
+    requests = cut_lineage(requests, name="requests")
+    one = requests.groupBy("request").agg(F.min_by(F.struct("course_id", "page_id", "part", "prompt"), F.struct(
+        "course_id", "page_id", "part")).alias("r")).select("request", "r.*")
+    todo = cut_lineage(one.join(kept.answered(), "request", "left_anti").withColumn(
+        "slice", F.pmod(F.xxhash64("request"), F.lit(slices))), name="unanswered")
+    for r in todo.select("slice").distinct().orderBy("slice").collect():  # at most ``slices`` numbers
+        kept.append(answers(spread(todo.where(F.col("slice") == r["slice"])), provider))
+    failed = kept.rows().where("error IS NOT NULL").groupBy("request").agg(F.max("error").alias("error"))
+    return (requests.join(kept.answered(), "request", "left").join(failed, "request", "left")
+            .withColumn("error", F.when(F.col("response").isNull(), F.col("error"))).select(*columns))
 
 
 def merge_parts(parsed: DataFrame) -> DataFrame:

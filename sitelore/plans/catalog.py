@@ -355,6 +355,20 @@ def q_upsert_pages(spark, sf_dir):
     return table.read()
 
 
+@register("rediscover_pages")
+def q_rediscover_pages(spark, sf_dir):
+    """The frontier mapped again: every position is shifted, each 40th block of links is gone, each 30th title is new."""
+    t = tables(spark, sf_dir)
+    block = F.floor(F.col("ord") / 8)
+    again = t["links"].filter(block % 40 != 7).withColumn(
+        "title", F.when(block % 30 == 4, F.concat(F.lit("Again "), block.cast("string"))).otherwise(F.col("title"))).withColumn(
+        "ord", F.when(block % 5 == 0, F.col("ord")).otherwise(F.col("ord") + 3))
+    earlier = t["links"].filter(block % 50 != 9)
+    before, after = (frontier.discover_pages(x, t["courses"], stable_ids=True, with_ord=True) for x in (earlier, again))
+    diff = frontier.rediscover(before, after)
+    return diff.select("course_id", "canonical", "change", "url", "title", "content_type", "old_ord", "new_ord")
+
+
 def hierarchy_tables(spark, sf_dir):
     pages = discovered_table(spark, sf_dir)
 

@@ -7,6 +7,8 @@ exploded equi-join, and so on. Fixture CTEs are inlined from ``sources.fixtures`
 
 from __future__ import annotations
 
+import re
+
 from sitelore.functions import rules
 from sitelore.plans import duck as d
 from sitelore.sources.fixtures import duck_ctes
@@ -67,6 +69,28 @@ ORACLE["dedupe_links"] = with_(["links", "courses"], FRONTIER) + "SELECT course_
 
 ORACLE["discover_pages"] = with_(["links", "courses"], FRONTIER) + "SELECT * FROM dpages"
 
+
+def _frontier_of(links: str, suffix: str) -> str:
+    """FRONTIER over another link table, its names with a suffix."""
+    named = re.sub(r"\b(fr2?|ranked|dd2?|cb|fl|dpages)\b", rf"\1_{suffix}", FRONTIER)
+    return named.replace("FROM links)", f"FROM {links})").replace(f"ord AS page_id, url, canonical, title, content_type FROM fl_{suffix}",
+                                                                  f"ord, url, canonical, title, content_type FROM fl_{suffix}")
+
+
+ORACLE["rediscover_pages"] = with_(["links", "courses"], """
+earlier AS (SELECT * FROM links WHERE CAST(floor(ord / 8) AS BIGINT) % 50 <> 9)""", """
+again AS (SELECT course_id, url, CASE WHEN b % 30 = 4 THEN 'Again ' || CAST(b AS VARCHAR) ELSE title END AS title,
+                 CASE WHEN b % 5 = 0 THEN ord ELSE ord + 3 END AS ord
+          FROM (SELECT *, CAST(floor(ord / 8) AS BIGINT) AS b FROM links) x WHERE b % 40 <> 7)""",
+    _frontier_of("earlier", "old"), _frontier_of("again", "new")) + """
+SELECT coalesce(n.course_id, o.course_id) AS course_id, coalesce(n.canonical, o.canonical) AS canonical,
+  CASE WHEN o.canonical IS NULL THEN 'added' WHEN n.canonical IS NULL THEN 'vanished'
+       WHEN n.url IS DISTINCT FROM o.url OR n.title IS DISTINCT FROM o.title OR n.content_type IS DISTINCT FROM o.content_type THEN 'changed'
+       WHEN n.ord <> o.ord THEN 'moved' ELSE 'kept' END AS change,
+  CASE WHEN n.canonical IS NULL THEN o.url ELSE n.url END AS url, CASE WHEN n.canonical IS NULL THEN o.title ELSE n.title END AS title,
+  CASE WHEN n.canonical IS NULL THEN o.content_type ELSE n.content_type END AS content_type, o.ord AS old_ord, n.ord AS new_ord
+FROM dpages_old o FULL OUTER JOIN dpages_new n ON o.course_id = n.course_id AND o.canonical = n.canonical"""
+
 _type_counts = ",\n".join(
     f"  CAST(count(*) FILTER (WHERE keep AND content_type = '{t}') AS BIGINT) AS n_{t}" for t in rules.CONTENT_TYPES)
 ORACLE["discovery_stats"] = with_(["links", "courses"], FRONTIER) + f"""

@@ -62,3 +62,37 @@ def test_stable_ids_survive_shifted_positions_and_differ_by_site(spark):
     ids = {(r["course_id"], r["canonical"]): r["page_id"] for r in frontier.discover_pages(first, courses, stable_ids=True).collect()}
     again = {(r["course_id"], r["canonical"]): r["page_id"] for r in frontier.discover_pages(later, courses, stable_ids=True).collect()}
     assert len(set(ids.values())) == 2 and again["a", "https://s.edu/x"] == ids["a", "https://s.edu/x"] >= 0
+
+
+def test_rediscovery_keeps_ids_and_reports_changes(spark):
+    import uuid
+
+    from sitelore.operators import frontier
+    from sitelore.session import scratch_path
+    from sitelore.sources.store import BucketTable
+    courses = spark.createDataFrame([("a", "https://s.edu"), ("b", "https://t.edu")], "course_id string, url string")
+    schema = "course_id string, ord bigint, url string, title string"
+
+    def found(*rows):
+        return frontier.discover_pages(spark.createDataFrame([*rows], schema), courses, stable_ids=True, with_ord=True)
+
+    before = found(("a", 0, "https://s.edu/x", "X"), ("a", 1, "https://s.edu/y", "Y"), ("a", 2, "https://s.edu/z", "Z"),
+                   ("b", 0, "https://t.edu/x", "X"))
+    after = found(("a", 0, "https://s.edu/new", "N"), ("a", 1, "https://s.edu/x/", "X"), ("a", 3, "https://s.edu/y", "Y"),
+                  ("b", 0, "https://t.edu/x", "X2"))
+    diff = frontier.rediscover(before, after)
+    assert {(r.course_id, r.canonical, r.change, r.old_ord, r.new_ord) for r in diff.collect()} == {
+        ("a", "https://s.edu/new", "added", None, 0), ("a", "https://s.edu/x", "changed", 0, 1),
+        ("a", "https://s.edu/y", "moved", 1, 3), ("a", "https://s.edu/z", "vanished", 2, None),
+        ("b", "https://t.edu/x", "changed", 0, 0)}
+    ids = {(r.course_id, r.canonical): r.page_id for r in before.collect()}
+    assert all(ids[r.course_id, r.canonical] == r.page_id for r in after.collect() if (r.course_id, r.canonical) in ids)
+    stored = before.selectExpr("course_id", "page_id", "url", "title", "content_type", "'scraped' AS status")
+    pages = BucketTable.create(stored, scratch_path(spark, f"tables/rediscovery-{uuid.uuid4().hex}"), ["course_id", "page_id"])
+    for _ in range(2):  # applied again it gives the same table
+        frontier.store_rediscovery(pages, diff)
+        assert {(r.url, r.title, r.status) for r in pages.read().collect()} == {
+            ("https://s.edu/new", "N", "discovered"), ("https://s.edu/x/", "X", "scraped"), ("https://s.edu/y", "Y", "scraped"),
+            ("https://s.edu/z", "Z", "vanished"), ("https://t.edu/x", "X2", "scraped")}
+    frontier.store_rediscovery(pages, frontier.rediscover(after, before))
+    assert ("https://s.edu/z", "Z", "discovered") in {(r.url, r.title, r.status) for r in pages.read().collect()}

@@ -44,7 +44,7 @@ def test_random_references_like_urljoin(spark):
     for _ in range(600):
         ref = rng.choice(["", "/"]) + "/".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) + rng.choice(
             ["", "/", "?q", "#f", "?q=/../x#f"])
-        if ref and "///" not in ref:
+        if ref and not ref.startswith("//"):
             pairs.append((ref, rng.choice(bases)))
     want = [urljoin(b, r) for r, b in pairs]
     assert resolve(spark, pairs) == want

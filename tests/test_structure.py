@@ -141,3 +141,55 @@ def test_records_follow_the_texts(spark):
     terms = [catalog.QUERIES["glossary"](spark, f"/root/testdata/{sf}").select("term").distinct().count()
              for sf in ("sf0.001", "sf0.01")]
     assert terms[1] > 2 * terms[0]
+
+
+def _pages_to_ask(spark, n=12):
+    return spark.createDataFrame([("a", i, f"text {i}", "T", "C", "M", "u", "lecture", True) for i in range(n)], ENRICHED)
+
+
+def test_a_failing_row_leaves_its_batch_whole(spark):
+    def provider(pdf):
+        if any("text 7" in p for p in pdf["prompt"]):
+            raise RuntimeError("no answer to seven")
+        return ['{"summary": "ok"}'] * len(pdf)
+
+    got = {r.page_id: r for r in structure.structure_content(_pages_to_ask(spark), provider=provider, partitions=1).collect()}
+    assert [i for i, r in got.items() if not r.ok] == [7] and got[7].error == "RuntimeError: no answer to seven"
+    short = structure.structure_content(_pages_to_ask(spark, 1), provider=lambda pdf: []).first()
+    assert not short.ok and short.error == "ValueError: 0 responses to 1 requests"
+
+
+def test_response_log_asks_only_what_is_unanswered(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def provider_failing_on(bad):
+        def provider(pdf):
+            with open(calls, "a") as f:
+                f.write("".join(f"{p.split()[-1]}\n" for p in pdf["prompt"]) if len(pdf) == 1 or not bad else "")
+            if any(p.split()[-1] == bad for p in pdf["prompt"]):
+                raise RuntimeError("later")
+            return ['{"summary": "ok"}'] * len(pdf)
+        return provider
+
+    log, df = str(tmp_path / "log"), _pages_to_ask(spark)
+    first = structure.structure_content(df, provider=provider_failing_on("7"), partitions=1, log=log).collect()
+    assert sorted(r.page_id for r in first if not r.ok) == [7] and {r.error for r in first if not r.ok} == {"RuntimeError: later"}
+    calls.write_text("")
+    second = structure.structure_content(df, provider=provider_failing_on(None), log=log).collect()
+    assert all(r.ok for r in second) and calls.read_text().split() == ["7"]
+    calls.write_text("")
+    third = structure.structure_content(df, provider=provider_failing_on(None), log=log).collect()
+    assert len(third) == 12 and all(r.ok for r in third) and calls.read_text() == ""
+
+
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    rows = [(c, 1, "same", "T", "C", "M", "u", "lecture", True) for c in "abc"]
+    seen = tmp_path / "seen"
+
+    def provider(pdf):
+        with open(seen, "a") as f:
+            f.write("x" * len(pdf))
+        return ['{"summary": "ok"}'] * len(pdf)
+
+    got = structure.structure_content(spark.createDataFrame(rows, ENRICHED), provider=provider, log=str(tmp_path / "log")).collect()
+    assert len(got) == 3 and all(r.ok for r in got) and seen.read_text() == "x"
