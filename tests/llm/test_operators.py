@@ -74,6 +74,43 @@ def test_op1_batches_are_idempotent_and_signed(spark, tmp_path):
         token_counts.counted(rows, "other")
 
 
+def test_op1_dying_retry_and_compaction(spark, tmp_path):
+    from pyspark.sql import functions as F
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    rollup.compact()
+
+    def batch(n, rows):
+        rollup.commit(n, token_counts.deltas(token_counts.counted(frame(spark, rows), "words/1")))
+
+    def totals():
+        return sorted((r.docs, r.tokens) for r in rollup.totals().collect())
+
+    batch(1, [(1, "a b")])
+    failing = frame(spark, [(1, "a b")]).withColumn("text", F.raise_error(F.lit("executor lost")).cast("string"))
+    with pytest.raises(Exception, match="executor lost"):
+        rollup.commit(1, token_counts.deltas(token_counts.counted(failing, "words/1")))
+    assert totals() == [(1, 2)]  # the attempt before it still counts
+    batch(1, [(1, "a b c")])
+    assert totals() == [(1, 3)]
+    batch(2, [(2, "d")])
+    rollup.compact()
+    assert totals() == [(2, 4)] and len(rollup.attempts()) == 1
+    with pytest.raises(ValueError):
+        batch(2, [(2, "d")])
+    batch(3, [(3, "e f")])
+    assert totals() == [(3, 6)]
+    rollup.compact()
+    rollup.compact()
+    assert totals() == [(3, 6)] and len(rollup.attempts()) == 1
+
+
+def test_op1_rows_that_share_an_id_are_told_apart_by_text(spark, tmp_path):
+    rows = [(1, "a b"), (2, "a b"), (2, "c d e"), (3, "x\nx\ny"), (3, "z z")]
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    (total,) = token_counts.maintained(rollup, frame(spark, rows), ("words/1",)).collect()
+    assert (total.docs, total.tokens) == (4, 2 + 3 + 2 + 2)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 def test_op3_rules_by_hand(spark):
     cases = {
