@@ -27,16 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import rolling
 from .components import connected_components
-from .repeats import BATCH_BYTES
 from .substring_dedup import word_pieces
 from .texts import byte_columns, id_and_text, slices
 
+BATCH_BYTES = 1 << 20  # of text at once in a task, which holds some sixty bytes for each
 SHINGLE = 5
 QUANTILE = 0.4
 BLOCK_SHINGLES = 2_000_000
@@ -242,14 +242,11 @@ def near_duplicates(docs: DataFrame, quantile: float = QUANTILE, block_shingles:
     sets = rows.where(F.col("kind") == DOCUMENT).groupBy("doc").agg(F.max("n").alias("n"), F.max("prefix").alias("set"))
     first = sets.where("n > 0").groupBy("set").agg(F.min("doc").alias("rep"), F.max("n").alias("n"))
     tokens = rows.where(F.col("kind") == TOKEN).select("token", "doc", F.col("n").alias("slack"))
-    # the rarest (repeated shingles - those that may be left out) of a document's repeated shingles
+    # the rarest of a document's repeated shingles: all but those that may be left out, which come last
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))  # a row each task and shingle, as rows lie by shingle
+    late = Window.partitionBy("doc").orderBy(F.desc("often"), F.desc("token"))
     prefix = (tokens.join(often, "token").join(first.select(F.col("rep").alias("doc")), "doc", "left_semi")
-              .groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"),
-                                  F.max("slack").alias("slack"))
-              .where("size(t) > slack")
-              .select("doc", F.explode(F.slice("t", F.lit(1), F.greatest(F.size("t") - F.col("slack"), F.lit(0)).cast("int")))
-                      .alias("t")).select("doc", "t.token"))
+              .withColumn("late", F.row_number().over(late)).where("late > slack").select("doc", "token"))
     prefix = cut_lineage(prefix, name="op10-prefix")
     hubs = prefix.groupBy("token").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).where("c > 1")
     blocks = connected_components(prefix.join(hubs, "token").where("doc <> hub").select("doc", "hub"))
