@@ -14,7 +14,8 @@ or more are linked, exactly, and every document gets the smallest id reachable b
    chunks and every two chunks meet in a task of their own, so no task holds more than two chunks.
 
 Defined results: a null text or one without words has 0 shingles and no links; a null doc_id has no component and
-no links; rows that share a doc_id are one document; an empty table gives no rows.
+no links; a repeated row (one doc_id and text) is one document with its first; different texts of one doc_id are
+different documents, each with its own row (``identities``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import rolling
 from .components import connected_components
+from .identities import KEY, by_key, own_ids, with_key
 from .substring_dedup import word_pieces
 from .texts import byte_columns, id_and_text, slices
 
@@ -237,7 +239,22 @@ def search(texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, quantile: float = QUANTILE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each doc_id, and one for each row without."""
+    """doc_id, n_shingles, component_id: one row for each document, and one for each row without an id."""
+    rows, numbers = with_key(id_and_text(docs))
+    return own_ids(components(by_key(rows), quantile, block_shingles), numbers, ["doc_id", "component_id"])
+
+
+def representatives(docs: DataFrame, quantile: float = QUANTILE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of the first document of each component (smallest doc_id, then
+    SHA-256 of the text); rows without an id stay."""
+    rows, _ = with_key(docs)
+    gone = (components(by_key(rows), quantile, block_shingles).where("doc_id <> component_id")
+            .select(F.col("doc_id").alias(KEY)))
+    return rows.join(gone, KEY, "left_anti").select(*[rows[c] for c in docs.columns])
+
+
+def components(docs: DataFrame, quantile: float, block_shingles: int) -> DataFrame:
+    """The same as ``near_duplicates`` where every doc_id has one text."""
     rows = cut_lineage(repeated_tokens(shingle_rows(docs, quantile)), name="op10-shingles")
     sets = rows.where(F.col("kind") == DOCUMENT).groupBy("doc").agg(F.max("n").alias("n"), F.max("prefix").alias("set"))
     first = sets.where("n > 0").groupBy("set").agg(F.min("doc").alias("rep"), F.max("n").alias("n"))

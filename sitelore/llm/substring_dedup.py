@@ -5,8 +5,9 @@ steps, both over all documents: runs of windows with one anchor (``repeats``) ar
 by the hash of the whole run, and where an anchor has different runs, their windows are counted one by
 one in Spark. Repeated windows merge into maximal removal intervals of each document.
 
-Defined results: null text has no words; rows with a null doc_id take no part and stay whole; rows that
-share a doc_id are one document (a repeated row repeats no window); an empty table gives no rows.
+Defined results: null text has no words; rows with a null doc_id take no part and stay whole; a repeated row (one
+doc_id and text) repeats no window; different texts of one doc_id are different documents (``identities``); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import rolling
+from .identities import KEY, by_key, with_key
 from .repeats import (BATCH_BYTES, OPEN, SPAN, array_slices, merged, positions_by_document, resolve, segment_rows,
                       unpacked)
 from .texts import byte_columns, id_and_text, slices
@@ -71,8 +73,6 @@ def window_rows(opened: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 start = np.cumsum(counts) - counts
                 lo, n, _ = unpacked(pos[at[a]:at[b]])
                 row = np.repeat(np.arange(b - a), np.diff(at[a:b + 1]))
-                inside = lo + n - 1 + width <= counts[row]  # else of another text under the same id
-                lo, n, row = lo[inside], n[inside], row[inside]
                 one = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
                 row = np.repeat(row, n)
                 w = rolling.run_hash(prefix, start[row] + one, start[row] + one + width)
@@ -87,6 +87,8 @@ def window_rows(opened: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, spans (removed [start, end) words) and kept (the other
     words joined by one space)."""
+    rows, _ = with_key(id_and_text(docs))
+    docs = by_key(rows)
     found = cut_lineage(resolve(segment_rows(docs, word_tokens(width), width, gram), keep_first=False),
                         name="op6-found")
     opened = found.where(F.col("kind") == OPEN).select("doc", "pos")
@@ -117,7 +119,8 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array(kept, pa.string())], names=["doc_id", "n_words", "spans", "kept"])
 
-    return (id_and_text(docs).join(positions_by_document(cuts, "cuts"), "doc_id", "left")
+    cuts = positions_by_document(cuts, "cuts").withColumnRenamed("doc_id", KEY)
+    return (rows.join(cuts, KEY, "left").select("doc_id", "text", "cuts")
             .mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string"))
 
 

@@ -8,8 +8,9 @@ Adjacent common prefixes cut the order into classes for every d, and of the wind
 but the earliest go. Only segments whose anchor occurs with different surroundings are sorted;
 equal ones are resolved by ``repeats``.
 
-Defined results: null text is empty; rows with a null doc_id take no part and stay whole; rows that
-share a doc_id are one document (a repeated row is no earlier copy); an empty table gives no rows.
+Defined results: null text is empty; rows with a null doc_id take no part and stay whole; a repeated row (one doc_id
+and text) is no earlier copy; different texts of one doc_id are different documents, in the order of their SHA-256
+(``identities``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import rolling
+from .identities import KEY, by_key, with_key
 from .repeats import (BATCH_BYTES, OPEN, SPAN, array_slices, merged, packed, positions_by_document, resolve,
                       segment_rows, unpacked)
 from .texts import byte_columns, id_and_text
@@ -273,7 +275,9 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return (id_and_text(docs).join(find_cuts(docs, width, gram, largest_bucket), "doc_id", "left")
+    rows, _ = with_key(id_and_text(docs))
+    cuts = find_cuts(by_key(rows), width, gram, largest_bucket).withColumnRenamed("doc_id", KEY)
+    return (rows.join(cuts, KEY, "left").select("doc_id", "text", "cuts")
             .mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"))
 
 
@@ -300,8 +304,9 @@ def rewritten(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, largest_buc
             stays = np.array([bool(t) for t in texts]) | (np.diff(offsets) == 0)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
 
-    cuts = find_cuts(docs, width, gram, largest_bucket).withColumnRenamed("doc_id", "_cut_id")
-    joined = docs.join(cuts, docs["doc_id"].cast("long") == F.col("_cut_id"), "left").select(*docs.columns, "cuts")
+    rows, _ = with_key(docs)
+    cuts = find_cuts(by_key(rows), width, gram, largest_bucket).withColumnRenamed("doc_id", KEY)
+    joined = rows.join(cuts, KEY, "left").select(*[rows[c] for c in names], cuts["cuts"])
     return joined.mapInArrow(run, docs.schema)
 
 
