@@ -4,7 +4,6 @@ decontamination, packing. Each stage gets what the one before it kept, as a writ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sitelore.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup
 from sitelore.llm.queries import table
@@ -12,14 +11,14 @@ from sitelore.session import cut_lineage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' production policy keeps."""
+    """Documents that the rules' production policy keeps; one without text or words fails its least number of words."""
     return quality_rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows without an id stay."""
-    gone = jaccard_join.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """One document of each group of near duplicates, the one with the smallest id; rows without an id or without
+    words stay."""
+    return jaccard_join.representatives(docs)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +28,7 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item (of rows that share an id all go); rows without an id or text hold none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
