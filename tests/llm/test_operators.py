@@ -294,6 +294,86 @@ def test_op7_notices_with_gaps_and_cut_ends(spark):
                      10: {"cc-by-nc": 1.0, "cc-by-sa": 1.0}}
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_spans(text, k=license_scan.GRAM):
+    """(template, label, start, end, share) by comparing every place of a text with every place of a template."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    spans = []
+    for number, (label, phrase) in enumerate(license_scan.TEMPLATES):
+        wanted = license_scan.template_words(phrase)
+        starts = collections.defaultdict(list)
+        for t in range(len(wanted) - k + 1):
+            starts[tuple(wanted[t:t + k])].append(t)
+        hits = sorted((at - t, at) for at in range(len(words) - k + 1) for t in starts[tuple(words[at:at + k])])
+        near, groups = max(license_scan.NEIGHBOURS, min(license_scan.GAP, len(wanted) // 2)), []
+        for i, (diagonal, at) in enumerate(hits):
+            if not i or diagonal - hits[i - 1][0] > near:
+                groups.append(set())
+            groups[-1] |= set(range(at, at + k))
+        for places in groups:
+            held = lcs([words[p] for p in sorted(places)], wanted)
+            if 100 * held >= license_scan.VERIFIED * len(wanted):
+                spans.append((held, held / len(wanted), label, number, places))
+    best = {}
+    for held, share, label, _, places in spans:
+        for p in places:
+            best[p] = max(best.get(p, (0, 0, "")), (held, share, label))
+    return {(number, label, min(places), max(places) + 1, round(share, 9)) for held, share, label, number, places in spans
+            if any(best[p][2] == label or best[p][:2] == (held, share) for p in places)}
+
+
+def test_op7_spans_match_brute_force(spark):
+    rng = random.Random(7)
+    whole = [license_scan.template_words(t) for _, t in license_scan.TEMPLATES]
+    texts = [r.text for r in queries.table(spark, SF, "documents").collect()]
+    for _ in range(150):  # notices with words put in, left out, changed or moved, in a row or alone
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            part = list(rng.choice(whole))
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(part))
+                change = rng.randrange(4)
+                if change == 0:
+                    part[at:at] = ["of", "this", "software", "or", "parts", "of", "it", "too", "as", "is", "the", "x", "y"][:rng.randint(1, 13)]
+                elif change == 1:
+                    del part[at:at + rng.randint(1, 5)]
+                elif change == 2:
+                    part[at] = "other"
+                else:
+                    part = part[at:] + part[:at]
+                part = part or ["x"]
+            words += part + ["word"] * rng.randint(0, 3)
+        texts.append(" ".join(words))
+    got = collections.defaultdict(set)
+    for r in license_scan.find_spans(frame(spark, list(enumerate(texts)))).collect():
+        got[r.doc_id].add((r.template, r.label, r.start, r.end, round(r.share, 9)))
+    want = {i: brute_spans(t) for i, t in enumerate(texts)}
+    assert {i: x for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    assert len({label for x in want.values() for _, label, *_ in x}) >= 8
+
+
+def test_op7_words_put_in_and_whole_texts(spark):
+    bsd = next(t for label, t in license_scan.TEMPLATES if label == "bsd").split()
+    mit = license_scan.TEMPLATES[[len(t) > 500 for _, t in license_scan.TEMPLATES].index(True)][1]
+    many = 100_000
+    rows = [(1, " ".join(bsd[:3] + "of this software or parts of it".split() + bsd[3:])),
+            (2, "Copyright (c) 2020 Somebody\n\n" + mit),
+            (3, "Licensed under CC BY-NC 4.0. " * many)]
+    spans = collections.defaultdict(list)
+    for r in license_scan.find_spans(frame(spark, rows)).collect():
+        spans[r.doc_id].append((r.label, r.share))
+    assert spans[1] == [("bsd", 1.0)] and set(spans[2]) == {("mit", 1.0)}
+    assert spans[3] == [("cc-by-nc", 1.0)] * many
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 def check_packing(rows, texts, capacity=4096):
     from tokenizers import Tokenizer
