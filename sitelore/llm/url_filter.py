@@ -54,11 +54,14 @@ def verdict_of(rule: Column) -> Column:
 
 def featured(urls: DataFrame) -> DataFrame:
     """``urls`` (host, path) with the vector ``features`` of hashed character n-grams."""
-    url = F.concat(F.lit("^"), F.col("host"), F.col("path"), F.lit("$"))
-    grams = F.concat(*[F.when(F.char_length("_url") >= n, F.transform(
-        F.sequence(F.lit(1), F.char_length("_url") - n + 1), lambda i, n=n: F.substring(F.col("_url"), i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in GRAMS])
-    with_grams = urls.withColumn("_url", url).withColumn("_grams", grams)
+    characters = F.split(F.concat(F.lit("^"), F.col("host"), F.col("path"), F.lit("$")), "")
+
+    def grams(n: int) -> Column:
+        return F.when(F.size("_url") >= n, F.transform(
+            F.sequence(F.lit(0), F.size("_url") - n), lambda i: F.concat(*[F.get("_url", i + j) for j in range(n)]))
+        ).otherwise(F.array().cast("array<string>"))
+
+    with_grams = urls.withColumn("_url", characters).withColumn("_grams", F.concat(*map(grams, GRAMS)))
     return HashingTF(numFeatures=DIMENSIONS, binary=True, inputCol="_grams", outputCol="features").transform(
         with_grams).drop("_url", "_grams")
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitelore.llm import (decontaminate, importance, jaccard_join, license_scan, packing, quality_rules, queries,
                           token_counts, url_filter)
@@ -135,7 +136,6 @@ def test_op3_rules_by_hand(spark):
 
 
 def test_op3_model_on_held_out_urls(spark):
-    from pyspark.sql import functions as F
     urls = url_filter.parsed(queries.table(spark, "/root/testdata/sf0.1", "pages"))
     urls = urls.withColumn("rule", url_filter.rule_of(F.col("host"), F.col("path"))).where("rule IS NOT NULL")
     urls = urls.withColumn("verdict", url_filter.verdict_of(F.col("rule")))
@@ -145,6 +145,74 @@ def test_op3_model_on_held_out_urls(spark):
     assert right / scored.count() > 0.95
 
 
+def murmur3(data, seed=42):
+    """The 32-bit hash of a gram's UTF-8 bytes, which the features are numbered by (signed)."""
+    def turn(x, r):
+        return ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
+
+    def mixed(k):
+        return turn(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+
+    h, whole = seed, len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = (turn(h ^ mixed(int.from_bytes(data[i:i + 4], "little")), 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    if data[whole:]:
+        h ^= mixed(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def brute_url(url):
+    """(host, path, rule) read character by character."""
+    url = url or ""
+    if "://" not in url:
+        return "", "", None
+    rest = url[url.index("://") + 3:]
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host, tail = ascii_lower(rest[:cut]), rest[cut:]
+    path = tail[:min([tail.index(c) for c in "?#" if c in tail], default=len(tail))]
+    names = {".".join(host.split(".")[i:]) for i in range(len(host.split(".")))}
+    fitting = [r for r in url_filter.RULES if r.split("/", 1)[0] in names and path.startswith("/" + r.split("/", 1)[1])]
+    return host, path, max(fitting, key=len, default=None)
+
+
+def test_op3_matches_brute_force(spark):
+    given = [(r.page_id, r.url) for r in queries.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url").collect()]
+    top = max(i for i, _ in given)
+    odd = ["HTTP://WWW.Example.COM/en/A?b=/en/#c", "x://example.com", "x://example.com/en", "x://a.example.com/en/",
+           "x://notexample.com/en/", "x://net/es/", "x://a.net?x=/es/", "x://a.net#/fr/", "://", "", "no scheme", None,
+           "x://com/", "x://.com/", "x://com./", "http://\u00c9cole.ORG/\U0001F600/\u00e9", "x://a.org/" + "long/" * 20000,
+           "x://u:p@a.org:80/z", "a://b://c.com/d", "x://a.org/\n/b"]
+    rows = given + [(top + 1 + i, u) for i, u in enumerate(odd)] + [(None, "x://q.org/"), given[0], given[0]]
+    pages = spark.createDataFrame([(i, u, "h", "p", 1.0) for i, u in rows], "page_id long, url string, host string, rule string, score double")
+    parsed = url_filter.parsed(pages)
+    labelled = parsed.withColumn("rule", url_filter.rule_of(F.col("host"), F.col("path"))).where("rule IS NOT NULL").select(
+        "host", "path", url_filter.verdict_of(F.col("rule")).alias("verdict"))
+    model = url_filter.train(labelled)
+    weights, bias, near = model.coefficients.toArray(), model.intercept, 0
+
+    def verdict(host, path):
+        url = "^" + host + path + "$"
+        grams = {url[i:i + n] for n in url_filter.GRAMS for i in range(len(url) - n + 1)}
+        at = {murmur3(g.encode()) % url_filter.DIMENSIONS for g in grams}
+        return bias + sum(weights[j] for j in at)
+
+    got = collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, model).collect())
+    want, known = collections.Counter(), {}
+    for i, u in rows:
+        host, path, rule = brute_url(u)
+        if (host, path) not in known:
+            known[host, path] = verdict(host, path)
+        margin = known[host, path]
+        near += abs(margin) < 1e-9
+        want[i, host, path, rule, url_filter.RULES[rule] if rule else "block" if margin >= 0 else "allow"] += 1
+    assert got == want and not near
+    assert {r for _, _, _, r, _ in want} == set(url_filter.RULES) | {None}
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 def brute_leaks(docs, items):
     def grams(t):
