@@ -213,6 +213,11 @@ def features(hits: list[tuple], n_words: int) -> tuple[float, ...]:
             math.log1p(100 * (abusive + misspelled) / (n_words + 10)), math.log1p(n_words) if hits else 0.0)
 
 
+def least_hash(grams: Column, seed: int) -> Column:
+    """The smallest of the grams' hashes with a seed; null without grams."""
+    return let(grams, lambda g: F.array_min(F.transform(g, lambda x: F.xxhash64(x, F.lit(seed)))))
+
+
 def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """text and toxic (boolean) of the labelled sample; at most ``most`` ids are broadcast."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -222,8 +227,7 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     rows = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(known), "doc_id")
     rows = rows.select("text", "toxic", F.xxhash64("text").alias("h"), grams_of(plain_words(F.col("text")), 5).alias("grams"))
     for seed in range(3):
-        least = let(F.col("grams"), lambda g, k=seed: F.array_min(F.transform(g, lambda x: F.xxhash64(x, F.lit(k)))))
-        rows = rows.withColumn(f"m{seed}", F.coalesce(least, F.col("h")))
+        rows = rows.withColumn(f"m{seed}", F.coalesce(least_hash(F.col("grams"), seed), F.col("h")))
     rows = rows.drop("grams")
     for seed in range(3):
         rows = rows.groupBy(f"m{seed}", "toxic").agg(F.min_by(F.struct("text", "h", "m0", "m1", "m2"), "h").alias("r")).select(

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitelore.llm import queries, toxicity
 
@@ -92,6 +93,15 @@ def test_op13_unusual_input(spark, model):
     assert toxicity.scored(docs.limit(0), model).collect() == []
 
 
+def test_op13_sample_has_three_different_minima(spark):
+    grams = spark.createDataFrame([([f"g{i}" for i in range(50)],), ([],), (None,)], "grams array<string>")
+    got = grams.select(*[toxicity.least_hash(F.col("grams"), k).alias(f"m{k}") for k in range(3)]).collect()
+    want = grams.limit(1).select(F.explode("grams").alias("g")).select(
+        *[F.xxhash64("g", F.lit(k)).alias(f"m{k}") for k in range(3)]).collect()
+    assert list(got[0]) == [min(r[k] for r in want) for k in range(3)] and len(set(got[0])) == 3
+    assert not any(got[1]) and not any(got[2])
+
+
 def test_op13_reads_no_held_out_label(spark):
     rows, labels = corpus(120)
     held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
