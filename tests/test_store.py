@@ -139,3 +139,13 @@ def test_store_equals_the_operators_on_plain_tables(spark, store):
         assert sorted(map(tuple, store.table.read().select(*cols).collect())) == want
     latest = sorted(map(tuple, content.latest_scrape(store.table.read()).select(*cols).collect()))
     assert sorted(map(tuple, store.latest().select(*cols).collect())) == latest
+
+
+def test_delete_cascades_through_the_pages_of_removed_sites(spark, pages):
+    held = spark.createDataFrame([("c1", 1, "page of c1"), ("c1", 2, "no page of c1"), ("c2", 2, "page of c2")], PAGES)
+    held = BucketTable.create(held, folder(spark, "held"), ["course_id", "page_id"], parts=4, buckets=2)
+    for _ in range(2):
+        gone = spark.createDataFrame([("c1",)], "course_id string")
+        state.delete_stored({"pages": pages, "held": held}, gone, through_pages=["held"])
+        assert contents(held) == [("c1", 2, "no page of c1"), ("c2", 2, "page of c2")]
+        assert {c for c, _, _ in contents(pages)} == {"c0", "c2"}
