@@ -69,9 +69,9 @@ def number_modules(modules: DataFrame) -> DataFrame:
 
 
 def page_content(pages: DataFrame, scraped: DataFrame) -> DataFrame:
-    """Pages ⟕ their latest scraped content (last ``retrieved_at`` wins), per site and page id."""
-    latest = scraped.groupBy("course_id", "page_id").agg(
-        F.max_by(F.struct("markdown", "retrieved_at"), F.struct("retrieved_at", "markdown")).alias("_s"))
+    """Pages ⟕ their latest scraped content (last ``retrieved_at`` wins), per site and page id. The largest
+    (time, text) itself is the latest, so a text goes through the aggregate once."""
+    latest = scraped.groupBy("course_id", "page_id").agg(F.max(F.struct("retrieved_at", "markdown")).alias("_s"))
     return pages.join(latest.select("course_id", "page_id", F.col("_s.markdown").alias("markdown"),
                                     F.col("_s.retrieved_at").alias("retrieved_at"), F.lit(True).alias("scraped")),
                       ["course_id", "page_id"], "left").withColumn("scraped", F.coalesce("scraped", F.lit(False)))

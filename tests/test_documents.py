@@ -93,3 +93,12 @@ def test_page_without_content_is_not_scraped(spark):
                                     "course_id string, page_id bigint, markdown string, retrieved_at timestamp_ntz")
     got = {r.page_id: (r.scraped, r.markdown) for r in docs.page_content(pages, scraped).collect()}
     assert got == {1: (True, "text"), 2: (False, None)}
+
+
+def test_latest_content_carries_a_text_once(spark):
+    pages = spark.createDataFrame([("a", 1), ("a", 2)], "course_id string, page_id bigint")
+    scraped = spark.createDataFrame([("a", 1, "old", 1), ("a", 1, "x", 2), ("a", 1, "y", 2), ("a", 1, "no time", None), ("b", 2, "z", 1)],
+                                    "course_id string, page_id bigint, markdown string, retrieved_at bigint")
+    got = docs.page_content(pages, scraped)
+    assert "max_by" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "y", 2, True), ("a", 2, None, None, False)]
