@@ -193,3 +193,37 @@ def test_equal_prompts_are_asked_once(spark, tmp_path):
 
     got = structure.structure_content(spark.createDataFrame(rows, ENRICHED), provider=provider, log=str(tmp_path / "log")).collect()
     assert len(got) == 3 and all(r.ok for r in got) and seen.read_text() == "x"
+
+
+def test_texts_are_dealt_out_once_by_page(spark):
+    """With modules and courses too large to broadcast, the join to the context is the content's only exchange."""
+    content = spark.createDataFrame([("a", 1, "u", "one"), ("a", 9, "u9", "two"), ("b", None, "u0", "three"), (None, 1, "ux", "")],
+                                    "course_id string, page_id bigint, url string, markdown string")
+    pages = spark.createDataFrame([("a", 1, "P", "pu", "lecture", "m")],
+                                  "course_id string, page_id bigint, title string, url string, content_type string, module_id string")
+    modules = spark.createDataFrame([("a", "m", "Mod")], "course_id string, module_id string, module_title string")
+    courses = spark.createDataFrame([("a", "A"), ("b", "B")], "course_id string, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = structure.enrich_context(content, pages, modules, courses)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange" in line for line in plan.split("\n")) == 8  # seven of small columns, one of the content
+        got = {(r["course_id"], r["page_id"]): (r["course_name"], r["module_name"], r["title"], r["url"], r["ok"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {("a", 1): ("A", "Mod", "P", "pu", True), ("a", 9): ("A", "Unknown Module", "Unknown", "u9", True),
+                   ("b", None): ("B", "Unknown Module", "Unknown", "u0", True),
+                   (None, 1): (None, "Unknown Module", "Unknown", "ux", False)}
+
+
+def test_requests_of_several_tasks_read_the_pages_once(spark):
+    df = spark.createDataFrame([("c", 1, "x" * 9000, "T", "u", "A", "M"), ("c", 2, "", None, None, None, None)],
+                               "course_id string, page_id bigint, markdown string, title string, url string, "
+                               "course_name string, module_name string")
+    tasks = ("classify", "structure", "summarize")
+    every = structure.build_llm_requests(df, tasks)
+    assert every._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    one_by_one = [tuple(r) for t in tasks for r in structure.build_llm_requests(df, t).collect()]
+    assert sorted(map(tuple, every.collect())) == sorted(one_by_one)
