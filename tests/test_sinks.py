@@ -59,3 +59,15 @@ def test_second_write_keeps_the_first(spark):
     assert back == {1: "h3", 2: "h2"}
     records = files.read_processed(spark, done, "struct<title:string>").collect()
     assert {r["page_id"]: r["structured"]["title"] for r in records} == {1: "new", 2: "two"}
+
+
+def test_sites_are_written_by_many_tasks_and_few_files(spark):
+    rows = spark.range(400).selectExpr("concat('c', id % 40) AS course_id", "id AS page_id", "struct('t' AS title) AS structured")
+    hot = spark.range(1000, 1400).selectExpr("'hot' AS course_id", "id AS page_id", "struct('t' AS title) AS structured")
+    path = scratch_path(spark, "test-processed-files")
+    files.write_processed(rows.unionAll(hot), path)
+    names = glob.glob(os.path.join(path, "course_id=*", "part-*"))
+    tasks = {os.path.basename(n).split("-")[1] for n in names}
+    assert len(tasks) > 1 and len(names) <= 41 + 8
+    assert len([n for n in names if "course_id=hot" in n]) > 1
+    assert files.read_processed(spark, path, "struct<title:string>").count() == 800
