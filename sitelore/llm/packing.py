@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .texts import byte_columns, id_and_text
+from .texts import byte_columns, give_back, id_and_text
 from .tokenizers import default_path, word_ids
 
 CAPACITY = 4096
@@ -58,6 +58,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, unit: int, with_ids: bool)
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)],
                                                      names=[x.split()[0] for x in PIECES.split(", ")])
                     rows = []
+            batch = data = offsets = None
+            give_back()
 
     return id_and_text(docs).mapInArrow(run, PIECES)
 

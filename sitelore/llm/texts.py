@@ -52,6 +52,11 @@ def byte_columns(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), offsets
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system; while it idles for a later stage, it would hold it."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes (one row if that is longer)."""
     n, at = len(offsets) - 1, 0

@@ -24,7 +24,7 @@ MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    LARGEST_CACHE = 1_000_000  # words; then it starts anew
+    LARGEST_CACHE = 200_000  # words, some 30 MB; then it starts anew
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
