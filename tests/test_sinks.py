@@ -2,6 +2,7 @@
 
 import glob
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def test_second_write_keeps_the_first(spark):
 def test_sites_are_written_by_many_tasks_and_few_files(spark):
     rows = spark.range(400).selectExpr("concat('c', id % 40) AS course_id", "id AS page_id", "struct('t' AS title) AS structured")
     hot = spark.range(1000, 1400).selectExpr("'hot' AS course_id", "id AS page_id", "struct('t' AS title) AS structured")
-    path = scratch_path(spark, "test-processed-files")
+    path = scratch_path(spark, f"test-processed-files-{uuid.uuid4().hex}")
     files.write_processed(rows.unionAll(hot), path)
     names = glob.glob(os.path.join(path, "course_id=*", "part-*"))
     tasks = {os.path.basename(n).split("-")[1] for n in names}
