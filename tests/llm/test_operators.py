@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelore.llm import (decontaminate, importance, jaccard_join, license_scan, packing, quality_rules, queries,
-                          token_counts, url_filter)
+                          token_counts, tokenizers, url_filter)
 from sitelore.llm.tokenizers import default_path, word_ids
 
 SF = "/root/testdata/sf0.001"
@@ -511,6 +511,31 @@ def test_word_ids_equal_whole_texts(documents):
         assert np.frombuffer(encode((t or "").encode()), "<u4").tolist() == bpe.encode(t or "", add_special_tokens=False).ids
 
 
+def test_word_ids_of_odd_words_equal_whole_texts():
+    from tokenizers import Tokenizer
+    bpe, encode = Tokenizer.from_file(default_path()), word_ids(default_path())
+    letters = tokenizers.LETTERS
+    odd = [*letters, letters, *(a + b for a, b in zip(letters, letters[1:])), "it's,", "'s", "l'été...", "été,!?", "straße.",
+           "σας,", "ΣΑΣ", "йод", "И\u0306од", "e\u0301te\u0301", "été\u0301", "x\u0327,", "\u0301,", "É,", "…,", "é…,", "a0b", "42,", "#tag",
+           "<|", "<|endoftext|>", "Abc<|endoftext|>é,", "ÀÉ", "中文,", "😀!", "a\u00a0b", "a\u200bb", "a\x1cb", "ŉ", "ǆ", "İ"]
+    for t in [*odd, " ".join(odd), " ".join(w for w in odd if "<|" not in w)]:
+        assert np.frombuffer(encode(t.encode()), "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, t
+
+
+def test_word_ids_tokenizes_words_in_use_once(monkeypatch):
+    from tokenizers import Tokenizer
+    bpe, asked = Tokenizer.from_file(default_path()), collections.Counter()
+    whole = tokenizers.WordCache.tokenize
+    monkeypatch.setattr(tokenizers.WordCache, "LARGEST", 20)
+    monkeypatch.setattr(tokenizers.WordCache, "tokenize", lambda self, w: asked.update([w]) or whole(self, w))
+    encode = tokenizers.WordIds(default_path())
+    for i in range(60):
+        t = f"often été, q{'xyz'[i % 3] * (i // 3 + 1)} 7x{i}"
+        assert np.frombuffer(encode(t.encode()), "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids
+        assert len(encode.cache) + len(encode.cache.older) <= 20
+    assert len(asked) == 123 and set(asked.values()) == {1}  # the old cache began anew and asked for all again
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 def brute_quality(t):
     w, lines = plain_words(t), [x for x in (t or "").split("\n") if plain_words(x)]
