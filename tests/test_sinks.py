@@ -72,3 +72,91 @@ def test_sites_are_written_by_many_tasks_and_few_files(spark):
     assert len(tasks) > 1 and len(names) <= 41 + 8
     assert len([n for n in names if "course_id=hot" in n]) > 1
     assert files.read_processed(spark, path, "struct<title:string>").count() == 800
+
+
+BLOCK = "course_id string, filename string, sec bigint, item bigint, text string"
+
+
+def _texts(path):
+    """Each document's bytes, its part files in name order."""
+    names = sorted(glob.glob(os.path.join(glob.escape(path), "course_id=*", "filename=*", "part-*")))
+    return {os.path.dirname(n)[len(path) + 1:]: b"".join(open(m, "rb").read() for m in names if os.path.dirname(m) == os.path.dirname(n))
+            for n in names}
+
+
+def _many_documents(spark):
+    """600 documents of two blocks in 200 sites, and a folder for them."""
+    blocks = spark.range(1200).selectExpr("concat('c', (id % 200)) AS course_id", "concat('d', (id % 600), '.md') AS filename",
+                                          "0L AS sec", "id AS item", "concat('text ', id) AS text")
+    return blocks, scratch_path(spark, f"test-exports-many-{uuid.uuid4().hex}")
+
+
+def _tasks_of(spark, action):
+    """What ``action`` returns, and how many tasks it took."""
+    group = f"tasks-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = action()
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    seen = spark.sparkContext.statusTracker()
+    stages = {k for j in seen.getJobIdsForGroup(group) for k in seen.getJobInfo(j).stageIds}
+    return out, sum(info.numTasks for k in stages if (info := seen.getStageInfo(k)))
+
+
+def test_many_documents_are_written_by_few_processes(spark):
+    blocks, path = _many_documents(spark)
+
+    def processes():
+        with open("/proc/stat") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("processes"))
+
+    before = processes()
+    files.write_exports(blocks, path)
+    assert processes() - before < 600  # Hadoop's local file system starts several for every file
+    lines, tasks = _tasks_of(spark, lambda: files.read_exports(spark, path).count())
+    assert lines == 1200 and 0 < tasks < 150  # not one for each site and for a few files
+
+
+def test_mounted_exports_are_those_of_sparks_writer(spark, monkeypatch):
+    odd = "a b/c:d%e'f#[x]{y}\\z=é"
+    rows = [("a", "one.md", 0, 0, "x"), ("a", "one.md", 0, 1, "y\r\nz\rw"), ("a", "one.md", 1, 0, ""), ("a", "two.md", 0, 0, None),
+            ("a", "two.md", 0, 1, "\ufeffé"), (odd, odd, 0, 0, "odd"), (None, "n.md", 0, 0, "null"), ("", "e.md", 0, 0, "empty"),
+            ("7", "007", 0, 0, "digits"), ("b", None, 0, 0, "no name"), ("b", "", 0, 1, "empty name"),
+            ("bom", "f", 0, 0, "\ufefffirst\n"), ("long", "f", 0, 0, "x" * 3_000_000 + "\r\n" + "y" * 1_048_572 + "\r\nz")]
+    blocks = spark.createDataFrame(rows, BLOCK)
+    seen = []
+    for mounted in (files._mounted, lambda s, p: None):
+        monkeypatch.setattr(files, "_mounted", mounted)
+        path = scratch_path(spark, f"test-exports-{uuid.uuid4().hex}")
+        files.write_exports(blocks, path)
+        local = path.removeprefix("file://")
+        seen.append((_texts(local), sorted(map(str, files.list_exports(spark, path).collect())),
+                     sorted(map(str, files.read_exports(spark, path).collect()))))
+        assert not glob.glob(os.path.join(local, ".exports-*"))
+    assert seen[0] == seen[1]
+    assert seen[0][0]["course_id=a/filename=one.md"] == b"x\ny\r\nz\rw\n\n"
+    assert len(seen[0][0]) == 9
+
+
+def test_a_document_is_replaced_whole_and_others_stay(spark):
+    path = scratch_path(spark, f"test-exports-again-{uuid.uuid4().hex}")
+    first = spark.range(4000).selectExpr("'a' AS course_id", "concat('d', id % 2) AS filename", "0L AS sec", "id AS item", "'old' AS text")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        files.write_exports(first, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(glob.glob(os.path.join(path, "course_id=a", "filename=d0", "part-*"))) > 1
+    files.write_exports(spark.createDataFrame([("a", "d0", 0, 0, "new"), ("b", "d0", 0, 0, "new")], BLOCK), path)
+    assert _texts(path) == {"course_id=a/filename=d0": b"new\n", "course_id=b/filename=d0": b"new\n",
+                            "course_id=a/filename=d1": b"old\n" * 2000}
+    was = _texts(path)
+    failing = spark.range(100).selectExpr("'a' AS course_id", "concat('d', id % 3) AS filename", "0L AS sec", "id AS item",
+                                          "CASE WHEN id = 99 THEN raise_error('broken') ELSE 'new' END AS text")
+    try:
+        files.write_exports(failing, path)
+        raise AssertionError("the write should fail")
+    except Exception as e:
+        assert "broken" in str(e)
+    assert _texts(path) == was and not glob.glob(os.path.join(path, ".exports-*"))
