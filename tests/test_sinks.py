@@ -160,3 +160,20 @@ def test_a_document_is_replaced_whole_and_others_stay(spark):
     except Exception as e:
         assert "broken" in str(e)
     assert _texts(path) == was and not glob.glob(os.path.join(path, ".exports-*"))
+
+
+def test_many_documents_are_listed_by_few_tasks(spark):
+    blocks, path = _many_documents(spark)
+    files.write_exports(blocks, path)
+    found, tasks = _tasks_of(spark, lambda: files.list_exports(spark, path).collect())
+    assert len(found) == 600 and 0 < tasks < 150  # not one for each site and for a few files
+    assert sum(r["size_bytes"] for r in found) == sum(map(len, _texts(path).values()))
+
+
+def test_listed_names_are_text(spark, monkeypatch):
+    for mounted in (files._mounted, lambda s, p: None):
+        monkeypatch.setattr(files, "_mounted", mounted)
+        path = scratch_path(spark, f"test-exports-names-{uuid.uuid4().hex}")
+        files.write_exports(spark.createDataFrame([("007", "1", 0, 0, "x"), (None, "", 0, 0, "xy")], BLOCK), path)
+        assert [(r["course_id"], r["filename"], r["size_bytes"]) for r in files.list_exports(spark, path).collect()] == [
+            (None, None, 3), ("007", "1", 2)]
